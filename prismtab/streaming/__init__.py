@@ -1,0 +1 @@
+"""Intentionally empty: every operator of this engine takes one bounded table."""

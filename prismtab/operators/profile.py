@@ -1,8 +1,7 @@
 """The shared statistics pass and the per-column profile built on it.
 
-One aggregate over the table gives every count the column rules need; one two-level grouping of
-(column, value) pairs gives exact distinct counts. Only one row of statistics per column reaches
-the driver.
+One two-level grouping of (column, value) pairs gives exact distinct counts and every other count
+the column rules need. Only one row of statistics per column reaches the driver.
 """
 from __future__ import annotations
 
@@ -15,8 +14,8 @@ from pyspark.sql.window import Window
 
 from prismtab.functions import vocabulary as words
 from prismtab.functions.coerce import (
-    DATE_TEXT, RANGE_TEXT, col, dtype, is_blank, is_date, is_null, is_number, is_text, number,
-    numeric_columns, numeric_text, text_timestamp, upper_trim,
+    DATE_TEXT, RANGE_TEXT, col, dtype, is_date, is_null, is_number, is_text, number, numeric_columns,
+    numeric_text, text_columns, text_timestamp, upper_trim,
 )
 from prismtab.functions.names import ascii_snake
 from prismtab.functions.rounding import half_up, half_up_value
@@ -124,55 +123,86 @@ def _kind(data_type: T.DataType) -> str:
     return "bool" if isinstance(data_type, T.BooleanType) else "other"
 
 
-def _counters(df: DataFrame, name: str) -> dict[str, Column]:
-    value, kind = col(name), _kind(dtype(df, name))
-    none = F.lit(0).cast("bigint")
-    counters = {"nulls": F.count_if(is_null(df, name)), "blanks": F.count_if(is_blank(df, name))}
-    if kind == "text":
-        counters |= {
-            "numeric_values": F.count_if(numeric_text(value)),
-            "date_shaped": F.count_if(value.rlike(DATE_TEXT)),
-            "date_values": F.count_if(text_timestamp(value).isNotNull()),
-            "range_shaped": F.count_if(value.rlike(RANGE_TEXT)),
-        }
-        upper = upper_trim(value)
-        counters |= {f"has_{g}": F.count_if(upper.isin(*w)) for g, w in WORD_GROUPS.items()}
-        return counters
-    filled = F.count_if(~is_null(df, name))
-    return counters | {
-        "numeric_values": filled if kind in ("number", "bool") else none,
-        "date_shaped": none, "date_values": filled if kind == "date" else none, "range_shaped": none,
-    }
+def _text_tests(value: Column) -> dict[str, Column]:
+    """What the rules ask about one text value."""
+    upper = upper_trim(value)
+    return {
+        "blanks": F.trim(value) == "",
+        "numeric_values": numeric_text(value),
+        "date_shaped": value.rlike(DATE_TEXT),
+        "date_values": text_timestamp(value).isNotNull(),
+        "range_shaped": value.rlike(RANGE_TEXT),
+    } | {f"has_{group}": upper.isin(*listed) for group, listed in WORD_GROUPS.items()}
+
+
+TESTS = ["blanks", "numeric_values", "date_shaped", "date_values", "range_shaped",
+         *(f"has_{group}" for group in WORD_GROUPS)]
 
 
 def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False) -> list[ColumnStats]:
-    """Statistics of every column. ``approximate`` counts distinct values with a sketch, in the same
-    pass and without a shuffle of values; the default is exact."""
-    counters = {name: _counters(df, name) for name in df.columns}
-    sketch = distinct and approximate
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
-        counter.alias(f"{i}_{key}")
-        for i, name in enumerate(df.columns) for key, counter in counters[name].items()
-    ], *[
-        F.approx_count_distinct(_value_text(df, name)).alias(f"{i}_distinct")
-        for i, name in enumerate(df.columns) if sketch
-    ]).first()
-    exact = distinct_counts(df) if distinct and not approximate else {}
+    """Statistics of every column.
+
+    With exact distinct counts everything comes from one grouping of (column, value) pairs: each
+    test then runs once per distinct value, not once per row. Without distinct counts, or with
+    ``approximate`` ones from a sketch, one aggregate without a shuffle of values is enough."""
+    if not df.columns:
+        return []
+    counted = _by_value(df) if distinct and not approximate else _by_row(df, distinct)
     found = []
-    for i, field in enumerate(df.schema.fields):
-        keys = counters[field.name]
-        number_of, filled_of = exact.get(field.name, (0, 0))
-        if sketch:
-            number_of = filled_of = row[f"{i}_distinct"]
+    for field in df.schema.fields:
+        counts, kind = counted[field.name], _kind(field.dataType)
+        filled = counts["rows"] - counts["nulls"]
+        if kind in ("number", "bool"):
+            counts["numeric_values"] = filled
+        if kind == "date":
+            counts["date_values"] = filled
         found.append(ColumnStats(
-            field.name, field.dataType.simpleString(), _kind(field.dataType), row["rows"],
-            **{key: row[f"{i}_{key}"] for key in keys if not key.startswith("has_")},
-            word_groups=frozenset(g for g in WORD_GROUPS if f"has_{g}" in keys and row[f"{i}_has_{g}"]),
-            distinct=number_of, distinct_filled=filled_of,
+            field.name, field.dataType.simpleString(), kind, counts["rows"], counts["nulls"],
+            counts["nulls"] + counts["blanks"],
+            *(counts[t] for t in ("numeric_values", "date_shaped", "date_values", "range_shaped")),
+            word_groups=frozenset(g for g in WORD_GROUPS if counts[f"has_{g}"]),
+            distinct=counts.get("distinct", 0), distinct_filled=counts.get("distinct_filled", 0),
         ))
     return found
 
 
+def _by_row(df: DataFrame, sketch: bool) -> dict[str, dict[str, int]]:
+    aggregates = [F.count(F.lit(1)).alias("rows")]
+    for i, name in enumerate(df.columns):
+        aggregates.append(F.count_if(is_null(df, name)).alias(f"{i}_nulls"))
+        if is_text(dtype(df, name)):
+            aggregates += [F.count_if(t).alias(f"{i}_{key}") for key, t in _text_tests(col(name)).items()]
+        if sketch:
+            aggregates.append(F.approx_count_distinct(_value_text(df, name)).alias(f"{i}_distinct"))
+    row = df.agg(*aggregates).first().asDict()
+    found = {}
+    for i, name in enumerate(df.columns):
+        counts = {key: row.get(f"{i}_{key}", 0) for key in ("nulls", *TESTS)} | {"rows": row["rows"]}
+        if sketch:
+            counts["distinct"] = counts["distinct_filled"] = row[f"{i}_distinct"]
+        found[name] = counts
+    return found
+
+
+def _by_value(df: DataFrame) -> dict[str, dict[str, int]]:
+    texts = text_columns(df)
+    counts = value_pairs(df).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    value, n, is_text_column = F.col("value"), F.col("n"), F.col("column_name").isin(*texts)
+    tests = {key: F.when(is_text_column, test) for key, test in _text_tests(value).items()} if texts else {}
+    zero = F.lit(0).cast("bigint")
+    rows = counts.groupBy("column_name").agg(
+        F.sum("n").alias("rows"),
+        F.coalesce(F.sum(F.when(value.isNull(), n)), zero).alias("nulls"),
+        F.count("value").alias("distinct"),
+        F.count_if(F.trim(value) != "").alias("distinct_filled"),
+        *[F.coalesce(F.sum(F.when(tests[key], n)), zero).alias(key) if key in tests else zero.alias(key)
+          for key in TESTS],
+    ).collect()
+    found = {r["column_name"]: r.asDict() for r in rows}
+    nothing = dict.fromkeys(["rows", "nulls", "distinct", "distinct_filled", *TESTS], 0)
+    return {name: found.get(name, dict(nothing)) for name in df.columns}
+
+
 def _value_text(df: DataFrame, name: str) -> Column:
     return F.when(~is_null(df, name), col(name).cast("string"))
 
@@ -193,15 +223,6 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def distinct_counts(df: DataFrame) -> dict[str, tuple[int, int]]:
-    """Exact distinct values per column: all, and without blank text."""
-    if not df.columns:
-        return {}
-    per_column = value_counts(df).groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("all"), F.count_if(F.trim("value") != "").alias("filled"))
-    return {r["column_name"]: (r["all"], r["filled"]) for r in per_column.collect()}
-
-
 def top_values(counts: DataFrame, limit: int) -> DataFrame:
     """The most frequent values per column, ties by value. The row_number filter lets Spark keep
     only ``limit`` rows per column in each task before the shuffle."""

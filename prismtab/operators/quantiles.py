@@ -17,8 +17,9 @@ from pyspark.sql.window import Window
 
 from prismtab.functions.coerce import number
 
-IN_ONE_TASK = 2_000_000
-SKETCH_ACCURACY = 10_000
+IN_ONE_TASK = 1_000_000  # values of a column that `percentile` may hold
+IN_ONE_BRACKET = 2_000_000  # values of a bracket that are grouped and ordered
+SKETCH_ACCURACY = 2_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,8 @@ class _Target:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float], in_one_task: int = IN_ONE_TASK,
+    df: DataFrame, columns: list[str], probabilities: list[float],
+    in_one_task: int = IN_ONE_TASK, in_one_bracket: int = IN_ONE_BRACKET,
 ) -> dict[str, list[float | None]]:
     """Quantiles per numeric column; None for a column without values."""
     if not columns:
@@ -50,11 +52,11 @@ def exact_quantiles(
             F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in small
         ]).first().asDict())
     if large:
-        found.update(_by_rank(values, large, probabilities, counts, in_one_task))
+        found.update(_by_rank(values, large, probabilities, counts, in_one_bracket))
     return {name: found[alias] for name, alias in zip(columns, aliases)}
 
 
-def _by_rank(values, columns, probabilities, counts, in_one_task) -> dict[str, list[float]]:
+def _by_rank(values, columns, probabilities, counts, in_one_bracket) -> dict[str, list[float]]:
     places = {(c, p): p * (counts[c] - 1) for c in columns for p in probabilities}
     ranks = {(c, r) for (c, _), at in places.items() for r in (math.floor(at), math.ceil(at))}
     edges = values.agg(*[F.min(c).alias(f"{c}_lo") for c in columns],
@@ -64,7 +66,7 @@ def _by_rank(values, columns, probabilities, counts, in_one_task) -> dict[str, l
     ]
     at_rank: dict[tuple[str, int], float] = {}
     while targets:
-        targets = _settle(values, _narrow(values, targets), in_one_task, at_rank)
+        targets = _settle(values, _narrow(values, targets), in_one_bracket, at_rank)
     return {
         c: [_between(at_rank, c, places[c, p]) for p in probabilities] for c in columns
     }
@@ -79,16 +81,24 @@ def _narrow(values: DataFrame, targets: list[_Target]) -> list[tuple[_Target, _T
     """One sketch pass for tighter brackets, one counting pass that proves them."""
     margin = 2.0 / SKETCH_ACCURACY
 
-    def sketch(t: _Target, shift: float):
-        share = (t.rank - t.below + 0.5) / t.inside + shift
-        inside = F.when(F.col(t.column).between(t.low, t.high), F.col(t.column))
-        return F.percentile_approx(inside, min(max(share, 0.0), 1.0), SKETCH_ACCURACY)
-
-    row = values.agg(*[
-        side.alias(f"{i}_{edge}") for i, t in enumerate(targets)
-        for edge, side in (("lo", sketch(t, -margin)), ("hi", sketch(t, margin)))
-    ]).first()
-    tighter = [replace(t, low=row[f"{i}_lo"], high=row[f"{i}_hi"]) for i, t in enumerate(targets)]
+    def share(t: _Target, shift: float) -> float:
+        return min(max((t.rank - t.below + 0.5) / t.inside + shift, 0.0), 1.0)
+
+    # Targets that still share a range share a sketch.
+    ranges: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        ranges.setdefault((t.column, t.low, t.high), []).append(t)
+    sketches = []
+    for i, ((column, low, high), members) in enumerate(ranges.items()):
+        inside = F.when(F.col(column).between(low, high), F.col(column))
+        shares = [share(t, shift) for t in members for shift in (-margin, margin)]
+        sketches.append(F.percentile_approx(inside, shares, SKETCH_ACCURACY).alias(f"s{i}"))
+    row = values.agg(*sketches).first()
+    tighter, before = [], []
+    for i, members in enumerate(ranges.values()):
+        for j, t in enumerate(members):
+            tighter.append(replace(t, low=row[f"s{i}"][2 * j], high=row[f"s{i}"][2 * j + 1]))
+            before.append(t)
     row = values.agg(*[
         count.alias(f"{i}_{part}") for i, t in enumerate(tighter) for part, count in (
             ("below", F.count_if(F.col(t.column) < t.low)),
@@ -97,19 +107,19 @@ def _narrow(values: DataFrame, targets: list[_Target]) -> list[tuple[_Target, _T
     proven = [replace(t, below=row[f"{i}_below"], inside=row[f"{i}_inside"]) for i, t in enumerate(tighter)]
     return [
         (new if new.below <= new.rank < new.below + new.inside else old, old)
-        for old, new in zip(targets, proven)
+        for old, new in zip(before, proven)
     ]
 
 
 def _settle(
-    values: DataFrame, narrowed: list[tuple[_Target, _Target]], in_one_task: int, at_rank: dict,
+    values: DataFrame, narrowed: list[tuple[_Target, _Target]], in_one_bracket: int, at_rank: dict,
 ) -> list[_Target]:
     """Record every rank whose bracket is small enough; return the ones to narrow again."""
     again, ready = [], []
     for new, old in narrowed:
         if new.low == new.high:
             at_rank[new.column, new.rank] = new.low
-        elif new.inside > in_one_task and new.inside * 2 < old.inside:
+        elif new.inside > in_one_bracket and new.inside * 2 < old.inside:
             again.append(new)
         else:
             ready.append(new)

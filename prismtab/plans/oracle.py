@@ -9,7 +9,9 @@ ORACLE: dict[str, str] = {}
 
 
 def half_up(value: str, digits: int) -> str:
-    return f"CAST(round(CAST({value} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """Round the shortest decimal form of a double, so that ties do not hang on its last bit."""
+    text = f"CAST(CAST({value} AS DOUBLE) AS VARCHAR)"
+    return f"CAST(round(CAST({text} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
 
 
 def cents(value: str) -> str:
@@ -633,3 +635,23 @@ add("safe_features", "dirty", f"""WITH {_DIRTY}, r AS (SELECT column_name, CASE
     WHEN column_name NOT IN ('total', 'custkey') AND d > 0.95 * filled AND filled >= 20 THEN 'identifier'
     WHEN column_name NOT IN ('total', 'custkey') AND d > 50 THEN 'high_cardinality' ELSE '' END AS reason FROM f)
     SELECT column_name, reason = '' AS is_feature, reason FROM r""")
+
+# --- sources -----------------------------------------------------------------------------------
+
+add("csv_repair", "", """SELECT CAST(p_partkey AS VARCHAR) AS entry_no,
+    CASE WHEN p_partkey % 5 = 3 THEN p_name || ', "boxed"' ELSE p_name END AS name,
+    CASE WHEN p_partkey % 5 <> 1 THEN p_brand END AS brand,
+    CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) || ',extra,more' WHEN 1 THEN NULL WHEN 3 THEN '1'
+        ELSE CAST(p_size AS VARCHAR) END AS size FROM part WHERE p_partkey % 17 <> 0""")
+add("numeric_promotion", "", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
+_REGISTRY = "SELECT o_orderkey AS dataset_id, o_custkey AS user_id, o_orderdate AS created_at FROM orders"
+add("recent_datasets", "", f"{_REGISTRY} ORDER BY 3 DESC, 1 DESC LIMIT 50")
+add("recent_datasets_of_user", "", f"{_REGISTRY} WHERE o_custkey = 7 ORDER BY 3 DESC, 1 DESC LIMIT 50")
+add("report_detail", "", """SELECT o_orderkey AS source, CAST(9 AS INT) AS line_no, strftime(o_orderdate, '%Y-%m-%d') AS date, 'SALES' AS category,
+        'Rice, 5kg' AS item, o_totalprice AS amount FROM orders
+    UNION ALL SELECT o_orderkey, 10, strftime(o_orderdate, '%Y-%m-%d'), 'EXPENSE', 'Rent', CAST(o_custkey AS DOUBLE) FROM orders""")
+add("report_summary", "", """SELECT o_orderkey AS source, 'metadata' AS section, 'report_title' AS key, 'Ledger Report' AS value FROM orders
+    UNION ALL SELECT o_orderkey, 'metadata', 'Shop Name', 'Shop ' || CAST(o_custkey AS VARCHAR) FROM orders
+    UNION ALL SELECT o_orderkey, 'metadata', 'Generated At', strftime(o_orderdate, '%Y-%m-%d') FROM orders
+    UNION ALL SELECT o_orderkey, 'summary', 'Total Sales', 'Rs ' || format('{:,.2f}', o_totalprice) FROM orders
+    UNION ALL SELECT o_orderkey, 'summary', 'Profit Status', 'Profit' FROM orders""")

@@ -17,6 +17,7 @@ from prismtab.operators import (
 from prismtab.operators.ledger import LedgerColumns
 from prismtab.operators.metrics import Metric
 from prismtab.plans import views
+from prismtab.sources import delimited, reports, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,3 +305,19 @@ on(views.dirty, "numeric_like", lambda df: shape_tests(df).select("column_name",
 def _safe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = views.dirty(spark, sf_dir)
     return targets.safe_features(df, "total")
+
+
+# --- sources -----------------------------------------------------------------------------------
+
+on(views.ragged_lines, "csv_repair", delimited.repair_lines, ["entry_no", "name", "brand", "size"])
+on(views.part_text, "numeric_promotion", delimited.promote_numeric)
+on(views.report_lines, "report_summary", reports.report_facts)
+on(views.dataset_registry, "recent_datasets", store.recent_datasets)
+on(views.dataset_registry, "recent_datasets_of_user", store.recent_datasets, 7)
+
+
+@query("report_detail")
+def _report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.detail_table(reports.report_rows(views.report_lines(spark, sf_dir)), views.REPORT_HEADER)
+    return rows.select("source", "line_no", F.col("Date").alias("date"), F.col("Category").alias("category"),
+                       F.col("Item/Customer").alias("item"), F.col("Amount").alias("amount"))

@@ -207,3 +207,45 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as actual classes with a second label standing in for the predicted class."""
     return table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("string").alias("actual"), F.col("toxic").cast("string").alias("predicted"))
+
+
+def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as comma-separated lines with too many, too few, quoted and blank cells."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    full = F.concat_ws(",", key, name, "p_brand", F.col("p_size").cast("string"))
+    quoted = F.concat(key, F.lit(',"'), name, F.lit(', ""boxed""",'), F.col("p_brand"), F.lit(",1"))
+    kind = F.col("p_partkey") % 5
+    line = F.when(F.col("p_partkey") % 17 == 0, ", ,").when(kind == 0, F.concat(full, F.lit(",extra,more"))).when(
+        kind == 1, F.concat_ws(",", key, name)).when(kind == 3, quoted).otherwise(full)
+    return table(spark, sf_dir, "part").select(line.alias("value"))
+
+
+def part_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return parts.select(*[F.col(c).cast("string").alias(c) for c in parts.columns])
+
+
+REPORT_HEADER = ["Date", "Category", "Item/Customer", "Amount"]
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report export per order, as lines: title, facts, summary, table, sometimes a closing note."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    total = F.col("o_totalprice")
+    lines = [
+        F.lit("Ledger Report"), F.concat(F.lit("Shop Name,Shop "), F.col("o_custkey").cast("string")),
+        F.concat(F.lit("Generated At,"), day), F.lit(""), F.lit("Summary"),
+        F.concat(F.lit('Total Sales,"Rs '), F.format_number(total, 2), F.lit('"')),
+        F.lit("Profit Status,Profit"), F.lit("Transaction Details"), F.lit(",".join(REPORT_HEADER)),
+        F.concat(day, F.lit(',SALES,"Rice, 5kg",'), total.cast("string")),
+        F.concat(day, F.lit(",EXPENSE,Rent,"), F.col("o_custkey").cast("string")),
+        F.when(key % 3 == 0, F.lit("Note,printed by till 1")), F.when(key % 3 == 0, F.concat(day, F.lit(",SALES,Late,1"))),
+    ]
+    return table(spark, sf_dir, "orders").select(
+        key.alias("source"), F.posexplode(F.array(*lines)).alias("line_no", "value")).where(F.col("value").isNotNull())
+
+
+def dataset_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("dataset_id"), F.col("o_custkey").alias("user_id"),
+        F.col("o_orderdate").alias("created_at"))

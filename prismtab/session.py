@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "prismtab") -> SparkSession:
@@ -34,3 +34,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="prismtab-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A small intermediate written once to the shared checkpoint folder and read from there, so
+    that several consumers do not compute it again and lost executors do not matter."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

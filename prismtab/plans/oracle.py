@@ -655,3 +655,34 @@ add("report_summary", "", """SELECT o_orderkey AS source, 'metadata' AS section,
     UNION ALL SELECT o_orderkey, 'metadata', 'Generated At', strftime(o_orderdate, '%Y-%m-%d') FROM orders
     UNION ALL SELECT o_orderkey, 'summary', 'Total Sales', 'Rs ' || format('{:,.2f}', o_totalprice) FROM orders
     UNION ALL SELECT o_orderkey, 'summary', 'Profit Status', 'Profit' FROM orders""")
+
+# --- models ------------------------------------------------------------------------------------
+
+add("regression_metrics", "", f"""WITH p AS (SELECT l_extendedprice AS y, l_quantity * 2100.0 AS p FROM lineitem),
+    t AS (SELECT count(*) AS n, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, var_pop(y) AS v FROM p)
+    SELECT n, {half_up('sqrt(mse)', 6)} AS rmse, {half_up('mae', 6)} AS mae, {half_up('1 - mse / v', 6)} AS r2 FROM t""")
+_PAIRS = "p AS (SELECT CAST(quality AS VARCHAR) AS actual, CAST(toxic AS VARCHAR) AS predicted FROM labels)"
+add("classification_metrics", "", f"""WITH {_PAIRS}, l AS (SELECT DISTINCT actual AS label FROM p UNION SELECT predicted FROM p),
+    c AS (SELECT label, CAST((SELECT count(*) FROM p WHERE actual = label) AS DOUBLE) AS real,
+        CAST((SELECT count(*) FROM p WHERE predicted = label) AS DOUBLE) AS said,
+        CAST((SELECT count(*) FROM p WHERE predicted = label AND actual = label) AS DOUBLE) AS hit FROM l),
+    r AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS pr, CASE WHEN real > 0 THEN hit / real ELSE 0 END AS re FROM c),
+    f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM r)
+    SELECT CAST(sum(real) AS BIGINT) AS n, {half_up('sum(hit) / sum(real)', 6)} AS accuracy,
+        {half_up('sum(pr * real) / sum(real)', 6)} AS precision_weighted, {half_up('sum(re * real) / sum(real)', 6)} AS recall_weighted,
+        {half_up('sum(f1 * real) / sum(real)', 6)} AS f1_weighted FROM f""")
+add("confusion_matrix", "", f"""WITH {_PAIRS}, l AS (SELECT DISTINCT actual AS label FROM p UNION SELECT predicted FROM p)
+    SELECT a.label AS actual, b.label AS predicted, (SELECT count(*) FROM p WHERE p.actual = a.label AND p.predicted = b.label) AS count
+    FROM l a, l b""")
+add("class_balance", "", f"""WITH {_PAIRS}, c AS (SELECT predicted AS label, count(*) AS count FROM p GROUP BY 1)
+    SELECT label, count, {half_up('count * 1.0 / (SELECT sum(count) FROM c)', 6)} AS share,
+        (SELECT max(count) * 1.0 / sum(count) >= 0.9 FROM c) AS imbalanced FROM c""")
+
+
+def _determined(feature: str) -> str:
+    return f"""SELECT '{feature}' AS feature, count(*) AS feature_values, {half_up('count(*) FILTER (WHERE d = 1) * 1.0 / count(*)', 6)} AS determined_share,
+        count(*) FILTER (WHERE d = 1) >= 0.9 * count(*) AS near_deterministic
+        FROM (SELECT {feature}, count(DISTINCT category) AS d FROM catalog WHERE category IS NOT NULL AND {feature} IS NOT NULL GROUP BY 1)"""
+
+
+add("leakage_determinism", "catalog", union([_determined(f) for f in ("food_name", "entry_no", "cuisine")]))

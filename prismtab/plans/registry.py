@@ -11,8 +11,8 @@ from prismtab.functions.vocabulary import (
     CREDIT_VALUES, EXPENSE_VALUES, LEDGER_CREDIT, LEDGER_EXPENSE, LEDGER_SALES, REFUND_VALUES, SALE_VALUES,
 )
 from prismtab.operators import (
-    catalog, customers, filters, finance, leads, ledger, metrics, outliers, profile, quality, ranking,
-    relations, roles, targets, trends,
+    catalog, customers, evaluation, filters, finance, leads, ledger, metrics, modeling, outliers, profile,
+    quality, ranking, relations, roles, targets, trends,
 )
 from prismtab.operators.ledger import LedgerColumns
 from prismtab.operators.metrics import Metric
@@ -321,3 +321,46 @@ def _report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reports.detail_table(reports.report_rows(views.report_lines(spark, sf_dir)), views.REPORT_HEADER)
     return rows.select("source", "line_no", F.col("Date").alias("date"), F.col("Category").alias("category"),
                        F.col("Item/Customer").alias("item"), F.col("Amount").alias("amount"))
+
+
+# --- models ------------------------------------------------------------------------------------
+
+on(views.line_predictions, "regression_metrics", evaluation.regression_metrics)
+on(views.predictions, "classification_metrics", evaluation.classification_metrics)
+on(views.predictions, "confusion_matrix", evaluation.confusion_matrix)
+on(views.predictions, "class_balance", evaluation.class_balance, "predicted")
+on(views.catalog, "leakage_determinism", evaluation.leakage_determinism, ["food_name", "entry_no", "cuisine"], "category")
+
+LINE_KEYS = ["order_id", "line_no"]
+
+
+@query("ml_regression")
+def _ml_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.retail(spark, sf_dir).drop("profit", "stockout_flag")
+    return modeling.score_table(df, modeling.train_model(df, "total_sales", "regression"))
+
+
+@query("ml_classification")
+def _ml_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.retail(spark, sf_dir)
+    return modeling.score_table(df, modeling.train_model(df, "stockout_flag", "classification"))
+
+
+@query("feature_importance")
+def _feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.retail(spark, sf_dir).drop("profit", "stockout_flag")
+    return modeling.feature_importance(df, modeling.train_model(df, "total_sales", "regression"))
+
+
+@query("ml_batch_targets")
+def _ml_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.retail(spark, sf_dir)
+    tasks = {"total_sales": "regression", "profit": "regression", "stockout_flag": "classification"}
+    return modeling.batch_table(df, modeling.batch_train(df, tasks))
+
+
+on(views.retail, "local_contributions", modeling.local_contributions, "total_sales",
+   ["quantity", "discount", "tax", "unit_price", "category"], LINE_KEYS, 3)
+on(views.order_lines, "segments", modeling.segments, LINE_NUMBERS)
+on(views.order_lines, "ml_quick_predict", modeling.quick_predict, "gross_sales", ["quantity", "discount", "tax"])
+on(views.readings, "ml_quick_classes", modeling.quick_predict, "event_type", ["user_id", "value"])

@@ -203,12 +203,31 @@ def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
+def retail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One wide row per line: attributes, sales, profit and a flag, for training."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"),
+        F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
+        F.col("l_linestatus").alias("line_status"), line_revenue().cast("double").alias("total_sales"),
+        (F.col("l_returnflag") == "R").alias("stockout_flag"))
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey", F.col("p_type").alias("category"), F.col("p_retailprice").alias("unit_price"))
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    return joined.withColumn("profit", F.col("total_sales") - F.col("unit_price") * F.col("quantity"))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as actual classes with a second label standing in for the predicted class."""
     return table(spark, sf_dir, "labels").select(
         "doc_id", F.col("quality").cast("string").alias("actual"), F.col("toxic").cast("string").alias("predicted"))
 
 
+def line_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List price times quantity standing in for a prediction of the line price."""
+    lines = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity")
+    return lines.select(F.col("l_extendedprice").alias("actual"), (F.col("l_quantity") * 2100.0).alias("predicted"))
+
+
 def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as comma-separated lines with too many, too few, quoted and blank cells."""
     key, name = F.col("p_partkey").cast("string"), F.col("p_name")

@@ -13,6 +13,12 @@ from prismtab.operators.profile import local_frame
 PAIRS = "column_a string, column_b string, correlation double"
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Null where a column is constant; the built-in function raises there under ANSI."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def _pairs(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are filled.
 
@@ -23,10 +29,10 @@ def _pairs(df: DataFrame, columns: list[str] | None) -> DataFrame:
         return local_frame(df.sparkSession, [], PAIRS)
     values = df.select(*[number(df, name).alias(f"c{i}") for i, name in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
-    row = values.agg(*[F.corr(f"c{a}", f"c{b}").alias(f"r{a}_{b}") for a, b in pairs])
+    row = values.agg(*[_pearson(F.col(f"c{a}"), F.col(f"c{b}")).alias(f"r{a}_{b}") for a, b in pairs])
     return row.select(F.inline(F.array(*[
         F.struct(F.lit(names[a]).alias("column_a"), F.lit(names[b]).alias("column_b"),
-                 F.nanvl(F.col(f"r{a}_{b}"), F.lit(None)).alias("correlation"))
+                 F.col(f"r{a}_{b}").alias("correlation"))
         for a, b in pairs
     ])))
 

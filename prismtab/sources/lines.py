@@ -22,7 +22,7 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines as text. A file is UTF-8 if all of its lines are, else code page 1252, else Latin-1."""
     lines = raw_lines(spark, path)
-    latin = F.decode(F.col("value").cast("binary"), F.lit("ISO-8859-1"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     unknown = latin.rlike("[" + "".join(chr(b) for b in sorted(_UNDEFINED)) + "]")
     files = lines.groupBy("source").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("_utf8"), F.bool_or(unknown).alias("_latin"))

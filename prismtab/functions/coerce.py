@@ -117,7 +117,7 @@ def text_timestamp(value: Column) -> Column:
     text = F.trim(value)
     parsed = [text.try_cast("timestamp")]
     parsed += [F.try_to_timestamp(text, F.lit(pattern)) for pattern in DATE_FORMATS]
-    return F.when(text.rlike(DATE_TEXT), F.coalesce(*parsed))
+    return F.when(value.rlike(DATE_TEXT), F.coalesce(*parsed))
 
 
 def is_blank(df: DataFrame, name: str) -> Column:

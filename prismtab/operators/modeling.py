@@ -60,6 +60,11 @@ def hash_split(df: DataFrame, train_percent: int, keys: list[str] | None = None)
     return df.where(bucket < train_percent), df.where(bucket >= train_percent)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Data that a model passes over many times: spread evenly once, then kept in memory and on disk."""
+    return df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _numeric_feature(df: DataFrame, name: str) -> bool:
     kind = df.schema[name].dataType
     return is_number(kind) or isinstance(kind, T.BooleanType)
@@ -165,7 +170,7 @@ def _fit(df: DataFrame, keys: list[str], result: Training) -> None:
     data = _prepared(labelled, result.features, ["_actual", *[k for k in keys if k not in result.features]])
     train, test = hash_split(data, 75, keys or None)
     prepared = Pipeline(stages=_preprocessing(df, result.features)).fit(train)
-    held = [prepared.transform(side).persist(StorageLevel.MEMORY_AND_DISK) for side in (train, test)]
+    held = [_kept(prepared.transform(side)) for side in (train, test)]
     try:
         result.train_rows, result.test_rows = (side.count() for side in held)
         fitted = (_regressors if regression else _classifiers)(held[0])
@@ -289,7 +294,7 @@ def quick_predict(df: DataFrame, target: str, features: list[str] | None = None)
     data = df.select(actual.alias("_actual"), *[number(df, n).alias(n) for n in names]).dropna()
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(data)
     train, test = hash_split(assembled, 80, ["_actual", *names])
-    train, test = train.persist(StorageLevel.MEMORY_AND_DISK), test.persist(StorageLevel.MEMORY_AND_DISK)
+    train, test = _kept(train), _kept(test)
     try:
         if train.count() + test.count() < MIN_COMPLETE_ROWS:
             raise ValueError(f"at least {MIN_COMPLETE_ROWS} complete rows are needed")
@@ -341,7 +346,7 @@ def segments(df: DataFrame, columns: list[str] | None = None, k: int | None = No
     data = df.select(*[number(df, n).alias(n) for n in names]).dropna()
     pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_raw"),
                                 StandardScaler(inputCol="_raw", outputCol="features", withMean=True)])
-    ready = pipeline.fit(data).transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = _kept(pipeline.fit(data).transform(data).select("features", *names))
     try:
         rows = ready.count()
         if rows < MIN_COMPLETE_ROWS:

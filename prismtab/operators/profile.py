@@ -140,14 +140,14 @@ TESTS = ["blanks", "numeric_values", "date_shaped", "date_values", "range_shaped
 
 
 def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False) -> list[ColumnStats]:
-    """Statistics of every column.
+    """Statistics of every column from one pass.
 
-    With exact distinct counts everything comes from one grouping of (column, value) pairs: each
-    test then runs once per distinct value, not once per row. Without distinct counts, or with
-    ``approximate`` ones from a sketch, one aggregate without a shuffle of values is enough."""
+    With exact distinct counts the (column, value) pairs are grouped first, so that each test runs
+    once per distinct value. Without distinct counts, or with ``approximate`` ones from a sketch,
+    the pairs are tested as they come and only one row per column and task is shuffled."""
     if not df.columns:
         return []
-    counted = _by_value(df) if distinct and not approximate else _by_row(df, distinct)
+    counted = _value_tests(df, exact=distinct and not approximate, sketch=distinct and approximate)
     found = []
     for field in df.schema.fields:
         counts, kind = counted[field.name], _kind(field.dataType)
@@ -166,41 +166,29 @@ def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False
     return found
 
 
-def _by_row(df: DataFrame, sketch: bool) -> dict[str, dict[str, int]]:
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, name in enumerate(df.columns):
-        aggregates.append(F.count_if(is_null(df, name)).alias(f"{i}_nulls"))
-        if is_text(dtype(df, name)):
-            aggregates += [F.count_if(t).alias(f"{i}_{key}") for key, t in _text_tests(col(name)).items()]
-        if sketch:
-            aggregates.append(F.approx_count_distinct(_value_text(df, name)).alias(f"{i}_distinct"))
-    row = df.agg(*aggregates).first().asDict()
-    found = {}
-    for i, name in enumerate(df.columns):
-        counts = {key: row.get(f"{i}_{key}", 0) for key in ("nulls", *TESTS)} | {"rows": row["rows"]}
-        if sketch:
-            counts["distinct"] = counts["distinct_filled"] = row[f"{i}_distinct"]
-        found[name] = counts
-    return found
-
-
-def _by_value(df: DataFrame) -> dict[str, dict[str, int]]:
+def _value_tests(df: DataFrame, exact: bool, sketch: bool) -> dict[str, dict[str, int]]:
     texts = text_columns(df)
-    counts = value_pairs(df).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    value, n, is_text_column = F.col("value"), F.col("n"), F.col("column_name").isin(*texts)
-    tests = {key: F.when(is_text_column, test) for key, test in _text_tests(value).items()} if texts else {}
-    zero = F.lit(0).cast("bigint")
-    rows = counts.groupBy("column_name").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(value.isNull(), n)), zero).alias("nulls"),
-        F.count("value").alias("distinct"),
-        F.count_if(F.trim(value) != "").alias("distinct_filled"),
-        *[F.coalesce(F.sum(F.when(tests[key], n)), zero).alias(key) if key in tests else zero.alias(key)
-          for key in TESTS],
-    ).collect()
-    found = {r["column_name"]: r.asDict() for r in rows}
-    nothing = dict.fromkeys(["rows", "nulls", "distinct", "distinct_filled", *TESTS], 0)
-    return {name: found.get(name, dict(nothing)) for name in df.columns}
+    pairs = value_pairs(df)
+    if exact:
+        pairs = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        pairs = pairs.withColumn("n", F.lit(1).cast("bigint"))
+    value, n, of_text = F.col("value"), F.col("n"), F.col("column_name").isin(*texts)
+    tests = {key: of_text & test for key, test in _text_tests(value).items()} if texts else {}
+    # Written for (column, value) rows, the tests compile once for all columns.
+    aggregates = {
+        "rows": F.sum("n"), "nulls": F.sum(F.when(value.isNull(), n)),
+        **{key: F.sum(F.when(test, n)) for key, test in tests.items()},
+    }
+    if exact:
+        aggregates |= {"distinct": F.count("value"), "distinct_filled": F.count_if(F.trim(value) != "")}
+    elif sketch:
+        aggregates |= {"distinct": F.approx_count_distinct("value"), "distinct_filled": F.approx_count_distinct(
+            F.when(F.trim(value) != "", value))}
+    per_column = pairs.groupBy("column_name").agg(*[a.alias(key) for key, a in aggregates.items()])
+    found = {r["column_name"]: r.asDict() for r in per_column.collect()}
+    keys = ["rows", "nulls", "distinct", "distinct_filled", *TESTS]
+    return {name: {key: found.get(name, {}).get(key) or 0 for key in keys} for name in df.columns}
 
 
 def _value_text(df: DataFrame, name: str) -> Column:

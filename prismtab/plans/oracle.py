@@ -51,7 +51,7 @@ VIEWS = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "customers": """
         SELECT c_name AS customer, n_name AS country, c_mktsegment AS segment,
-               sum(CAST(o_totalprice AS DECIMAL(12,2))) AS spend
+               min(o_orderdate) AS signup_date, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS spend
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         GROUP BY c_custkey, c_name, n_name, c_mktsegment""",
     "finance": """
@@ -636,6 +636,27 @@ add("safe_features", "dirty", f"""WITH {_DIRTY}, r AS (SELECT column_name, CASE
     WHEN column_name NOT IN ('total', 'custkey') AND d > 50 THEN 'high_cardinality' ELSE '' END AS reason FROM f)
     SELECT column_name, reason = '' AS is_feature, reason FROM r""")
 
+# How well each name suggests a number or a class: string similarity, which SQL does not have.
+_NAME_FITS = """f AS (SELECT * FROM (VALUES ('order_id', TRUE, 0.043077, 0.065882), ('product_id', TRUE, 0.070000, 0.062222),
+    ('quantity', TRUE, 0.060000, 0.052500), ('gross_sales', TRUE, 0.180000, 0.044211), ('discount', TRUE, 0.080000, 0.065882),
+    ('tax', TRUE, 0.070000, 0.062222), ('return_flag', FALSE, 0.046667, 0.052500), ('line_status', FALSE, 0.052500, 0.180000),
+    ('ship_date', FALSE, 0.060000, 0.056000)) AS v(column_name, number, reg, cls))"""
+_LINE_COLUMNS = ["order_id", "product_id", "quantity", "gross_sales", "discount", "tax", "return_flag", "line_status", "ship_date"]
+add("target_suggestions", "order_lines", f"""WITH {_NAME_FITS},
+    c AS ({per_column('order_lines', _LINE_COLUMNS, 'count(*) AS n, count(@) AS filled, count(DISTINCT @) AS d')}),
+    t AS (SELECT *, CASE WHEN d BETWEEN 2 AND greatest(20, floor(filled * CASE WHEN number THEN 0.2 ELSE 0.4 END)) THEN 'classification'
+            WHEN number THEN 'regression' WHEN d >= 2 AND d <= 0.3 * filled THEN 'classification' END AS task_type,
+        (column_name IN ('order_id', 'product_id') AND d > 0.65 * filled) OR (NOT number AND d > 0.95 * filled AND filled >= 20) AS identifier
+        FROM c JOIN f USING (column_name) WHERE filled >= 10),
+    s AS (SELECT *, least(0.12, filled * 0.12 / n) + CASE task_type WHEN 'regression' THEN 0.55 + reg + 0.12
+            + CASE WHEN d > 0.7 * filled THEN 0.08 ELSE 0 END - CASE WHEN d < 5 THEN 0.25 ELSE 0 END
+        ELSE 0.52 + cls + CASE WHEN d <= greatest(10, floor(filled * 0.25)) THEN 0.12 ELSE 0 END
+            + CASE WHEN d <= 0.3 * filled THEN 0.08 ELSE 0 END - CASE WHEN d <= 2 THEN 0.05 ELSE 0 END
+            - CASE WHEN number AND d > 20 THEN 0.15 ELSE 0 END END AS raw FROM t WHERE task_type IS NOT NULL AND NOT identifier),
+    r AS (SELECT *, {half_up('greatest(0, least(0.99, raw))', 3)} AS confidence FROM s)
+    SELECT column_name, task_type, confidence, filled AS non_null_rows, d AS unique_values, confidence >= 0.5 AS safe
+    FROM r ORDER BY confidence DESC, filled DESC LIMIT 6""")
+
 # --- sources -----------------------------------------------------------------------------------
 
 add("csv_repair", "", """SELECT CAST(p_partkey AS VARCHAR) AS entry_no,
@@ -686,3 +707,43 @@ def _determined(feature: str) -> str:
 
 
 add("leakage_determinism", "catalog", union([_determined(f) for f in ("food_name", "entry_no", "cuisine")]))
+
+# --- free-form tools ---------------------------------------------------------------------------
+
+_INCOME = "(SELECT transaction_date AS d, CAST(income AS DECIMAL(18,4)) AS v FROM finance WHERE income IS NOT NULL)"
+add("time_series_mean", "finance", f"""SELECT CAST(last_day(d) AS VARCHAR) AS bucket,
+    {half_up('CAST(sum(v) AS DOUBLE) / count(v)', 6)} AS value FROM {_INCOME} GROUP BY 1""")
+add("time_series_count", "finance", f"""SELECT strftime(date_trunc('week', d) + INTERVAL 6 DAY, '%Y-%m-%d') AS bucket,
+    CAST(count(*) AS DOUBLE) AS value FROM {_INCOME} GROUP BY 1""")
+_G = "CAST(gross_sales AS DECIMAL(18,4))"
+add("group_aggregation", "order_lines", f"""SELECT return_flag, line_status, {cents(f'sum({_G})')} AS gross_sales_sum,
+    {half_up(f'CAST(sum({_G}) AS DOUBLE) / count(gross_sales)', 6)} AS gross_sales_mean, count(gross_sales) AS gross_sales_count,
+    min(gross_sales) AS gross_sales_min, max(gross_sales) AS gross_sales_max FROM order_lines GROUP BY 1, 2""")
+add("scatter_correlation", "order_lines", f"""WITH {bounds('order_lines', ['gross_sales'])}
+    SELECT return_flag AS color, count(*) AS points, {half_up('corr(quantity, gross_sales)', 6)} AS correlation,
+    count(*) FILTER (WHERE gross_sales < lo OR gross_sales > hi) AS outliers FROM order_lines, o GROUP BY 1""")
+add("metric_ratio", "order_lines", f"""SELECT return_flag, {half_up(
+    f'CAST(sum({_G}) AS DOUBLE) / CAST(sum(CAST(quantity AS DECIMAL(18,4))) AS DOUBLE)', 6)} AS ratio FROM order_lines GROUP BY 1""")
+add("metric_growth", "sales", f"""WITH g AS (SELECT strftime(order_date, '%Y-%m') AS period, CAST(sum(revenue) AS DOUBLE) AS v FROM sales GROUP BY 1),
+    l AS (SELECT *, lag(v) OVER (ORDER BY period) AS b FROM g)
+    SELECT period, {half_up('v', 2)} AS value, {half_up('CASE WHEN b <> 0 THEN (v - b) / abs(b) * 100 END', 2)} AS growth_pct FROM l""")
+add("metric_tiers", "customers", """SELECT customer, country, segment, signup_date, CAST(spend AS DOUBLE) AS spend,
+    CASE WHEN spend >= 3000000 THEN 'Gold' WHEN spend >= 1500000 THEN 'Silver' WHEN spend >= 0 THEN 'Bronze' END AS tier FROM customers""")
+add("metric_median", "order_lines", f"SELECT {quantile('gross_sales', 0.5)} AS value FROM order_lines")
+add("metric_sum", "order_lines", f"SELECT {cents(f'sum({_G})')} AS value FROM order_lines")
+
+
+def _welch(metric: str) -> str:
+    a, b = f"CASE WHEN return_flag = 'A' THEN {metric} END", f"CASE WHEN return_flag = 'R' THEN {metric} END"
+    return f"""SELECT '{metric}' AS metric, count({a}) AS n_a, count({b}) AS n_b, avg({a}) AS m_a, avg({b}) AS m_b,
+        var_samp({a}) / count({a}) AS e_a, var_samp({b}) / count({b}) AS e_b FROM order_lines"""
+
+
+add("segments_welch", "order_lines", f"""WITH w AS ({union([_welch('quantity'), _welch('gross_sales')])})
+    SELECT metric, n_a, n_b, {half_up('m_a', 6)} AS mean_a, {half_up('m_b', 6)} AS mean_b, {half_up('(m_a - m_b) / sqrt(e_a + e_b)', 6)} AS statistic,
+    {half_up('(e_a + e_b) * (e_a + e_b) / (e_a * e_a / (n_a - 1) + e_b * e_b / (n_b - 1))', 4)} AS degrees FROM w""")
+add("segments_ranks", "order_lines", """WITH v AS (SELECT gross_sales AS v, return_flag = 'A' AS a FROM order_lines WHERE return_flag IN ('A', 'R')),
+    g AS (SELECT v, count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE NOT a) AS b FROM v GROUP BY 1),
+    c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+    SELECT CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * (below + b / 2.0)) AS DOUBLE) AS statistic,
+    sum(power(CAST(a + b AS DOUBLE), 3) - (a + b)) AS tie_term FROM c""")

@@ -11,8 +11,8 @@ from prismtab.functions.vocabulary import (
     CREDIT_VALUES, EXPENSE_VALUES, LEDGER_CREDIT, LEDGER_EXPENSE, LEDGER_SALES, REFUND_VALUES, SALE_VALUES,
 )
 from prismtab.operators import (
-    catalog, customers, evaluation, filters, finance, leads, ledger, metrics, modeling, outliers, profile,
-    quality, ranking, relations, roles, targets, trends,
+    catalog, comparison, customers, evaluation, filters, finance, leads, ledger, metrics, modeling,
+    outliers, profile, quality, ranking, relations, roles, targets, trends,
 )
 from prismtab.operators.ledger import LedgerColumns
 from prismtab.operators.metrics import Metric
@@ -146,10 +146,15 @@ on(views.dirty, "unique_values", profile.unique_values)
 with_stats(coerced, "dataset_warnings", quality.dataset_warnings)
 on(views.dirty, "schema_profile", profile.schema_profile)
 on(views.finance, "preview", filters.preview, "entry_id")
-on(views.dirty, "coerced_types", filters.coerce_columns, ["amount"], ["order_date"])
 on(views.ledger, "money_parse", ledger.parse_money, "amount", "entry_id", "line_no")
 
 
+@query("coerced_types")
+def _coerced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = filters.coerce_columns(views.dirty(spark, sf_dir), ["amount"], ["order_date"])
+    return df.withColumn("order_date", F.col("order_date").cast("timestamp_ntz"))
+
+
 @query("dataset_overview")
 def _dataset_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = views.finance(spark, sf_dir)
@@ -323,6 +328,25 @@ def _report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("Item/Customer").alias("item"), F.col("Amount").alias("amount"))
 
 
+# --- free-form tools ---------------------------------------------------------------------------
+
+on(views.finance, "time_series_mean", comparison.time_series, "transaction_date", "income", "month", "mean")
+on(views.finance, "time_series_count", comparison.time_series, "transaction_date", "income", "week", "count")
+on(views.order_lines, "group_aggregation", comparison.group_aggregation, ["return_flag", "line_status"], "gross_sales",
+   ["sum", "mean", "count", "min", "max"])
+on(views.order_lines, "scatter_correlation", comparison.scatter_correlation, "quantity", "gross_sales", "return_flag")
+on(views.order_lines, "scatter_points", comparison.scatter_points, "quantity", "gross_sales", "return_flag")
+on(views.order_lines, "metric_ratio", comparison.ratio_metric, "gross_sales", "quantity", ["return_flag"])
+on(sales("order_date"), "metric_growth", comparison.growth_metric, "order_date", "revenue", "month")
+on(lambda spark, sf_dir: views.customers(spark, sf_dir).withColumn("spend", F.col("spend").cast("double")), "metric_tiers",
+   comparison.tier, "spend", {"Gold": 3000000, "Silver": 1500000, "Bronze": 0})
+on(views.order_lines, "metric_median", comparison.single_metric, "gross_sales", "median")
+on(views.order_lines, "metric_sum", comparison.single_metric, "gross_sales", "sum")
+on(views.order_lines, "segments_welch", comparison.welch, "return_flag", ("A", "R"), ["quantity", "gross_sales"])
+on(views.order_lines, "segments_ranks", comparison.mann_whitney, "return_flag", ("A", "R"), "gross_sales")
+on(views.order_lines, "compare_segments", comparison.compare_segments, "return_flag", ("A", "R"), ["quantity", "gross_sales"])
+
+
 # --- models ------------------------------------------------------------------------------------
 
 on(views.line_predictions, "regression_metrics", evaluation.regression_metrics)

@@ -153,7 +153,8 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").join(
         geography(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     return people.join(spend, F.col("c_custkey") == F.col("o_custkey")).select(
-        F.col("c_name").alias("customer"), "country", F.col("c_mktsegment").alias("segment"), "signup_date", "spend")
+        F.col("c_name").alias("customer"), "country", F.col("c_mktsegment").alias("segment"), "signup_date",
+        F.col("spend"))
 
 
 def finance(spark: SparkSession, sf_dir: str) -> DataFrame:

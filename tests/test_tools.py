@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from prismtab.operators import catalog, customers, filters, finance, leads, ledger, ranking, trends
+from prismtab.operators import catalog, comparison, customers, filters, finance, leads, ledger, ranking, trends
 from prismtab.operators.ledger import LedgerColumns
 
 
@@ -153,3 +153,32 @@ def test_insights(spark):
 def test_display_safe(spark):
     df = spark.createDataFrame([(float("nan"), 1), (float("inf"), 2), (1.23456789, 3)], "v double, k int")
     assert [r.v for r in filters.display_safe(df).orderBy("k").collect()] == [None, None, 1.234568]
+
+
+def test_custom_metrics(spark):
+    df = spark.createDataFrame([("2026-01-01", "a", 10.0, 2.0), ("2026-02-01", "a", 30.0, 2.0), ("2026-02-02", "b", 5.0, 0.0)],
+                               "d string, g string, v double, w double")
+    assert sorted(rows(comparison.ratio_metric(df, "v", "w", ["g"]))) == [("a", 10.0), ("b", None)]
+    assert rows(comparison.growth_metric(df, "d", "v")) == [("2026-01", 10.0, None), ("2026-02", 35.0, 250.0)]
+    tiers = comparison.tier(df, "v", {"Gold": 20, "Bronze": 6}).collect()
+    assert [r.tier for r in tiers] == ["Bronze", "Gold", None]
+    assert [comparison.single_metric(df, "v", op).first()[0] for op in ("sum", "mean", "count", "median")] == [45.0, 15.0, 3.0, 10.0]
+    assert rows(comparison.group_aggregation(df, ["g"], "v", ["sum", "max"], limit=1)) == [("a", 40.0, 30.0)]
+    assert rows(comparison.time_series(df, "d", "v", how="sum")) == [("2026-01-31", 10.0), ("2026-02-28", 35.0)]
+    assert comparison.scatter_points(df, "v", "w", "g", 2).count() == 2
+    assert rows(comparison.scatter_correlation(df.where("g = 'a'"), "v", "w")) == [("all", 2, None, 0)]
+
+
+def test_segment_tests(spark):
+    assert comparison._student_p(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
+    assert comparison._student_p(1.0, 1) == pytest.approx(0.5, abs=1e-6)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 9, 300), rng.integers(1, 10, 200)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 300 + ["b"] * 200, "v": np.concatenate([a, b]).astype(float)}))
+    u = comparison.mann_whitney(df, "g", ("a", "b"), "v").first()
+    assert u["statistic"] == sum((x > b).sum() + 0.5 * (x == b).sum() for x in a)
+    for test in ("ttest", "mannwhitney"):
+        row = comparison.compare_segments(df, "g", ("a", "b"), ["v"], test).first()
+        assert row.significant and 0 < row.p_value < 0.01
+    same = comparison.compare_segments(df.withColumn("v", df.v * 0), "g", ("a", "b"), ["v"], "mannwhitney").first()
+    assert same.p_value == 1.0 and not same.significant

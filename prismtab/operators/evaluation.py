@@ -75,15 +75,13 @@ def class_balance(df: DataFrame, label: str, limit: float = 0.9) -> DataFrame:
 def leakage_determinism(df: DataFrame, features: list[str], target: str, limit: float = 0.9) -> DataFrame:
     """Share of each feature's values that occur with one target value only.
 
-    A value has one target value when its smallest and largest are equal, so no distinct count is needed."""
-    found = None
-    for feature in features:
-        pairs = df.where(col(feature).isNotNull() & col(target).isNotNull()).select(
-            col(feature).cast("string").alias("value"), col(target).cast("string").alias("target"))
-        values = pairs.groupBy("value").agg((F.min("target") == F.max("target")).alias("_one"))
-        share = F.try_divide(F.count_if("_one"), F.count(F.lit(1)))
-        row = values.agg(F.count(F.lit(1)).alias("feature_values"), share.alias("_share")).select(
-            F.lit(feature).alias("feature"), "feature_values", half_up(F.col("_share"), 6).alias("determined_share"),
-            F.coalesce(F.col("_share") >= limit, F.lit(False)).alias("near_deterministic"))
-        found = row if found is None else found.unionByName(row)
-    return found
+    One grouping of (feature, value) pairs serves all features. A value has one target value when
+    its smallest and largest are equal, so no distinct count is needed."""
+    words = df.select(col(target).cast("string").alias("_target"), *[col(f).cast("string").alias(f) for f in features])
+    pairs = words.unpivot(["_target"], [col(f) for f in features], "feature", "value").where(
+        F.col("value").isNotNull() & F.col("_target").isNotNull())
+    values = pairs.groupBy("feature", "value").agg((F.min("_target") == F.max("_target")).alias("_one"))
+    share = F.count_if("_one") / F.count(F.lit(1))
+    return values.groupBy("feature").agg(F.count(F.lit(1)).alias("feature_values"), share.alias("_share")).select(
+        "feature", "feature_values", half_up(F.col("_share"), 6).alias("determined_share"),
+        (F.col("_share") >= limit).alias("near_deterministic"))

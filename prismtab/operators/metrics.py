@@ -206,19 +206,22 @@ def expense_by_group(df: DataFrame, expense: Metric, group: str | None) -> DataF
 
 
 def _monthly_for_leaders(df: DataFrame, date: str, product: str, revenue: Metric, leaders: int) -> DataFrame:
-    """(period, product, total) of the leading products; the kept side of the join has few rows."""
+    """(product, _start, _value) of the leading products from one pass over the table.
+
+    Monthly sums travel with their product, so the ranking needs no second pass and no join; a
+    product has at most one entry per calendar month. Rows without a date count for the ranking."""
     lines = df.select(
         bucket(timestamp(df, date), "month").alias("_start"),
         label(df, product).alias("product"),
         metric_column(df, revenue).alias("_value"),
     )
-    # One aggregate feeds both sides; rows without a date still count towards the ranking.
     monthly = lines.groupBy("product", "_start").agg(F.sum("_value").alias("_value"))
     top = (
-        monthly.groupBy("product").agg(F.sum("_value").alias("_total"))
+        monthly.groupBy("product")
+        .agg(F.sum("_value").alias("_total"), F.collect_list(F.struct("_start", "_value")).alias("_months"))
         .orderBy(F.desc("_total"), F.asc("product")).limit(leaders).where(F.col("_total") != 0)
     )
-    return monthly.join(top, "product", "left_semi").where(F.col("_start").isNotNull())
+    return top.select("product", F.inline("_months")).where(F.col("_start").isNotNull())
 
 
 def top_product_monthly(

@@ -92,13 +92,16 @@ def filled_periods(df: DataFrame, date: str, value: str, grain: str) -> DataFram
     lines = df.select(bucket(timestamp(df, date), grain).alias("start"), money(df, value).alias("_value")).where(
         F.col("start").isNotNull() & F.col("_value").isNotNull())
     sums = lines.groupBy("start").agg(F.sum("_value").alias("total"), F.count(F.lit(1)).alias("_n"))
-    # The array has one entry per calendar period between the first and the last row.
-    every = sums.agg(
-        spine(F.min("start"), F.max("start"), grain).alias("starts"), F.sum("_n").alias("lines"),
-    ).select(F.explode("starts").alias("start"), "lines")
-    zero = F.lit(0).cast("decimal(28,4)")
-    return every.join(sums.select("start", "total"), "start", "left").select(
-        "start", F.coalesce("total", zero).alias("total"), "lines")
+    # One row per calendar period from here on: zeros for every period join the sums that exist.
+    zero = F.lit(0).cast(sums.schema["total"].dataType)
+    every = spine(F.min("start"), F.max("start"), grain)
+    whole = sums.agg(
+        F.collect_list(F.struct("start", "total")).alias("known"),
+        F.transform(every, lambda s: F.struct(s.alias("start"), zero.alias("total"))).alias("empty"),
+        F.sum("_n").alias("lines"),
+    )
+    return whole.select("lines", F.inline(F.concat("known", "empty"))).groupBy("start").agg(
+        F.sum("total").alias("total"), F.max("lines").alias("lines"))
 
 
 def trend_gapfilled(df: DataFrame, date: str, value: str, grain: str = "month") -> DataFrame:

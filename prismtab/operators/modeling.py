@@ -215,9 +215,9 @@ def _classifiers(train: DataFrame) -> list:
     total, classes = sum(counts.values()), len(counts)
     weight = F.try_divide(F.lit(total / classes), F.element_at(
         F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("_actual")))
-    indexer = StringIndexer(inputCol="_actual", outputCol="_label", handleInvalid="keep").fit(train)
+    indexer = StringIndexer(inputCol="_actual", outputCol="_label").fit(train)  # only training rows are indexed
     balanced = indexer.transform(train.withColumn("_weight", weight))
-    to_text = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels + ["__unknown"])
+    to_text = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     logistic = LogisticRegression(labelCol="_label", weightCol="_weight", maxIter=1000)
     forest = RandomForestClassifier(labelCol="_label", weightCol="_weight", maxMemoryInMB=FOREST_MEMORY_MB, **FOREST)
     return [("baseline_most_common", F.lit(common)), ("logistic", [logistic.fit(balanced), to_text]),
@@ -232,7 +232,7 @@ def score_table(df: DataFrame, result: Training) -> DataFrame:
 
 def _fitted_estimator(result: Training):
     return next(s for s in reversed(result.model.stages) if hasattr(s, "featureImportances")
-                or hasattr(s, "coefficients") or hasattr(s, "coefficientMatrix"))
+                or hasattr(s, "coefficientMatrix") or hasattr(s, "coefficients"))
 
 
 def importance_values(estimator) -> list[float]:
@@ -299,9 +299,9 @@ def quick_predict(df: DataFrame, target: str, features: list[str] | None = None)
         if train.count() + test.count() < MIN_COMPLETE_ROWS:
             raise ValueError(f"at least {MIN_COMPLETE_ROWS} complete rows are needed")
         if classes:
-            indexer = StringIndexer(inputCol="_actual", outputCol="_label", handleInvalid="keep").fit(train)
+            indexer = StringIndexer(inputCol="_actual", outputCol="_label").fit(train)
             forest = RandomForestClassifier(labelCol="_label", maxMemoryInMB=FOREST_MEMORY_MB, **QUICK_FOREST)
-            back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels + ["__unknown"])
+            back = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
             name, stages = "random_forest", [forest.fit(indexer.transform(train)), back]
             metrics = classification_metrics(_scored(stages, test), digits=2).first()
             shown = [("accuracy", metrics["accuracy"]), ("f1_weighted", metrics["f1_weighted"])]

@@ -42,6 +42,9 @@ def test_classification_beats_the_baseline(shop):
     result = modeling.train_model(shop.drop("revenue"), "churned")
     f1 = scores(result, "f1_weighted")
     assert f1[result.selected] > f1["baseline_most_common"]
+    assert modeling.top_features(modeling.feature_importance(shop, result), 1).first().feature == "quantity"
+    sample = modeling.prediction_sample(result, ["quantity"], 3).collect()
+    assert len(sample) == 3 and {r.predicted for r in sample} <= {"yes", "no"}
     matrix = evaluation.confusion_matrix(result.predictions).collect()
     assert len(matrix) == 4 and sum(r["count"] for r in matrix) == result.test_rows
 

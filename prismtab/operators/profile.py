@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from prismtab.functions import vocabulary as words
 from prismtab.functions.coerce import (
-    DATE_TEXT, RANGE_TEXT, col, dtype, is_date, is_null, is_number, is_text, number, numeric_columns,
+    DATE_TEXT, RANGE_TEXT, col, is_date, is_null, is_number, is_text, number, numeric_columns,
     numeric_text, text_columns, text_timestamp, upper_trim,
 )
 from prismtab.functions.names import ascii_snake

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prismtab.functions.coerce import mean, money, numeric_columns, plain_number, timestamp
-from prismtab.functions.periods import bucket, bucket_label, period_text, spine
+from prismtab.functions.periods import bucket, bucket_label, spine
 from prismtab.functions.rounding import half_up, money_round
 
 

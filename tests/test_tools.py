@@ -182,3 +182,12 @@ def test_segment_tests(spark):
         assert row.significant and 0 < row.p_value < 0.01
     same = comparison.compare_segments(df.withColumn("v", df.v * 0), "g", ("a", "b"), ["v"], "mannwhitney").first()
     assert same.p_value == 1.0 and not same.significant
+
+
+def test_empty_inputs_give_no_periods(spark):
+    df = spark.createDataFrame([], "d string, g string, v double")
+    assert rows(trends.trend_gapfilled(df, "d", "v")) == []
+    assert rows(ranking.recent_growth(df, "d", "v")) == []
+    assert rows(ranking.trending(df, "g", "v", "d")) == []
+    assert rows(trends.trend_series(df, "d", ["v"])) == []
+    assert rows(comparison.welch(df, "g", ("a", "b"), ["v"])) == [("v", 0, 0, None, None, None, None)]

@@ -9,11 +9,14 @@ worth one, or differ by at most one shingle in a segment worth two. Which worths
 matter of cost: deletions cost index rows but let segments be larger, which collide less in bands
 with many sets. A set is indexed under the scheme of its own band and of the band below.
 
+A set whose segments hold something in at least d + 1 cases leaves its empty segments out of the
+index, since a linked pair must then agree in one that is not empty.
+
 Sets that share an index key are candidates. Each key first offers its smallest and its largest
 member to all others, which is linear in the key; the links so found make components. Pairs of a key
-that are still in different components are joined, unless their sizes or the parities of their
-shingles (a lower bound of the symmetric difference) rule a link out. Every candidate is verified on
-the shingle sets. So groups of copies cost one pair for each member, and no link is lost.
+that are still in different components are joined. Sizes and the parities of the shingles (a lower
+bound of the symmetric difference) rule candidates out before any set is fetched; the rest are
+verified on the shingle sets. So groups of copies cost one pair for each member, and no link is lost.
 
 Shingles are 64-bit hashes; sets are told apart by 128 bits. Texts without words have an empty set
 and link with nothing. Null text counts as empty. Rows with a null doc_id take part like others.
@@ -37,7 +40,9 @@ WIDTH = 5
 PERCENT = 80
 #: The cost model: share of pairs of a band that have a passage in common, and how much of them it is.
 SHARED_PAIRS, SHARED_PART = 1e-4, 0.5
-PARITY_WORDS = 8
+PARITY_WORDS = 16
+#: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
+BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 25
 KNOWN_WORDS = 200_000
 U = np.uint64
@@ -82,57 +87,69 @@ def most_apart(smaller: int, larger: int, percent: int) -> int:
 
 
 def band_starts(percent: int, largest: int) -> list[int]:
-    """First size of each band; bands grow by exactly 100/percent."""
+    """First size of each band; bands grow by BAND_GROWTH times the ratio of the largest linked sizes."""
     starts, edge = [], Fraction(1)
     while edge <= largest:
-        starts.append(math.ceil(edge))
-        edge *= Fraction(100, percent)
+        if not starts or math.ceil(edge) > starts[-1]:
+            starts.append(math.ceil(edge))
+        edge *= Fraction(100, percent) * BAND_GROWTH
     return starts
 
 
-def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int]:
-    """(segments worth one, segments worth two) of the scheme for sizes low..high with the least
+def filled(segments: int, size: int) -> float:
+    """Segments that hold something, nearly always at least: the mean less three deviations."""
+    empty = math.exp(-size / segments)
+    return segments * (1 - empty) - 3 * math.sqrt(segments * empty * (1 - empty))
+
+
+def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int, int]:
+    """(d + 1, segments worth one, segments worth two) of the scheme for sizes low..high with the least
     estimated cost: index rows, and candidate pairs that share a passage but do not link."""
     need = most_apart(high, high * 100 // percent, percent) + 1
     best = None
     for twos in range(need // 2 + 1):
         ones = need - 2 * twos
+        if not twos:
+            ones = next((m for m in range(need, need + need // 2 + 1) if filled(m, low) >= need), need)
         one = low / (ones + 2 * twos)
         rows = sets * (ones + twos * (1 + 2 * one))
         hits = ones * SHARED_PART ** one + twos * 2 * one * SHARED_PART ** (2 * one - 1)
         cost = rows + SHARED_PAIRS * sets * sets * hits
         if best is None or cost < best[0]:
             best = (cost, ones, twos)
-    return best[1], best[2]
+    return need, best[1], best[2]
 
 
 class Schemes:
     """Starts of the bands and the allocation of each; small, one entry for each band of sizes."""
 
     def __init__(self, percent: int, counts: dict[int, int], largest: int):
+        self.percent = percent
         self.starts = np.array(band_starts(percent, largest + 1), dtype=np.int64)
-        ends = [*self.starts[1:].tolist(), int(self.starts[-1]) * 100 // percent + 1]
+        ends = [*self.starts[1:].tolist(), int(self.starts[-1]) * 3]
         held = [sum(c for size, c in counts.items() if low <= size < high) for low, high in zip(self.starts.tolist(), ends)]
-        self.parts = [allocation(int(low), max(int(low), high - 1), percent, max(1, held[i] + (held[i + 1] if i + 1 < len(held) else 0)))
+        self.parts = [allocation(int(low), high - 1, percent, max(1, held[i]))
                       for i, (low, high) in enumerate(zip(self.starts.tolist(), ends))]
 
     def keys(self, values: np.ndarray) -> np.ndarray:
-        """Index keys of one set under the schemes of its band and of the band below."""
+        """Index keys of one set under the scheme of its band, and of the band below if it can link into it."""
         band = int(np.searchsorted(self.starts, len(values), side="right")) - 1
         inner = mixed(values + U(0x632BE59BD9B4E019))
         sums = np.concatenate([np.zeros(1, U), np.cumsum(inner, dtype=U)])
         found = []
         for scheme in (band, band - 1):
-            if scheme < 0:
+            if scheme < 0 or scheme < band and self.percent * len(values) > 100 * (int(self.starts[band]) - 1):
                 continue
-            ones, twos = self.parts[scheme]
+            need, ones, twos = self.parts[scheme]
             weight = ones + 2 * twos
             place = ((values >> U(32)) * U(weight)) >> U(32)
             segment = np.where(place < ones, place, ones + (place - np.minimum(place, U(ones))) // U(2)).astype(np.int64)
             cuts = np.searchsorted(segment, np.arange(ones + twos + 1))
             tag = mixed(np.arange(ones + twos, dtype=U) + U((scheme + 1) << 32))
             content = sums[cuts[1:]] - sums[cuts[:-1]]
-            found.append(mixed(content + tag))
+            whole = mixed(content + tag)
+            full = cuts[1:] > cuts[:-1]
+            found.append(whole[full] if not twos and full.sum() >= need else whole)
             if twos:
                 tail = slice(cuts[ones], None)
                 of = segment[tail]
@@ -148,124 +165,154 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, schemes: Schemes) -> DataFrame:
-    """(doc_id, n, k1, k2, keys): size, identity and index keys of each document's set."""
+PARITIES = [f"p{i}" for i in range(PARITY_WORDS)]
+
+
+def identity(values: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(values.tobytes())
+    return (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]) if parts else np.zeros(1)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
+
+
+def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Schemes) -> DataFrame:
+    """(doc_id, n, k1, k2, p0.., keys): size, identity, parities and index keys of each document's set."""
     def batches(parts):
-        known = WordHashes()
+        known, none = WordHashes(), np.empty(0, np.int64)
         for part in parts:
-            sizes, first, second, keys, ends = [], [], [], [], [0]
-            for value in part.column(1):
-                values = shingle_set(value.as_py(), width, known)
-                digest = xxhash.xxh3_128_intdigest(values.tobytes())
-                sizes.append(len(values))
-                first.append((digest >> 64) - (1 << 63))
-                second.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                if len(values):
-                    keys.append(schemes.keys(values))
-                ends.append(ends[-1] + (len(keys[-1]) if len(values) else 0))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            sets = [shingle_set(value.as_py(), width, known) for value in part.column(1)]
+            names = [identity(values) for values in sets]
+            odd = np.array([parity(values) for values in sets]).reshape(-1, PARITY_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "k1", "k2", "keys"])
+                [part.column(0), pa.array([len(v) for v in sets], pa.int64()), *(pa.array([k[i] for k in names], pa.int64()) for i in (0, 1)),
+                 *(pa.array(odd[:, i]) for i in range(PARITY_WORDS)), lists([schemes.keys(v) if len(v) else none for v in sets])],
+                names=["doc_id", "n", "k1", "k2", *PARITIES, "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        batches, f"doc_id {kind}, n long, k1 long, k2 long, keys array<long>")
+        batches, f"doc_id {kind}, n long, k1 long, k2 long, {', '.join(p + ' long' for p in PARITIES)}, keys array<long>")
 
 
 def bloom(nodes: DataFrame) -> np.ndarray:
     """A bit for each k1 of the nodes, in a table of fixed size; it only saves work and decides nothing."""
     place = f"pmod(k1, {BLOOM_BITS}L)"
-    words = (nodes.selectExpr(f"{place} div 32 AS w", f"shiftleft(1L, cast({place} % 32 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas())
+    words = (nodes.selectExpr(f"{place} div 32 AS w", f"shiftleft(1L, cast({place} % 32 AS int)) AS b").groupBy("w")
+             .agg(F.bit_or("b").alias("b")).toPandas())
     bits = np.zeros(BLOOM_BITS // 32, np.uint32)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
     return bits
 
 
-def set_rows(docs: DataFrame, text: str, width: int, bits: np.ndarray) -> DataFrame:
-    """(k1, k2, items, p0..): shingles and parities of the sets whose bit is set."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+def marked(bits: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    place = k1 % BLOOM_BITS
+    return (bits[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def entries_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, id): index keys of one document of each set, by its doc_id.
+
+    Only documents that may have an equal one are shuffled to choose it; the others pass in place.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(bloom(nodes.where("held > 1")))
+
+    def part_of(twins: bool):
+        def batches(parts):
+            for part in parts:
+                chosen = np.flatnonzero(marked(held.value, part.column(1).to_numpy()) == twins)
+                yield part.take(pa.array(chosen))
+        return batches
+
+    rows = rows.where("n > 0").select("doc_id", "k1", "k2", "keys")
+    alone = rows.mapInArrow(part_of(False), rows.schema).select("doc_id", "keys")
+    reps = nodes.select("k1", "k2", F.col("first_id").alias("_first"))
+    twins = rows.mapInArrow(part_of(True), rows.schema).join(reps, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
+    return alone.union(twins.dropDuplicates(["k1", "k2"]).select("doc_id", "keys")).select(
+        F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+
+
+def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
+    """(node, items): the shingle sets of the wanted nodes (node, k1, k2), made from the texts again."""
+    held = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
 
     def batches(parts):
         known = WordHashes()
         for part in parts:
-            first, second, items, ends, odd = [], [], [], [0], []
-            for value in part.column(0):
-                values = shingle_set(value.as_py(), width, known)
-                digest = xxhash.xxh3_128_intdigest(values.tobytes())
-                k1 = (digest >> 64) - (1 << 63)
-                place = k1 % BLOOM_BITS
-                if len(values) and held.value[place >> 5] >> np.uint32(place & 31) & 1:
-                    first.append(k1)
-                    second.append((digest & ((1 << 64) - 1)) - (1 << 63))
-                    items.append(values.view(np.int64))
-                    ends.append(ends[-1] + len(values))
-                    odd.append(parity(values))
-            flat = np.concatenate(items) if items else np.empty(0, np.int64)
-            odd = np.array(odd, dtype=np.int64).reshape(-1, PARITY_WORDS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array(odd[:, i]) for i in range(PARITY_WORDS))],
-                names=["k1", "k2", "items", *(f"p{i}" for i in range(PARITY_WORDS))])
+            sets = [shingle_set(value.as_py(), width, known) for value in part.column(0)]
+            sets = [(identity(values), values.view(np.int64)) for values in sets if len(values)]
+            use = marked(held.value, np.array([k[0] for k, _ in sets], dtype=np.int64))
+            sets = [one for one, used in zip(sets, use) if used]
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k, _ in sets], pa.int64()) for i in (0, 1)] + [lists([v for _, v in sets])],
+                                             names=["k1", "k2", "items"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(
-        batches, "k1 long, k2 long, items array<long>, " + ", ".join(f"p{i} long" for i in range(PARITY_WORDS)))
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(batches, "k1 long, k2 long, items array<long>")
+    return stored(found.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "items"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def may_link(percent: int):
+    """Neither the sizes nor the parities of a and b rule a link out."""
+    apart = total([F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES])
+    sizes = F.col("a_n") + F.col("b_n")
+    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart * (100 + percent) <= sizes * (100 - percent))
+
+
+def sided(nodes: DataFrame, side: str, *more: str) -> DataFrame:
+    return nodes.select(*more, *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", *PARITIES)))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int, nodes: DataFrame) -> DataFrame:
     """Of the candidate pairs (a, b) those whose sets link."""
+    pairs = stored(pairs)
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = fetch_sets(docs, text, width, stored(nodes.select("node", "k1", "k2").join(ends, "node", "left_semi")))
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return (pairs.join(left, "a").join(right, "b").withColumn("_both", both)
-            .where(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b"))
+    return stored(pairs.join(left, "a").join(right, "b").withColumn("_both", both)
+                  .where(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b"))
 
 
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT):
     """(membership, links): doc_id, n_shingles, node and component_id of every document; and the links
     (a, b) between nodes that were verified, enough of them to connect every component."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     guess = F.greatest(F.lit(1), F.length(F.col(text)) / 7).cast("long")
     rough = F.pow(F.lit(2.0), F.floor(F.log2(guess))).cast("long")
     counts = {r["s"]: r["n"] for r in docs.where(F.length(text) > 0).groupBy(rough.alias("s")).agg(F.count("*").alias("n")).collect()}
     longest = docs.agg(F.max(F.length(text))).first()[0] or 1
     schemes = Schemes(percent, counts, longest)
 
-    rows = stored(index_rows(docs, doc_id, text, width, percent, schemes))
-    nodes = (rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    rows = stored(index_rows(docs, doc_id, text, width, schemes))
+    nodes = rows.where("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", *PARITIES)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    entries = nodes.select("node", "n", F.explode("keys").alias("key"))
-    ends = entries.groupBy("key").agg(F.count("*").alias("held"), F.min("node").alias("low"), F.max("node").alias("high")).where("held > 1").drop("held")
-    shared = stored(entries.join(ends, "key"))
-
-    wanted = stored(shared.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node"))
-    sets = set_rows(docs, text, width, bloom(wanted)).dropDuplicates(["k1", "k2"])
-    sets = stored(sets.join(wanted, ["k1", "k2"]).drop("k1", "k2"))
-
-    offered = shared.select("node", "low").union(shared.select("node", "high")).toDF("x", "y").where("x <> y")
-    offered = offered.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stored(verified(offered, sets, percent))
+    entries = entries_of(rows, nodes)
+    often = entries.groupBy("key").agg(F.count("*").alias("_held")).where("_held > 1").select("key")
+    shared = stored(entries.join(often, "key"))
+    named = nodes.select("node", "n", F.col("first_id").alias("_first"))
+    shared = stored(shared.join(named, F.col("id").eqNullSafe(F.col("_first"))).select("key", "node", "n"))
+
+    ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    tied = shared.select("key", "node").join(ends, "key")
+    offered = tied.select("node", "low").union(tied.select("node", "high")).toDF("x", "y").where("x <> y")
+    offered = offered.select(F.least("x", "y").alias("a_node"), F.greatest("x", "y").alias("b_node")).distinct()
+    offered = offered.join(sided(nodes, "a"), "a_node").join(sided(nodes, "b"), "b_node").where(may_link(percent))
+    links = verified(offered.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), docs, text, width, percent, nodes)
     found = components(links)
 
-    parts = [f"p{i}" for i in range(PARITY_WORDS)]
     labels = found.withColumnRenamed("node", "_node")
-    tagged = (shared.select("key", "node", "n").join(labels, F.col("node") == F.col("_node"), "left")
+    tagged = (shared.select("key", "node").join(labels, F.col("node") == F.col("_node"), "left")
               .withColumn("label", F.coalesce("label", "node")).drop("_node"))
     split = tagged.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
-    open_rows = stored(tagged.join(split, "key", "left_semi").join(sets.select("node", *parts), "node"))
-    x = open_rows.select("key", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "label", *parts)))
-    y = open_rows.select("key", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "label", *parts)))
-    apart = total([F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in parts])
-    near = (
-        (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label"))
-        & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        & (apart * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)))
-    rest = x.join(y, (x["key"] == y["key"]) & near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    more = stored(verified(rest, sets, percent))
-    links = links.union(more)
+    open_rows = stored(tagged.join(split, "key", "left_semi").join(nodes.select("node", "n", *PARITIES), "node"))
+    x = sided(open_rows, "a", "key", F.col("label").alias("a_label"))
+    y = sided(open_rows, "b", F.col("key").alias("_key"), F.col("label").alias("b_label"))
+    near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
+    rest = x.join(y, (F.col("key") == F.col("_key")) & near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)
 
     firsts = nodes.select("node", "k1", "k2", "first_id")

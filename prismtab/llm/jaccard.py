@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,11 @@ WIDTH = 5
 PERCENT = 80
 #: The cost model: share of pairs of a band that have a passage in common, and how much of them it is.
 SHARED_PAIRS, SHARED_PART = 1e-4, 0.5
-PARITY_WORDS = 16
+PARITY_WORDS, FOLDED_WORDS = 32, 4
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 27
+KEY_BITS = 48
 KNOWN_WORDS = 200_000
 U = np.uint64
 
@@ -154,7 +156,7 @@ class Schemes:
                 tail = slice(cuts[ones], None)
                 of = segment[tail]
                 found.append(mixed(content[of] - inner[tail] + tag[of]))
-        return np.unique(np.concatenate(found)).view(np.int64)
+        return np.unique(np.concatenate(found) >> U(64 - KEY_BITS)).view(np.int64)
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -196,33 +198,42 @@ def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Sch
         batches, f"doc_id {kind}, n long, k1 long, k2 long, {', '.join(p + ' long' for p in PARITIES)}, keys array<long>")
 
 
-def bloom(nodes: DataFrame) -> np.ndarray:
-    """A bit for each k1 of the nodes, in a table of fixed size; it only saves work and decides nothing."""
-    place = f"pmod(k1, {BLOOM_BITS}L)"
-    words = (nodes.selectExpr(f"{place} div 32 AS w", f"shiftleft(1L, cast({place} % 32 AS int)) AS b").groupBy("w")
+def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
+    """A bit for each value of a column of hashes, in a table of fixed size; it saves work and decides nothing."""
+    place = f"pmod({column}, {BLOOM_BITS}L)"
+    words = (rows.selectExpr(f"{place} div 64 AS w", f"shiftleft(1L, cast({place} % 64 AS int)) AS b").groupBy("w")
              .agg(F.bit_or("b").alias("b")).toPandas())
-    bits = np.zeros(BLOOM_BITS // 32, np.uint32)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    bits = np.zeros(BLOOM_BITS // 64, U)
+    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(U)
     return bits
 
 
-def marked(bits: np.ndarray, k1: np.ndarray) -> np.ndarray:
-    place = k1 % BLOOM_BITS
-    return (bits[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values % BLOOM_BITS
+    return (bits[place >> 6] >> (place & 63).astype(U) & U(1)).astype(bool)
 
 
-def entries_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, id): index keys of one document of each set, by its doc_id.
+def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None) -> DataFrame:
+    """(key, id): index keys of one document of each set, by its doc_id; with `often`, only keys that may
+    be among its rows.
 
     Only documents that may have an equal one are shuffled to choose it; the others pass in place.
     """
-    held = rows.sparkSession.sparkContext.broadcast(bloom(nodes.where("held > 1")))
+    context = rows.sparkSession.sparkContext
+    held = context.broadcast(bloom(nodes.where("held > 1")))
+    use = context.broadcast(bloom(often, "key")) if often is not None else None
 
     def part_of(twins: bool):
         def batches(parts):
             for part in parts:
-                chosen = np.flatnonzero(marked(held.value, part.column(1).to_numpy()) == twins)
-                yield part.take(pa.array(chosen))
+                part = part.take(pa.array(np.flatnonzero(marked(held.value, part.column(1).to_numpy()) == twins)))
+                if use is not None:
+                    keys = part.column(3)
+                    flat = keys.flatten().to_numpy()
+                    kept = marked(use.value, flat)
+                    ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())]).astype(np.int64)]
+                    part = part.set_column(3, "keys", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[kept])))
+                yield part
         return batches
 
     rows = rows.where("n > 0").select("doc_id", "k1", "k2", "keys")
@@ -251,15 +262,27 @@ def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Dat
     return stored(found.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "items"))
 
 
-def may_link(percent: int):
+def may_link(percent: int, words: list[str] = PARITIES):
     """Neither the sizes nor the parities of a and b rule a link out."""
-    apart = total([F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARITIES])
+    apart = total([F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in words])
     sizes = F.col("a_n") + F.col("b_n")
     return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart * (100 + percent) <= sizes * (100 - percent))
 
 
-def sided(nodes: DataFrame, side: str, *more: str) -> DataFrame:
-    return nodes.select(*more, *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", *PARITIES)))
+def sided(nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
+
+
+def folded(word: int):
+    """A word of the parities over fewer bits, which still bound the difference."""
+    return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(p) for p in PARITIES[word::FOLDED_WORDS]]).alias(f"f{word}")
+
+
+def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a_node, b_node) those that sizes and parities leave open, as (a, b)."""
+    columns = ["node", "n", *PARITIES]
+    open_pairs = pairs.join(sided(nodes, "a", columns), "a_node").join(sided(nodes, "b", columns), "b_node").where(may_link(percent))
+    return open_pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int, nodes: DataFrame) -> DataFrame:
@@ -289,9 +312,9 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", *PARITIES)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    entries = entries_of(rows, nodes)
-    often = entries.groupBy("key").agg(F.count("*").alias("_held")).where("_held > 1").select("key")
-    shared = stored(entries.join(often, "key"))
+    often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("_held")).where("_held > 1").select("key")
+    often = stored(often)
+    shared = stored(entries_of(rows, nodes, often).join(often, "key"))
     named = nodes.select("node", "n", F.col("first_id").alias("_first"))
     shared = stored(shared.join(named, F.col("id").eqNullSafe(F.col("_first"))).select("key", "node", "n"))
 
@@ -299,19 +322,20 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tied = shared.select("key", "node").join(ends, "key")
     offered = tied.select("node", "low").union(tied.select("node", "high")).toDF("x", "y").where("x <> y")
     offered = offered.select(F.least("x", "y").alias("a_node"), F.greatest("x", "y").alias("b_node")).distinct()
-    offered = offered.join(sided(nodes, "a"), "a_node").join(sided(nodes, "b"), "b_node").where(may_link(percent))
-    links = verified(offered.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), docs, text, width, percent, nodes)
+    links = verified(filtered(offered, nodes, percent), docs, text, width, percent, nodes)
     found = components(links)
 
     labels = found.withColumnRenamed("node", "_node")
     tagged = (shared.select("key", "node").join(labels, F.col("node") == F.col("_node"), "left")
               .withColumn("label", F.coalesce("label", "node")).drop("_node"))
     split = tagged.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
-    open_rows = stored(tagged.join(split, "key", "left_semi").join(nodes.select("node", "n", *PARITIES), "node"))
-    x = sided(open_rows, "a", "key", F.col("label").alias("a_label"))
-    y = sided(open_rows, "b", F.col("key").alias("_key"), F.col("label").alias("b_label"))
-    near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
-    rest = x.join(y, (F.col("key") == F.col("_key")) & near).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    columns = ["node", "n", *(f"f{i}" for i in range(FOLDED_WORDS))]
+    small = stored(nodes.select("node", "n", *map(folded, range(FOLDED_WORDS))))
+    open_rows = stored(tagged.join(split, "key", "left_semi").join(small, "node"))
+    x = sided(open_rows, "a", ["key", "label", *columns])
+    y = sided(open_rows, "b", ["key", "label", *columns])
+    near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent, columns[2:])
+    rest = filtered(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node").distinct(), nodes, percent)
     links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)
 

@@ -18,6 +18,7 @@ DATE_FORMATS = ["yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d
 # Exact sums need decimals: their result does not depend on the order of tasks. 18 digits keep the
 # compact form; a single amount of 10^14 or more raises under ANSI instead of turning into null.
 MONEY = T.DecimalType(18, 4)
+MEASURE = T.DecimalType(38, 12)
 
 
 def dtype(df: DataFrame, name: str) -> T.DataType:
@@ -71,20 +72,36 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def money(df: DataFrame, name: str) -> Column:
-    """The column as an exact decimal; text that is no number becomes null."""
+    """The column as an exact amount of money with four digits; text that is no number, and amounts of
+    10^14 and more, become null, never an error."""
     kind, value = dtype(df, name), col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return finite(value).cast(MONEY)
+        return finite(value).try_cast(MONEY)
     if isinstance(kind, T.DecimalType):
         # Already summed decimals are wider; keep their integer digits.
-        return value if kind.scale <= 4 and kind.precision >= 18 else value.cast(MONEY)
+        return value if kind.scale <= 4 and kind.precision >= 18 else value.try_cast(MONEY)
     if is_number(kind):
-        return value.cast(MONEY)
+        return value.try_cast(MONEY)
     if is_text(kind):
-        return F.when(numeric_text(value), F.trim(value).cast(MONEY))
+        return F.when(numeric_text(value), F.trim(value).try_cast(MONEY))
     return F.lit(None).cast(MONEY)
 
 
+def measure(df: DataFrame, name: str) -> Column:
+    """The column as a decimal with twelve digits behind the point, so that sums are exact in any order and
+    small values stay; what is no number, or has more than 26 digits before the point, becomes null."""
+    kind, value = dtype(df, name), col(name)
+    if isinstance(kind, T.DecimalType):
+        return value
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(value).try_cast(MEASURE)
+    if is_number(kind):
+        return value.try_cast(MEASURE)
+    if is_text(kind):
+        return F.when(numeric_text(value), F.trim(value).try_cast(MEASURE))
+    return F.lit(None).cast(MEASURE)
+
+
 def mean(df: DataFrame, name: str, alias: str) -> Column:
     """Average of a column selected under an alias; exact sums where the column is a decimal."""
     if isinstance(dtype(df, name), T.DecimalType):
@@ -100,7 +117,7 @@ def plain_number(df: DataFrame, name: str) -> Column:
 def currency_text(value: Column) -> Column:
     """Money from text such as ``Rs 1,234.50``: the currency mark and thousands commas go first."""
     bare = F.trim(F.regexp_replace(value, "Rs|rs|,", ""))
-    return F.when(numeric_text(bare), bare.cast(MONEY))
+    return F.when(numeric_text(bare), bare.try_cast(MONEY))
 
 
 def timestamp(df: DataFrame, name: str) -> Column:

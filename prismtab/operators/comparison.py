@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismtab.functions.coerce import col, money, number, timestamp
+from prismtab.functions.coerce import col, measure, number, timestamp
 from prismtab.functions.periods import bucket, bucket_label, period_text
-from prismtab.functions.rounding import half_up, money_round
+from prismtab.functions.rounding import half_up
 from prismtab.operators.outliers import iqr_bounds
 from prismtab.operators.profile import local_frame
 from prismtab.operators.quantiles import exact_quantiles
@@ -23,9 +23,9 @@ def _exact_mean(value: str) -> Column:
 
 def time_series(df: DataFrame, date: str, value: str, grain: str = "month", how: str = "mean") -> DataFrame:
     """Mean, sum or count of a value per bucket that holds rows."""
-    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), money(df, value).alias("_value")).where(
+    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), measure(df, value).alias("_value")).where(
         F.col("_start").isNotNull() & F.col("_value").isNotNull())
-    results = {"mean": half_up(_exact_mean("_value"), 6), "sum": money_round(F.sum("_value")),
+    results = {"mean": half_up(_exact_mean("_value"), 6), "sum": half_up(F.sum("_value").cast("double"), 6),
                "count": F.count("_value").cast("double")}
     return lines.groupBy("_start").agg(results[how].alias("value")).orderBy("_start").select(
         bucket_label(F.col("_start"), grain).cast("string").alias("bucket"), "value")
@@ -36,10 +36,10 @@ def group_aggregation(
     sort_by: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Named aggregates of one column per group, the largest of `sort_by` first."""
-    known = {"sum": money_round(F.sum("_value")), "mean": half_up(_exact_mean("_value"), 6), "count": F.count("_value"),
+    known = {"sum": half_up(F.sum("_value").cast("double"), 6), "mean": half_up(_exact_mean("_value"), 6), "count": F.count("_value"),
              "min": F.min("_value").cast("double"), "max": F.max("_value").cast("double")}
     wanted = functions or ["mean"]
-    lines = df.select(*map(col, groups), money(df, value).alias("_value"))
+    lines = df.select(*map(col, groups), measure(df, value).alias("_value"))
     table = lines.groupBy(*map(col, groups)).agg(*[known[f].alias(f"{value}_{f}") for f in wanted])
     order = [F.desc(col(sort_by or f"{value}_{wanted[0]}")), *[F.asc(col(g)) for g in groups]]
     return table.orderBy(*order) if limit is None else table.orderBy(*order).limit(limit)
@@ -59,23 +59,23 @@ def scatter_correlation(df: DataFrame, x: str, y: str, color: str | None = None)
         F.count_if(outside).alias("outliers"))
 
 
-def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, max_points: int = 5000) -> DataFrame:
-    """At most `max_points` points: all of them, or those with the smallest row hash."""
+def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, max_points: int | None = None) -> DataFrame:
+    """All points, or a sample of `max_points` with the smallest row hash if that is given."""
     columns = [col(x), col(y), *([col(color)] if color else [])]
     filled = df.select(*columns).where(col(x).isNotNull() & col(y).isNotNull())
-    return filled.orderBy(F.xxhash64(*columns), *columns).limit(max_points)
+    return filled if max_points is None else filled.orderBy(F.xxhash64(*columns), *columns).limit(max_points)
 
 
 def ratio_metric(df: DataFrame, numerator: str, denominator: str, groups: list[str] = ()) -> DataFrame:
     """Sum over sum, per group or for all rows; null when the denominator is 0."""
-    lines = df.select(*map(col, groups), money(df, numerator).alias("_a"), money(df, denominator).alias("_b"))
+    lines = df.select(*map(col, groups), measure(df, numerator).alias("_a"), measure(df, denominator).alias("_b"))
     value = F.try_divide(F.sum("_a").cast("double"), F.sum("_b").cast("double"))
     return lines.groupBy(*map(col, groups)).agg(half_up(value, 6).alias("ratio"))
 
 
 def growth_metric(df: DataFrame, date: str, value: str, grain: str = "month") -> DataFrame:
     """Summed value per period and its change from the period before in the data."""
-    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), money(df, value).alias("_value"))
+    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), measure(df, value).alias("_value"))
     periods = lines.where(F.col("_start").isNotNull() & F.col("_value").isNotNull()).groupBy("_start").agg(
         F.sum("_value").cast("double").alias("_total"))
     before = F.lag("_total").over(Window.partitionBy(F.lit(0)).orderBy("_start"))  # one row per period
@@ -99,8 +99,8 @@ def single_metric(df: DataFrame, column: str, operation: str) -> DataFrame:
     if operation == "median":
         value = exact_quantiles(df, [column], [0.5])[column][0]
         return local_frame(df.sparkSession, [(value,)], "value double")
-    lines = df.select(money(df, column).alias("_value"))
-    results = {"sum": money_round(F.coalesce(F.sum("_value"), F.lit(0))), "mean": half_up(_exact_mean("_value"), 6),
+    lines = df.select(measure(df, column).alias("_value"))
+    results = {"sum": half_up(F.coalesce(F.sum("_value"), F.lit(0)).cast("double"), 6), "mean": half_up(_exact_mean("_value"), 6),
                "count": F.count("_value").cast("double")}
     return lines.agg(results[operation].alias("value"))
 
@@ -196,13 +196,33 @@ def _rank_p(u) -> float | None:
 
 
 def _student_p(t: float, degrees: float) -> float:
-    """Two-sided tail of Student's t, by adding up its density on a fine grid of the angle.
-
-    With t = sqrt(v) tan(x) the tail is an integral of cos(x)^(v-1), which Simpson's rule handles."""
-    start, steps = math.atan(abs(t) / math.sqrt(degrees)), 4000
-    width = (math.pi / 2 - start) / steps
-    heights = [math.cos(start + i * width) ** (degrees - 1) if i < steps else (1.0 if degrees == 1 else 0.0)
-               for i in range(steps + 1)]
-    area = width / 3 * (heights[0] + heights[-1] + 4 * sum(heights[1:-1:2]) + 2 * sum(heights[2:-1:2]))
-    scale = math.exp(math.lgamma((degrees + 1) / 2) - math.lgamma(degrees / 2)) / math.sqrt(math.pi)
-    return min(1.0, 2 * scale * area)
+    """Two-sided tail of Student's t: the incomplete beta function of (degrees/2, 1/2) as a continued
+    fraction. From 10^5 degrees on, t is turned into a normal value with the error of degrees^-2."""
+    if math.isinf(t):
+        return 0.0
+    if degrees > 1e5:
+        normal = abs(t) * (1 - 1 / (4 * degrees)) / math.sqrt(1 + t * t / (2 * degrees))
+        return math.erfc(normal / math.sqrt(2))
+    a, b, x = degrees / 2, 0.5, degrees / (degrees + t * t)
+    swap = x > (a + 1) / (a + b + 2)
+    if swap:
+        a, b, x = b, a, 1 - x
+    if x == 0:
+        return 1.0 if swap else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    tiny, fraction, c, d = 1e-300, 1.0, 1.0, 0.0
+    for i in range(100_000):
+        m = i // 2
+        if i == 0:
+            term = 1.0
+        elif i % 2 == 0:
+            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        else:
+            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / ((1 + term * d) or tiny)
+        c = (1 + term / c) or tiny
+        fraction *= c * d
+        if i and abs(c * d - 1) < 1e-15:
+            break
+    tail = front * (fraction - 1) / a
+    return min(1.0, max(0.0, 1 - tail if swap else tail))

@@ -27,6 +27,7 @@ MIN_ROWS = 30
 MIN_COMPLETE_ROWS = 20
 AUTO_CONFIDENCE = 0.65
 MAX_ONE_HOT = 200
+MAX_CLASSES = 1000  # classes of a target that a model is trained for
 RIDGE_ALPHA = 1.0
 FOREST = {"numTrees": 80, "maxDepth": 8, "seed": 42}
 QUICK_FOREST = {"numTrees": 100, "maxDepth": 10, "seed": 42}
@@ -204,13 +205,15 @@ def _scored(stages, frame: DataFrame) -> DataFrame:
 
 def _regressors(train: DataFrame) -> list:
     mean = train.agg(F.avg("_actual")).first()[0]
-    forest = RandomForestRegressor(labelCol="_actual", maxMemoryInMB=FOREST_MEMORY_MB, **FOREST)
+    forest = RandomForestRegressor(labelCol="_actual", maxMemoryInMB=FOREST_MEMORY_MB, featureSubsetStrategy="all", **FOREST)
     return [("baseline_mean", F.lit(mean)), ("ridge", [_ridge(train, "_actual").fit(train)]),
             ("random_forest", [forest.fit(train)])]
 
 
 def _classifiers(train: DataFrame) -> list:
-    counts = {r["_actual"]: r["count"] for r in train.groupBy("_actual").count().collect()}  # one row per class
+    counts = {r["_actual"]: r["count"] for r in train.groupBy("_actual").count().limit(MAX_CLASSES + 1).collect()}
+    if len(counts) > MAX_CLASSES:
+        raise ValueError(f"the target has more than {MAX_CLASSES} classes; it is no label")
     common = min(counts, key=lambda c: (-counts[c], c))
     total, classes = sum(counts.values()), len(counts)
     weight = F.try_divide(F.lit(total / classes), F.element_at(
@@ -218,7 +221,8 @@ def _classifiers(train: DataFrame) -> list:
     indexer = StringIndexer(inputCol="_actual", outputCol="_label").fit(train)  # only training rows are indexed
     balanced = indexer.transform(train.withColumn("_weight", weight))
     to_text = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
-    logistic = LogisticRegression(labelCol="_label", weightCol="_weight", maxIter=1000)
+    logistic = LogisticRegression(labelCol="_label", weightCol="_weight", maxIter=1000,
+                                  regParam=1 / total, elasticNetParam=0.0, standardization=False)
     forest = RandomForestClassifier(labelCol="_label", weightCol="_weight", maxMemoryInMB=FOREST_MEMORY_MB, **FOREST)
     return [("baseline_most_common", F.lit(common)), ("logistic", [logistic.fit(balanced), to_text]),
             ("random_forest", [forest.fit(balanced), to_text])]
@@ -310,7 +314,7 @@ def quick_predict(df: DataFrame, target: str, features: list[str] | None = None)
                 name, estimator = "linear", LinearRegression(labelCol="_actual", solver="normal")
             else:
                 name = "random_forest"
-                estimator = RandomForestRegressor(labelCol="_actual", maxMemoryInMB=FOREST_MEMORY_MB, **QUICK_FOREST)
+                estimator = RandomForestRegressor(labelCol="_actual", maxMemoryInMB=FOREST_MEMORY_MB, featureSubsetStrategy="all", **QUICK_FOREST)
             stages = [estimator.fit(train)]
             metrics = regression_metrics(_scored(stages, test), digits=2).first()
             shown = [("r2", metrics["r2"]), ("rmse", metrics["rmse"])]

@@ -36,13 +36,15 @@ def trending(df: DataFrame, product: str, value: str, date: str, limit: int = 10
 
     A light pass over the dates finds the two months; the second pass reads only rows from then on
     and puts both months side by side with conditional sums, so the months are never joined. With
-    fewer than two months the result is the plain ranking.
+    one month there is nothing to compare with: previous_revenue and growth_pct are null.
     """
     start = bucket(timestamp(df, date), "month").alias("_start")
     months = _lines(df, product, value, start).where(F.col("_start").isNotNull()).select("_start").distinct()
     latest = [r[0] for r in months.orderBy(F.desc("_start")).limit(2).collect()]
     if len(latest) < 2:
-        return rank_groups(df, product, value, limit)
+        names = {"recent_revenue": "recent_revenue", "previous_revenue": None, "growth_pct": None}
+        ranked = rank_groups(df, product, value, limit).toDF(product, "recent_revenue")
+        return ranked.select(col(product), *(F.col(c) if c else F.lit(None).cast("double").alias(n) for n, c in names.items()))
     recent, previous = latest
 
     def total(month) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismtab.functions.coerce import mean, money, numeric_columns, plain_number, timestamp
+from prismtab.functions.coerce import mean, measure, numeric_columns, plain_number, timestamp
 from prismtab.functions.periods import bucket, bucket_label, spine
 from prismtab.functions.rounding import half_up, money_round
 
@@ -17,9 +17,9 @@ def trend_grain(df: DataFrame, date: str) -> str:
 
 
 def trend_series(
-    df: DataFrame, date: str, columns: list[str] | None = None, grain: str | None = None, most: int = 6,
+    df: DataFrame, date: str, columns: list[str] | None = None, grain: str | None = None, most: int | None = None,
 ) -> DataFrame:
-    """(column_name, bucket, value): mean per bucket of the first numeric columns.
+    """(column_name, bucket, value): mean per bucket of the numeric columns, of the first `most` if that is given.
 
     One aggregate holds all columns. Columns with fewer than two buckets are left out."""
     names = (numeric_columns(df) if columns is None else columns)[:most]
@@ -89,7 +89,7 @@ def filled_periods(df: DataFrame, date: str, value: str, grain: str) -> DataFram
     """(start, total, lines): sums per period with 0 for periods without rows.
 
     ``lines`` is the number of rows used in all periods."""
-    lines = df.select(bucket(timestamp(df, date), grain).alias("start"), money(df, value).alias("_value")).where(
+    lines = df.select(bucket(timestamp(df, date), grain).alias("start"), measure(df, value).alias("_value")).where(
         F.col("start").isNotNull() & F.col("_value").isNotNull())
     sums = lines.groupBy("start").agg(F.sum("_value").alias("total"), F.count(F.lit(1)).alias("_n"))
     # One row per calendar period from here on: zeros for every period join the sums that exist.

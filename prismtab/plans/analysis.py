@@ -57,10 +57,10 @@ def analyze(
 def _business_tables(df: DataFrame, found: roles.MetricMap) -> tuple[dict[str, DataFrame], list[str]]:
     given = found.metrics
     missing = {
-        "Date column missing; skipped time trends.": found.date,
-        "Product column missing; skipped product ranking.": found.product,
-        "Category column missing; skipped category ranking.": found.category,
-        "No revenue metric could be calculated from the column roles.": given.get("revenue"),
+        "no_date: nothing can be laid out over time": found.date,
+        "no_product: products cannot be ranked": found.product,
+        "no_category: categories cannot be ranked": found.category,
+        "no_revenue: no column or pair of columns stands for revenue": given.get("revenue"),
     }
     limitations = [text for text, needed in missing.items() if not needed]
     tables = {"kpis": metrics.business_kpis(df, given), "kpi_cards": metrics.kpi_cards(df, given),
@@ -114,7 +114,7 @@ def _profile_tables(df: DataFrame, stats: list[ColumnStats]) -> dict[str, DataFr
             "describe": quality.describe_numeric(df), "skewness": profile.skewness(df),
             "outliers": outliers.outliers_iqr(df), "correlations": relations.correlation_pairs(df),
             "strong_correlations": relations.strong_correlations(df)}
-        tables |= {f"histogram_{n}": outliers.histogram(df, n) for n in numbers[:3]}
+        tables |= {f"histogram_{n}": outliers.histogram(df, n) for n in numbers}
     return tables
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a delimiter outside quotes; a code point that no text may use.
+CELL_END = "\ufdd0"
 # Code page 1252 differs from Latin-1 in these bytes; five of them have no meaning in it.
 _C1 = range(0x80, 0xA0)
 _UNDEFINED = {0x81, 0x8D, 0x8F, 0x90, 0x9D}
@@ -41,8 +43,11 @@ def _without_mark(text: Column) -> Column:
 def split_cells(line: Column, delimiter: str) -> Column:
     """The cells of one line; a quoted cell may hold the delimiter and doubled quotes."""
     mark = "\\" + delimiter
-    outside_quotes = mark + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    quoted = F.transform(F.split(line, outside_quotes, -1), _unquoted)
+    # Cut at the quotes: a piece with an even number of quotes behind it lies outside of them.
+    pieces = F.split(line, '"', -1)
+    cut = F.transform(pieces, lambda p, i: F.when(
+        (F.size(pieces) - 1 - i) % 2 == 0, F.replace(p, F.lit(delimiter), F.lit(CELL_END))).otherwise(p))
+    quoted = F.transform(F.split(F.array_join(cut, '"'), CELL_END, -1), _unquoted)
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, mark, -1))
 
 

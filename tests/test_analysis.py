@@ -42,5 +42,5 @@ def test_leads_customers_finance_catalog(spark):
 def test_generic(spark):
     found = analyze(spark.createDataFrame([("a", 1, "x")], "Name string, Score int, Notes string"))
     assert found.table_type == "generic" and found.tables["kpis"].first().total_revenue is None
-    assert "No revenue metric could be calculated from the column roles." in found.limitations
+    assert "no_revenue: no column or pair of columns stands for revenue" in found.limitations
     check(found, "column_profile")

@@ -131,7 +131,7 @@ def test_trending_growth_and_limits(spark):
     trending = rows(ranking.trending(df, "p", "v", "d"))
     assert trending == [("Alpha", 900.0, 200.0, 350.0), ("New", 5.0, 0.0, 100.0), ("Beta", 120.0, 250.0, -52.0)]
     one_month = df.where("d >= '2026-03-01'")
-    assert rows(ranking.trending(one_month, "p", "v", "d"))[0] == ("Alpha", 900.0)
+    assert rows(ranking.trending(one_month, "p", "v", "d"))[0] == ("Alpha", 900.0, None, None)
 
 
 def test_share_of_positive_values(spark):

@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ WIDTH = 5
 PERCENT = 80
 #: The cost model: share of pairs of a band that have a passage in common, and how much of them it is.
 SHARED_PAIRS, SHARED_PART = 1e-4, 0.5
-PARITY_WORDS, FOLDED_WORDS = 32, 4
+FOLDED_WORDS = 4
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 27
@@ -160,14 +159,15 @@ class Schemes:
 
 
 def parity(values: np.ndarray) -> np.ndarray:
-    """Parities of the shingles over the bits of PARITY_WORDS words: two sets differ in at least as many
-    shingles as their parities differ in bits."""
-    bits = 64 * PARITY_WORDS
+    """Parities of the shingles over a power of two of bits, at least two for each shingle: two sets differ in at
+    least as many shingles as their parities differ in bits. Halves laid over each other (xor) are the
+    parities over half the bits."""
+    bits = max(64 * FOLDED_WORDS, 1 << int(2 * max(1, len(values)) - 1).bit_length())
     odd = np.bincount((values % U(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-PARITIES = [f"p{i}" for i in range(PARITY_WORDS)]
+FOLDED = [f"f{i}" for i in range(FOLDED_WORDS)]
 
 
 def identity(values: np.ndarray) -> tuple[int, int]:
@@ -181,21 +181,24 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Schemes) -> DataFrame:
-    """(doc_id, n, k1, k2, p0.., keys): size, identity, parities and index keys of each document's set."""
+    """(doc_id, n, k1, k2, odd, f0.., keys): size, identity, parities (also folded to few words) and index
+    keys of each document's set."""
     def batches(parts):
         known, none = WordHashes(), np.empty(0, np.int64)
         for part in parts:
             sets = [shingle_set(value.as_py(), width, known) for value in part.column(1)]
             names = [identity(values) for values in sets]
-            odd = np.array([parity(values) for values in sets]).reshape(-1, PARITY_WORDS)
+            odd = [parity(values) for values in sets]
+            few = np.array([np.bitwise_xor.reduce(p.reshape(-1, FOLDED_WORDS), axis=0) for p in odd]).reshape(-1, FOLDED_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(v) for v in sets], pa.int64()), *(pa.array([k[i] for k in names], pa.int64()) for i in (0, 1)),
-                 *(pa.array(odd[:, i]) for i in range(PARITY_WORDS)), lists([schemes.keys(v) if len(v) else none for v in sets])],
-                names=["doc_id", "n", "k1", "k2", *PARITIES, "keys"])
+                 lists(odd),
+                 *(pa.array(few[:, i]) for i in range(FOLDED_WORDS)), lists([schemes.keys(v) if len(v) else none for v in sets])],
+                names=["doc_id", "n", "k1", "k2", "odd", *FOLDED, "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        batches, f"doc_id {kind}, n long, k1 long, k2 long, {', '.join(p + ' long' for p in PARITIES)}, keys array<long>")
+        batches, f"doc_id {kind}, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>")
 
 
 def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
@@ -262,27 +265,41 @@ def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Dat
     return stored(found.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "items"))
 
 
-def may_link(percent: int, words: list[str] = PARITIES):
-    """Neither the sizes nor the parities of a and b rule a link out."""
-    apart = total([F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in words])
+def close(apart, percent: int):
+    """The sizes of a and b, and a lower bound of their difference, leave a link open."""
     sizes = F.col("a_n") + F.col("b_n")
     return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart * (100 + percent) <= sizes * (100 - percent))
 
 
-def sided(nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
-    return nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
+def may_link(percent: int):
+    return close(total([F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FOLDED]), percent)
+
+
+def may_link_by_all(percent: int):
+    """The same by all parities; the longer list is folded to the length of the other. From 50 percent on, sizes
+    that leave a link open have lists of one length or of two that double."""
+    def halved(mine: str, other: str):
+        half = (F.size(mine) / 2).cast("int")
+        laid = F.zip_with(F.slice(mine, 1, half), F.slice(mine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(mine) > F.size(other), laid).otherwise(F.col(mine))
 
+    bits = F.zip_with(halved("a_odd", "b_odd"), halved("b_odd", "a_odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return close(F.aggregate(bits, F.lit(0), lambda x, y: x + y), percent)
 
-def folded(word: int):
-    """A word of the parities over fewer bits, which still bound the difference."""
-    return reduce(lambda x, y: x.bitwiseXOR(y), [F.col(p) for p in PARITIES[word::FOLDED_WORDS]]).alias(f"f{word}")
+
+def sided(nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
+    return nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
 
 
 def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a_node, b_node) those that sizes and parities leave open, as (a, b)."""
-    columns = ["node", "n", *PARITIES]
-    open_pairs = pairs.join(sided(nodes, "a", columns), "a_node").join(sided(nodes, "b", columns), "b_node").where(may_link(percent))
-    return open_pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    few = ["node", "n", *FOLDED]
+    pairs = pairs.join(sided(nodes, "a", few), "a_node").join(sided(nodes, "b", few), "b_node").where(may_link(percent))
+    pairs = pairs.select("a_node", "b_node", "a_n", "b_n")
+    if percent < 50:
+        return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    pairs = pairs.join(sided(nodes, "a", ["node", "odd"]), "a_node").join(sided(nodes, "b", ["node", "odd"]), "b_node")
+    return pairs.where(may_link_by_all(percent)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent: int, nodes: DataFrame) -> DataFrame:
@@ -309,7 +326,7 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = stored(index_rows(docs, doc_id, text, width, schemes))
     nodes = rows.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", *PARITIES)))
+        F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("_held")).where("_held > 1").select("key")
@@ -329,12 +346,11 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tagged = (shared.select("key", "node").join(labels, F.col("node") == F.col("_node"), "left")
               .withColumn("label", F.coalesce("label", "node")).drop("_node"))
     split = tagged.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
-    columns = ["node", "n", *(f"f{i}" for i in range(FOLDED_WORDS))]
-    small = stored(nodes.select("node", "n", *map(folded, range(FOLDED_WORDS))))
-    open_rows = stored(tagged.join(split, "key", "left_semi").join(small, "node"))
+    columns = ["node", "n", *FOLDED]
+    open_rows = stored(tagged.join(split, "key", "left_semi").join(nodes.select(*columns), "node"))
     x = sided(open_rows, "a", ["key", "label", *columns])
     y = sided(open_rows, "b", ["key", "label", *columns])
-    near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent, columns[2:])
+    near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
     rest = filtered(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node").distinct(), nodes, percent)
     links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)

@@ -9,8 +9,11 @@ worth one, or differ by at most one shingle in a segment worth two. Which worths
 matter of cost: deletions cost index rows but let segments be larger, which collide less in bands
 with many sets. A set is indexed under the scheme of its own band and of the band below.
 
-A set whose segments hold something in at least d + 1 cases leaves its empty segments out of the
-index, since a linked pair must then agree in one that is not empty.
+A set with f segments that hold something, all worth one and f at least d + 1, leaves its empty segments
+out of the index: a linked pair agrees in at least f - d of the others. Of its keys it then needs only the
+d + 1 that the fewest sets have (ties by key): the first key in this order that a pair shares is among
+them on both sides. Schemes without deletions cut more segments than they must, so keys of passages that
+many documents share are the ones left out, and most sets without a partner leave nothing in the index.
 
 Sets that share an index key are candidates. Each key first offers its smallest and its largest
 member to all others, which is linear in the key; the links so found make components. Pairs of a key
@@ -31,15 +34,16 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismtab.llm.common import components, small_batches, stored, total
 
 WIDTH = 5
 PERCENT = 80
-#: The cost model: share of pairs of a band that have a passage in common, and how much of them it is.
-SHARED_PAIRS, SHARED_PART = 1e-4, 0.5
+#: The cost model: share of pairs of a band that have a passage in common, how much of them it is, and the cost of
+#: a candidate pair in index rows.
+SHARED_PAIRS, SHARED_PART, PAIR_COST = 1e-3, 0.5, 5
 FOLDED_WORDS = 4
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
@@ -111,11 +115,14 @@ def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int,
     for twos in range(need // 2 + 1):
         ones = need - 2 * twos
         if not twos:
-            ones = next((m for m in range(need, need + need // 2 + 1) if filled(m, low) >= need), need)
+            spare = next((m for m in range(need, need + need // 2 + 1) if filled(m, low) >= need), None)
+            ones = spare or need
         one = low / (ones + 2 * twos)
         rows = sets * (ones + twos * (1 + 2 * one))
         hits = ones * SHARED_PART ** one + twos * 2 * one * SHARED_PART ** (2 * one - 1)
-        cost = rows + SHARED_PAIRS * sets * sets * hits
+        if not twos and spare:
+            hits = 0  # the keys of shared passages are the ones left out
+        cost = rows + PAIR_COST * SHARED_PAIRS * sets * sets * hits
         if best is None or cost < best[0]:
             best = (cost, ones, twos)
     return need, best[1], best[2]
@@ -132,12 +139,13 @@ class Schemes:
         self.parts = [allocation(int(low), high - 1, percent, max(1, held[i]))
                       for i, (low, high) in enumerate(zip(self.starts.tolist(), ends))]
 
-    def keys(self, values: np.ndarray) -> np.ndarray:
-        """Index keys of one set under the scheme of its band, and of the band below if it can link into it."""
+    def keys(self, values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Index keys of one set under the scheme of its band, and of the band below if it can link into it; and how
+        many of them can be left out, for schemes of even and of odd number. The bit above a key tells the two apart."""
         band = int(np.searchsorted(self.starts, len(values), side="right")) - 1
         inner = mixed(values + U(0x632BE59BD9B4E019))
         sums = np.concatenate([np.zeros(1, U), np.cumsum(inner, dtype=U)])
-        found = []
+        found, spare = [np.empty(0, np.int64)], [0, 0]
         for scheme in (band, band - 1):
             if scheme < 0 or scheme < band and self.percent * len(values) > 100 * (int(self.starts[band]) - 1):
                 continue
@@ -150,12 +158,16 @@ class Schemes:
             content = sums[cuts[1:]] - sums[cuts[:-1]]
             whole = mixed(content + tag)
             full = cuts[1:] > cuts[:-1]
-            found.append(whole[full] if not twos and full.sum() >= need else whole)
+            leave = not twos and full.sum() >= need
+            mine = [whole[full] if leave else whole]
             if twos:
                 tail = slice(cuts[ones], None)
                 of = segment[tail]
-                found.append(mixed(content[of] - inner[tail] + tag[of]))
-        return np.unique(np.concatenate(found) >> U(64 - KEY_BITS)).view(np.int64)
+                mine.append(mixed(content[of] - inner[tail] + tag[of]))
+            mine = np.unique(np.concatenate(mine) >> U(64 - KEY_BITS)).view(np.int64)
+            found.append(mine + ((scheme & 1) << KEY_BITS))
+            spare[scheme & 1] = max(0, len(mine) - need) if leave else 0
+        return np.concatenate(found), spare
 
 
 def parity(values: np.ndarray) -> np.ndarray:
@@ -181,24 +193,26 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Schemes) -> DataFrame:
-    """(doc_id, n, k1, k2, odd, f0.., keys): size, identity, parities (also folded to few words) and index
-    keys of each document's set."""
+    """(doc_id, n, k1, k2, odd, f0.., keys, even, uneven): size, identity, parities (also folded to few words),
+    index keys and spare keys of each document's set."""
     def batches(parts):
-        known, none = WordHashes(), np.empty(0, np.int64)
+        known, none = WordHashes(), (np.empty(0, np.int64), [0, 0])
         for part in parts:
             sets = [shingle_set(value.as_py(), width, known) for value in part.column(1)]
             names = [identity(values) for values in sets]
             odd = [parity(values) for values in sets]
+            keys = [schemes.keys(v) if len(v) else none for v in sets]
             few = np.array([np.bitwise_xor.reduce(p.reshape(-1, FOLDED_WORDS), axis=0) for p in odd]).reshape(-1, FOLDED_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(v) for v in sets], pa.int64()), *(pa.array([k[i] for k in names], pa.int64()) for i in (0, 1)),
                  lists(odd),
-                 *(pa.array(few[:, i]) for i in range(FOLDED_WORDS)), lists([schemes.keys(v) if len(v) else none for v in sets])],
-                names=["doc_id", "n", "k1", "k2", "odd", *FOLDED, "keys"])
+                 *(pa.array(few[:, i]) for i in range(FOLDED_WORDS)), lists([k for k, _ in keys]),
+                 *(pa.array([spare[i] for _, spare in keys], pa.int32()) for i in (0, 1))],
+                names=["doc_id", "n", "k1", "k2", "odd", *FOLDED, "keys", "even", "uneven"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        batches, f"doc_id {kind}, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>")
+        batches, f"doc_id {kind}, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>, even int, uneven int")
 
 
 def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
@@ -216,9 +230,18 @@ def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(U) & U(1)).astype(bool)
 
 
+SIDE = f"shiftright(key, {KEY_BITS})"
+
+
+def needed(entries: DataFrame) -> DataFrame:
+    """The entries (key, id, spare, held) without the most frequent keys that each set can leave out."""
+    rank = F.row_number().over(Window.partitionBy("id", "side").orderBy(F.col("held").desc(), F.col("key").desc()))
+    return entries.withColumn("side", F.expr(SIDE)).withColumn("_rank", rank).where(F.col("_rank") > F.col("spare")).select("key", "id")
+
+
 def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None) -> DataFrame:
-    """(key, id): index keys of one document of each set, by its doc_id; with `often`, only keys that may
-    be among its rows.
+    """(key, id, spare): index keys of one document of each set, by its doc_id, with the number of keys of that
+    scheme which it can leave out; with `often`, only keys that may be among its rows.
 
     Only documents that may have an equal one are shuffled to choose it; the others pass in place.
     """
@@ -239,12 +262,14 @@ def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None
                 yield part
         return batches
 
-    rows = rows.where("n > 0").select("doc_id", "k1", "k2", "keys")
-    alone = rows.mapInArrow(part_of(False), rows.schema).select("doc_id", "keys")
+    rows = rows.where("n > 0").select("doc_id", "k1", "k2", "keys", "even", "uneven")
+    held_by = ["doc_id", "keys", "even", "uneven"]
+    alone = rows.mapInArrow(part_of(False), rows.schema).select(*held_by)
     reps = nodes.select("k1", "k2", F.col("first_id").alias("_first"))
     twins = rows.mapInArrow(part_of(True), rows.schema).join(reps, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    return alone.union(twins.dropDuplicates(["k1", "k2"]).select("doc_id", "keys")).select(
-        F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    entries = alone.union(twins.dropDuplicates(["k1", "k2"]).select(*held_by)).select(
+        F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "even", "uneven")
+    return entries.select("key", "id", F.expr(f"if({SIDE} = 0, even, uneven)").alias("spare"))
 
 
 def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -295,7 +320,11 @@ def filtered(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a_node, b_node) those that sizes and parities leave open, as (a, b)."""
     few = ["node", "n", *FOLDED]
     pairs = pairs.join(sided(nodes, "a", few), "a_node").join(sided(nodes, "b", few), "b_node").where(may_link(percent))
-    pairs = pairs.select("a_node", "b_node", "a_n", "b_n")
+    return by_all_parities(pairs.select("a_node", "b_node", "a_n", "b_n"), nodes, percent)
+
+
+def by_all_parities(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a_node, b_node, a_n, b_n) those that all parities leave open, as (a, b)."""
     if percent < 50:
         return pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     pairs = pairs.join(sided(nodes, "a", ["node", "odd"]), "a_node").join(sided(nodes, "b", ["node", "odd"]), "b_node")
@@ -329,9 +358,9 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("_held")).where("_held > 1").select("key")
+    often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     often = stored(often)
-    shared = stored(entries_of(rows, nodes, often).join(often, "key"))
+    shared = needed(entries_of(rows, nodes, often).join(often, "key"))
     named = nodes.select("node", "n", F.col("first_id").alias("_first"))
     shared = stored(shared.join(named, F.col("id").eqNullSafe(F.col("_first"))).select("key", "node", "n"))
 
@@ -351,7 +380,7 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     x = sided(open_rows, "a", ["key", "label", *columns])
     y = sided(open_rows, "b", ["key", "label", *columns])
     near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
-    rest = filtered(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node").distinct(), nodes, percent)
+    rest = by_all_parities(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node", "a_n", "b_n").distinct(), nodes, percent)
     links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)
 

@@ -44,7 +44,7 @@ PERCENT = 80
 #: The cost model: share of pairs of a band that have a passage in common, how much of them it is, and the cost of
 #: a candidate pair in index rows.
 SHARED_PAIRS, SHARED_PART, PAIR_COST = 1e-3, 0.5, 5
-FOLDED_WORDS = 4
+FOLDED_WORDS = 8
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 27
@@ -115,7 +115,7 @@ def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int,
     for twos in range(need // 2 + 1):
         ones = need - 2 * twos
         if not twos:
-            spare = next((m for m in range(need, need + need // 2 + 1) if filled(m, low) >= need), None)
+            spare = next((m for m in range(need, 2 * need + 1) if filled(m, low) >= need), None)
             ones = spare or need
         one = low / (ones + 2 * twos)
         rows = sets * (ones + twos * (1 + 2 * one))

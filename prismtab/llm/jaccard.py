@@ -13,7 +13,7 @@ A set with f segments that hold something, all worth one and f at least d + 1, l
 out of the index: a linked pair agrees in at least f - d of the others. Of its keys it then needs only the
 d + 1 that the fewest sets have (ties by key): the first key in this order that a pair shares is among
 them on both sides. Schemes without deletions cut more segments than they must, so keys of passages that
-many documents share are the ones left out, and most sets without a partner leave nothing in the index.
+many documents share are left out first.
 
 Sets that share an index key are candidates. Each key first offers its smallest and its largest
 member to all others, which is linear in the key; the links so found make components. Pairs of a key
@@ -121,7 +121,7 @@ def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int,
         rows = sets * (ones + twos * (1 + 2 * one))
         hits = ones * SHARED_PART ** one + twos * 2 * one * SHARED_PART ** (2 * one - 1)
         if not twos and spare:
-            hits = 0  # the keys of shared passages are the ones left out
+            hits = 0  # an estimate: the keys of shared passages are left out first
         cost = rows + PAIR_COST * SHARED_PAIRS * sets * sets * hits
         if best is None or cost < best[0]:
             best = (cost, ones, twos)

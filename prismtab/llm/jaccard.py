@@ -219,9 +219,9 @@ def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
     """A bit for each value of a column of hashes, in a table of fixed size; it saves work and decides nothing."""
     place = f"pmod({column}, {BLOOM_BITS}L)"
     words = (rows.selectExpr(f"{place} div 64 AS w", f"shiftleft(1L, cast({place} % 64 AS int)) AS b").groupBy("w")
-             .agg(F.bit_or("b").alias("b")).toPandas())
+             .agg(F.bit_or("b").alias("b")).toArrow())  # at most BLOOM_BITS / 64 rows; never as Python objects
     bits = np.zeros(BLOOM_BITS // 64, U)
-    bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(U)
+    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(U)
     return bits
 
 

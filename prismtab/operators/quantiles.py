@@ -1,10 +1,10 @@
-"""Exact quantiles (linear interpolation) at any size.
+"""Exact quantiles (linear interpolation), one way for every size.
 
-Spark's exact ``percentile`` keeps the distinct values of a column in one task, so it is used only
-for columns with a checked, small number of values. Larger columns are narrowed first: a quantile
-sketch of bounded size gives a bracket around each wanted rank, exact counts prove that the rank
-lies inside, and only the values in the bracket are grouped and ordered. A bracket that still holds
-too many values is narrowed again.
+A wanted rank lies in a bracket of values, at first the whole column. A bracket with too many values
+is cut: a quantile sketch of bounded size proposes values around the rank, exact counts tell which
+gap between them holds it, or that it falls on one of them. The values of a bracket that is small
+enough are grouped and ordered. A cut takes the proposed values out of the bracket, so it always
+shrinks, also where one value fills a third of all rows.
 """
 from __future__ import annotations
 
@@ -17,14 +17,14 @@ from pyspark.sql.window import Window
 
 from prismtab.functions.coerce import number
 
-IN_ONE_TASK = 1_000_000  # values of a column that `percentile` may hold
-IN_ONE_BRACKET = 2_000_000  # values of a bracket that are grouped and ordered
+IN_ONE_BRACKET = 200_000  # values of a bracket that are grouped and ordered
 SKETCH_ACCURACY = 2_000
 
 
 @dataclass(frozen=True)
 class _Target:
-    """The value wanted: the one at ``rank`` (0-based) of ``column``, known to be in [low, high]."""
+    """The value wanted: the one at ``rank`` (0-based) of ``column``, known to be between low and high,
+    neither included; ``below`` values are at most low, ``inside`` values lie between."""
 
     column: str
     rank: int
@@ -33,42 +33,29 @@ class _Target:
     below: int
     inside: int
 
+    @property
+    def bracket(self) -> tuple[str, float, float]:
+        return self.column, self.low, self.high
+
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: list[float],
-    in_one_task: int = IN_ONE_TASK, in_one_bracket: int = IN_ONE_BRACKET,
+    df: DataFrame, columns: list[str], probabilities: list[float], in_one_bracket: int = IN_ONE_BRACKET,
 ) -> dict[str, list[float | None]]:
     """Quantiles per numeric column; None for a column without values."""
     if not columns:
         return {}
     values = df.select(*[number(df, name).alias(f"c{i}") for i, name in enumerate(columns)])
-    aliases = values.columns
-    counts = values.agg(*[F.count(c).alias(c) for c in aliases]).first().asDict()
-    small = [c for c in aliases if 0 < counts[c] <= in_one_task]
-    large = [c for c in aliases if counts[c] > in_one_task]
-    found: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in aliases}
-    if small:
-        found.update(values.agg(*[
-            F.percentile(c, F.array(*map(F.lit, probabilities))).alias(c) for c in small
-        ]).first().asDict())
-    if large:
-        found.update(_by_rank(values, large, probabilities, counts, in_one_bracket))
-    return {name: found[alias] for name, alias in zip(columns, aliases)}
-
-
-def _by_rank(values, columns, probabilities, counts, in_one_bracket) -> dict[str, list[float]]:
-    places = {(c, p): p * (counts[c] - 1) for c in columns for p in probabilities}
+    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first().asDict()
+    places = {(c, p): p * (counts[c] - 1) for c in values.columns if counts[c] for p in probabilities}
     ranks = {(c, r) for (c, _), at in places.items() for r in (math.floor(at), math.ceil(at))}
-    edges = values.agg(*[F.min(c).alias(f"{c}_lo") for c in columns],
-                       *[F.max(c).alias(f"{c}_hi") for c in columns]).first()
-    targets = [
-        _Target(c, r, edges[f"{c}_lo"], edges[f"{c}_hi"], 0, counts[c]) for c, r in sorted(ranks)
-    ]
+    targets = [_Target(c, r, -math.inf, math.inf, 0, counts[c]) for c, r in sorted(ranks)]
     at_rank: dict[tuple[str, int], float] = {}
     while targets:
-        targets = _settle(values, _narrow(values, targets), in_one_bracket, at_rank)
+        _settle(values, [t for t in targets if t.inside <= in_one_bracket], at_rank)
+        targets = _narrow(values, [t for t in targets if t.inside > in_one_bracket], at_rank)
     return {
-        c: [_between(at_rank, c, places[c, p]) for p in probabilities] for c in columns
+        name: [_between(at_rank, alias, places[alias, p]) if (alias, p) in places else None for p in probabilities]
+        for name, alias in zip(columns, values.columns)
     }
 
 
@@ -77,68 +64,80 @@ def _between(at_rank, column: str, place: float) -> float:
     return low + (high - low) * (place - math.floor(place))
 
 
-def _narrow(values: DataFrame, targets: list[_Target]) -> list[tuple[_Target, _Target]]:
-    """One sketch pass for tighter brackets, one counting pass that proves them."""
+def _by_bracket(targets: list[_Target]) -> dict[tuple[str, float, float], list[_Target]]:
+    found: dict[tuple[str, float, float], list[_Target]] = {}
+    for t in targets:
+        found.setdefault(t.bracket, []).append(t)
+    return found
+
+
+def _inside(bracket: tuple[str, float, float]):
+    column, low, high = bracket
+    return (F.col(column) > low) & (F.col(column) < high)
+
+
+def _narrow(values: DataFrame, targets: list[_Target], at_rank: dict) -> list[_Target]:
+    """One sketch pass for values to cut at, one counting pass that places every rank among them."""
+    if not targets:
+        return []
     margin = 2.0 / SKETCH_ACCURACY
 
     def share(t: _Target, shift: float) -> float:
         return min(max((t.rank - t.below + 0.5) / t.inside + shift, 0.0), 1.0)
 
-    # Targets that still share a range share a sketch.
-    ranges: dict[tuple[str, float, float], list[_Target]] = {}
-    for t in targets:
-        ranges.setdefault((t.column, t.low, t.high), []).append(t)
-    sketches = []
-    for i, ((column, low, high), members) in enumerate(ranges.items()):
-        inside = F.when(F.col(column).between(low, high), F.col(column))
-        shares = [share(t, shift) for t in members for shift in (-margin, margin)]
-        sketches.append(F.percentile_approx(inside, shares, SKETCH_ACCURACY).alias(f"s{i}"))
-    row = values.agg(*sketches).first()
-    tighter, before = [], []
-    for i, members in enumerate(ranges.values()):
-        for j, t in enumerate(members):
-            tighter.append(replace(t, low=row[f"s{i}"][2 * j], high=row[f"s{i}"][2 * j + 1]))
-            before.append(t)
-    row = values.agg(*[
-        count.alias(f"{i}_{part}") for i, t in enumerate(tighter) for part, count in (
-            ("below", F.count_if(F.col(t.column) < t.low)),
-            ("inside", F.count_if(F.col(t.column).between(t.low, t.high))))
+    brackets = _by_bracket(targets)
+    proposed = values.agg(*[
+        F.percentile_approx(F.when(_inside(bracket), F.col(bracket[0])),
+                            [share(t, shift) for t in members for shift in (-margin, margin)], SKETCH_ACCURACY).alias(f"s{i}")
+        for i, (bracket, members) in enumerate(brackets.items())
+    ]).first()
+    cuts = [(bracket, x) for i, bracket in enumerate(brackets) for x in sorted(set(proposed[f"s{i}"]))]
+    counted = values.agg(*[
+        count.alias(f"{i}_{part}") for i, ((column, _, _), x) in enumerate(cuts)
+        for part, count in (("less", F.count_if(F.col(column) < x)), ("upto", F.count_if(F.col(column) <= x)))
     ]).first()
-    proven = [replace(t, below=row[f"{i}_below"], inside=row[f"{i}_inside"]) for i, t in enumerate(tighter)]
-    return [
-        (new if new.below <= new.rank < new.below + new.inside else old, old)
-        for old, new in zip(before, proven)
-    ]
-
-
-def _settle(
-    values: DataFrame, narrowed: list[tuple[_Target, _Target]], in_one_bracket: int, at_rank: dict,
-) -> list[_Target]:
-    """Record every rank whose bracket is small enough; return the ones to narrow again."""
-    again, ready = [], []
-    for new, old in narrowed:
-        if new.low == new.high:
-            at_rank[new.column, new.rank] = new.low
-        elif new.inside > in_one_bracket and new.inside * 2 < old.inside:
-            again.append(new)
-        else:
-            ready.append(new)
-    if ready:
-        # One row per distinct value in a bracket, so a value repeated over a third of all rows is
-        # one row here; the window orders each bracket on its own.
-        entries = F.array(*[
-            F.when(F.col(t.column).between(t.low, t.high),
-                   F.struct(F.lit(i).alias("target"), F.col(t.column).alias("value")))
-            for i, t in enumerate(ready)
-        ])
-        steps = (
-            values.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-            .groupBy("e.target", "e.value").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("value")))
-        )
-        offset = F.element_at(F.array(*[F.lit(t.rank - t.below) for t in ready]), F.col("target") + 1)
-        hits = steps.where((F.col("upto") > offset) & (F.col("upto") - F.col("n") <= offset))
-        for row in hits.select("target", "value").collect():
-            target = ready[row["target"]]
-            at_rank[target.column, target.rank] = row["value"]
-    return again
+    at = {bracket: [(x, counted[f"{i}_less"], counted[f"{i}_upto"]) for i, (b, x) in enumerate(cuts) if b == bracket]
+          for bracket in brackets}
+    placed = [_place(t, at[t.bracket], at_rank) for t in targets]
+    return [t for t in placed if t is not None]
+
+
+def _place(target: _Target, cuts: list[tuple[float, int, int]], at_rank: dict) -> _Target | None:
+    """The target in the gap that holds its rank; None, with the value recorded, when it is a cut."""
+    low, high, below, end = target.low, target.high, target.below, target.below + target.inside
+    for x, less, upto in cuts:
+        if target.rank < less:
+            high, end = x, less
+            break
+        if target.rank < upto:
+            at_rank[target.column, target.rank] = x
+            return None
+        low, below = x, upto
+    return replace(target, low=low, high=high, below=below, inside=end - below)
+
+
+def _settle(values: DataFrame, targets: list[_Target], at_rank: dict) -> None:
+    """Record the values at ranks whose bracket is small enough to be ordered in one task."""
+    if not targets:
+        return
+    brackets = _by_bracket(targets)
+    # One row per distinct value in a bracket, so a value repeated over a third of all rows is one
+    # row here; the window orders each bracket on its own.
+    entries = F.array(*[
+        F.when(_inside(bracket), F.struct(F.lit(i).alias("bracket"), F.col(bracket[0]).alias("value")))
+        for i, bracket in enumerate(brackets)
+    ])
+    steps = (
+        values.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        .groupBy("e.bracket", "e.value").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("bracket").orderBy("value")))
+    )
+    offsets = F.element_at(F.array(*[
+        F.array(*[F.lit(t.rank - t.below).cast("bigint") for t in members]) for members in brackets.values()
+    ]), F.col("bracket") + 1)
+    met = F.filter(offsets, lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r))
+    members = list(brackets.values())
+    for row in steps.select("bracket", "value", F.explode(met).alias("offset")).collect():
+        for t in members[row["bracket"]]:
+            if t.rank - t.below == row["offset"]:
+                at_rank[t.column, t.rank] = row["value"]

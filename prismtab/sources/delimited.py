@@ -10,22 +10,31 @@ from prismtab.functions.coerce import col, numeric_text, text_columns
 from prismtab.functions.names import clean_headers
 from prismtab.sources.lines import has_text, read_lines, split_cells
 
-# The delimiters looked for and the size of the sample.
+# The delimiters looked for, the first one is the default.
 DELIMITERS = ",;\t|"
-SAMPLE_SIZE = 8192
 
 
-def sniff_delimiter(sample: str) -> str:
-    """The delimiter of a text sample; a comma when none stands out."""
-    try:
-        return csv.Sniffer().sniff(sample[:SAMPLE_SIZE], delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        return ","
+def delimiters(lines: DataFrame) -> DataFrame:
+    """(source, delimiter) from all (source, value) lines: the one that the most lines hold outside of
+    quotes, then the one whose count varies least, then the most frequent one. Sources without any
+    have no row."""
+    pieces = F.filter(F.split("value", '"', -1), lambda _, i: i % 2 == 0)
+    marks = F.array(*[F.struct(F.lit(-i).alias("rank"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
+    counted = lines.select("source", F.array_join(pieces, "").alias("_bare"), F.inline(marks)).select(
+        "source", "rank", "delimiter", (F.length("_bare") - F.length(F.replace("_bare", "delimiter"))).alias("n"))
+    per_mark = counted.where("n > 0").groupBy("source", "rank", "delimiter").agg(
+        F.count(F.lit(1)).alias("lines"), (F.min("n") - F.max("n")).alias("even"), F.sum("n").alias("cells"))
+    return per_mark.groupBy("source").agg(
+        F.max_by("delimiter", F.struct("lines", "even", "cells", "rank")).alias("delimiter"))
 
 
 def folder_delimiter(spark: SparkSession, path: str) -> str:
-    """Looks at the first lines of one file only."""
-    return sniff_delimiter("\n".join(r["value"] for r in spark.read.text(path).take(20)))
+    """The delimiter of a folder of files, from one pass over all lines; files must not disagree."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    found = sorted(r["delimiter"] for r in delimiters(lines).select("delimiter").distinct().collect())
+    if len(found) > 1:
+        raise ValueError(f"the files use different delimiters: {found}")
+    return found[0] if found else DELIMITERS[0]
 
 
 def read_delimited(
@@ -76,21 +85,23 @@ def repair_lines(lines: DataFrame, header: list[str], delimiter: str = ",") -> D
 
 
 def promote_numeric(df: DataFrame) -> DataFrame:
-    """Text columns whose every non-null value is a number become numbers (whole ones bigint)."""
+    """Text columns whose every non-null value is a number become numbers: whole ones bigint,
+    or decimal(38,0) from 19 digits on."""
     texts = text_columns(df)
     if not texts:
         return df
-    whole = r"^\s*[+-]?\d{1,18}\s*$"
+    whole, longer = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?\d{1,38}\s*$"
     row = df.agg(*[
         count.alias(f"{i}_{part}") for i, name in enumerate(texts) for part, count in (
             ("filled", F.count(col(name))), ("numbers", F.count_if(numeric_text(col(name)))),
-            ("whole", F.count_if(col(name).rlike(whole))))
+            ("whole", F.count_if(col(name).rlike(whole))), ("longer", F.count_if(col(name).rlike(longer))))
     ]).first()
     changes = {}
     for i, name in enumerate(texts):
-        filled, numbers, wholes = (row[f"{i}_{part}"] for part in ("filled", "numbers", "whole"))
+        filled, numbers, wholes, longer_ones = (row[f"{i}_{part}"] for part in ("filled", "numbers", "whole", "longer"))
         if filled and numbers == filled:
-            changes[name] = F.trim(col(name)).cast("bigint" if wholes == filled else "double")
+            kind = "bigint" if wholes == filled else "decimal(38,0)" if longer_ones == filled else "double"
+            changes[name] = F.trim(col(name)).cast(kind)
     return df.withColumns(changes) if changes else df
 
 

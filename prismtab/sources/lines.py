@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismtab.session import checkpointed
+
 #: Stands for a delimiter outside quotes; a code point that no text may use.
 CELL_END = "\ufdd0"
 # Code page 1252 differs from Latin-1 in these bytes; five of them have no meaning in it.
@@ -22,7 +24,10 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as text. A file is UTF-8 if all of its lines are, else code page 1252, else Latin-1."""
+    """Lines as text. A file is UTF-8 if all of its lines are, else code page 1252, else Latin-1.
+
+    Line numbers depend on how a scan was cut into tasks, so the lines are numbered once and written
+    to the shared checkpoint folder; whatever compares numbers reads them from there."""
     lines = raw_lines(spark, path)
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     unknown = latin.rlike("[" + "".join(chr(b) for b in sorted(_UNDEFINED)) + "]")
@@ -33,7 +38,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("_latin"), latin).otherwise(F.translate(latin, _LATIN, _WINDOWS))
     )
     # `files` has one row per file.
-    return lines.join(files, "source").select("source", "line_no", _without_mark(text).alias("value"))
+    return checkpointed(lines.join(files, "source").select("source", "line_no", _without_mark(text).alias("value")))
 
 
 def _without_mark(text: Column) -> Column:

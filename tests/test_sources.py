@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prismtab.operators import ledger
 from prismtab.operators.ledger import LedgerColumns
-from prismtab.sources import delimited, lines, reports, spreadsheets, store
+from prismtab.sources import delimited, lines, reports, spreadsheets, store, tables
 
 
 def rows(frame):
@@ -20,8 +20,43 @@ def test_delimiters(spark, tmp_path, mark):
     assert df.columns[:2] == ["id", "name"] and sorted(rows(df)) == [(1, "x", 2.5), (2, "y", 3.5)]
 
 
-def test_fallback_delimiter():
-    assert delimited.sniff_delimiter("plain words only") == ","
+def test_fallback_delimiter(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("plain words only")
+    assert delimited.folder_delimiter(spark, str(tmp_path)) == ","
+
+
+def test_delimiter_of_all_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join(["x;y", *['1,5;"a,b,c"'] * 50]))
+    assert delimited.folder_delimiter(spark, str(tmp_path)) == ";"
+    (tmp_path / "b.csv").write_text("x|y\n1|2")
+    with pytest.raises(ValueError):
+        delimited.folder_delimiter(spark, str(tmp_path))
+
+
+def test_one_entry(spark, tmp_path):
+    plain, report = tmp_path / "plain", tmp_path / "report"
+    plain.mkdir(), report.mkdir()
+    (plain / "a.csv").write_bytes("id;name\n1;café\n2\n".encode("cp1252"))
+    (report / "r.csv").write_text(REPORT)
+    assert sorted(rows(tables.read_table(spark, str(plain)))) == [(1, "café"), (2, None)]
+    read = tables.read_table(spark, str(report))
+    assert read.columns == ["Date", "Time", "Category", "Item/Customer", "Amount (Rs)"] and read.count() == 3
+
+
+def test_equal_rows_for_other_splits(spark, tmp_path):
+    (tmp_path / "r.csv").write_text(REPORT + "\n" * 500)
+    found, key = [], "spark.sql.files.maxPartitionBytes"
+    for size in ("64", "128m"):
+        spark.conf.set(key, size)
+        detail = reports.report_rows(lines.read_lines(spark, str(tmp_path)))
+        found.append(sorted(tuple(r["cells"]) for r in detail.collect()))
+    spark.conf.unset(key)
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_long_integers_keep_their_digits(spark):
+    df = delimited.promote_numeric(spark.createDataFrame([("12345678901234567890123",), ("1",)], "n string"))
+    assert df.dtypes == [("n", "decimal(38,0)")] and {int(r.n) for r in df.collect()} == {12345678901234567890123, 1}
 
 
 def test_encodings_per_file(spark, tmp_path):

@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DATE_TEXT = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
 RANGE_TEXT = r"(?i)\d+\s*[-–]\s*\d+|\$|m\b|million|k\b|employees?"
-DATE_FORMATS = ["yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy"]
+TIME_PART = "[ H:mm[:ss]]"
+DATE_FORMATS = [f"{day}{TIME_PART}" for day in (
+    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy")]
 
 # Exact sums need decimals: their result does not depend on the order of tasks. 18 digits keep the
 # compact form; a single amount of 10^14 or more raises under ANSI instead of turning into null.

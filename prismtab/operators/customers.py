@@ -11,14 +11,13 @@ from prismtab.operators.metrics import count_by_dimension
 
 def top_customers(df: DataFrame, customer: str, spend: str, limit: int = 10) -> DataFrame:
     """The biggest spenders with their share of all spend, also of rows without a customer."""
-    value = money(df, spend)
-    total = df.agg(F.sum(value).alias("total")).scalar()
-    top = (
-        df.where(col(customer).isNotNull() & value.isNotNull())
-        .groupBy(col(customer).cast("string").alias(customer)).agg(F.sum(value).alias("_value"))
-        .orderBy(F.desc("_value"), F.asc(customer)).limit(limit)
-    )
-    return top.select(customer, money_round(F.col("_value")).alias(f"total_{spend}"),
+    groups = df.groupBy(col(customer).cast("string").alias("_customer")).agg(F.sum(money(df, spend)).alias("_value"))
+    # Rows without a customer go last and are left out after the limit: a filter before it would reach
+    # the scan, and the total could not share this grouping.
+    top = groups.orderBy(F.isnull("_customer"), F.desc("_value"), F.asc("_customer")).limit(limit).where(
+        F.col("_customer").isNotNull() & F.col("_value").isNotNull())
+    total = groups.agg(F.sum("_value").alias("total")).scalar()
+    return top.select(F.col("_customer").alias(customer), money_round(F.col("_value")).alias(f"total_{spend}"),
                       percent(F.col("_value"), total, 1).alias("share_pct"))
 
 

@@ -167,8 +167,32 @@ def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False
 
 
 def _value_tests(df: DataFrame, exact: bool, sketch: bool) -> dict[str, dict[str, int]]:
+    """Counts by column name. Without exact distinct counts only text goes through (column, value) rows."""
     texts = text_columns(df)
-    pairs = value_pairs(df)
+    paired = df.columns if exact else texts
+    found = _plain_counts(df, [name for name in df.columns if name not in paired], sketch)
+    if paired:
+        found |= _paired_counts(df, paired, texts, exact, sketch)
+    keys = ["rows", "nulls", "distinct", "distinct_filled", *TESTS]
+    return {name: {key: found.get(name, {}).get(key) or 0 for key in keys} for name in df.columns}
+
+
+def _plain_counts(df: DataFrame, names: list[str], sketch: bool) -> dict[str, dict[str, int]]:
+    if not names:
+        return {}
+    makers = {"nulls": lambda name: F.count_if(is_null(df, name))}
+    if sketch:
+        makers["distinct"] = lambda name: F.approx_count_distinct(_value_text(df, name))
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        make(name).alias(f"{i}_{key}") for i, name in enumerate(names) for key, make in makers.items()]).first()
+    counts = {name: {"rows": row["rows"]} | {key: row[f"{i}_{key}"] for key in makers} for i, name in enumerate(names)}
+    return {name: c | {"distinct_filled": c.get("distinct", 0)} for name, c in counts.items()}
+
+
+def _paired_counts(
+    df: DataFrame, names: list[str], texts: list[str], exact: bool, sketch: bool,
+) -> dict[str, dict[str, int]]:
+    pairs = value_pairs(df, names)
     if exact:
         pairs = pairs.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     else:
@@ -186,9 +210,7 @@ def _value_tests(df: DataFrame, exact: bool, sketch: bool) -> dict[str, dict[str
         aggregates |= {"distinct": F.approx_count_distinct("value"), "distinct_filled": F.approx_count_distinct(
             F.when(F.trim(value) != "", value))}
     per_column = pairs.groupBy("column_name").agg(*[a.alias(key) for key, a in aggregates.items()])
-    found = {r["column_name"]: r.asDict() for r in per_column.collect()}
-    keys = ["rows", "nulls", "distinct", "distinct_filled", *TESTS]
-    return {name: {key: found.get(name, {}).get(key) or 0 for key in keys} for name in df.columns}
+    return {r["column_name"]: r.asDict() for r in per_column.collect()}
 
 
 def _value_text(df: DataFrame, name: str) -> Column:

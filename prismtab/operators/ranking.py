@@ -113,12 +113,11 @@ def best_and_worst(df: DataFrame, dimension: str, value: str) -> DataFrame:
 def concentration(df: DataFrame, dimension: str, value: str, leaders: int = 3, above: float = 60.0) -> DataFrame:
     """Share of the leading groups when it is above the threshold, from five groups up."""
     groups = _lines(df, dimension, value).groupBy("_key").agg(F.sum("_value").alias("_total"))
-    whole = groups.agg(F.sum("_total").alias("total"), F.count(F.lit(1)).alias("groups"))
+    whole = groups.agg(F.struct(F.sum("_total").alias("total"), F.count(F.lit(1)).alias("groups")).alias("whole")).scalar()
     top = groups.orderBy(F.desc("_total"), F.asc("_key")).limit(leaders).agg(F.sum("_total").alias("top"))
-    total, count = whole.select("total").scalar(), whole.select("groups").scalar()
     share = half_up(F.col("top").cast("double") / F.col("total").cast("double") * 100, 1)
     return (
-        top.select("top", total.alias("total"), count.alias("groups"))
+        top.select("top", whole.alias("whole")).select("top", "whole.total", "whole.groups")
         .where((F.col("total") > 0) & (F.col("groups") >= 5))
         .select("groups", share.alias("top_share_pct")).where(F.col("top_share_pct") > above)
     )

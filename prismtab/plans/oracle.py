@@ -52,7 +52,7 @@ VIEWS = {
     "customers": """
         SELECT c_name AS customer, n_name AS country, c_mktsegment AS segment,
                min(o_orderdate) AS signup_date, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS spend
-        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+        FROM customer LEFT JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         GROUP BY c_custkey, c_name, n_name, c_mktsegment""",
     "finance": """
         SELECT o_orderkey AS entry_id, o_orderdate AS transaction_date, o_orderpriority AS account,

@@ -147,12 +147,12 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spend per customer: orders are summed per customer before the join."""
+    """Every customer, with the spend of those that have orders: orders are summed before the join."""
     spend = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
         F.sum(_price("o_totalprice")).alias("spend"), F.min("o_orderdate").alias("signup_date"))
     people = table(spark, sf_dir, "customer").join(
         geography(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-    return people.join(spend, F.col("c_custkey") == F.col("o_custkey")).select(
+    return people.join(spend, F.col("c_custkey") == F.col("o_custkey"), "left").select(
         F.col("c_name").alias("customer"), "country", F.col("c_mktsegment").alias("segment"), "signup_date",
         F.col("spend"))
 

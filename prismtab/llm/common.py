@@ -13,6 +13,7 @@ from prismtab.session import ensure_checkpoint_dir
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 BATCH_BYTES = 16 << 20
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +42,15 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Written once as Parquet in the shared folder and read back: the lineage ends here, and a lost
     executor costs no recomputation of what came before."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, True)  # shuffle files of this write go when it ends, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_totals(df: DataFrame, order: list[str], values: dict[str, Column | str]) -> DataFrame:

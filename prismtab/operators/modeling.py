@@ -61,6 +61,20 @@ def hash_split(df: DataFrame, train_percent: int, keys: list[str] | None = None)
     return df.where(bucket < train_percent), df.where(bucket >= train_percent)
 
 
+def stratified_split(
+    df: DataFrame, label: str, train_percent: int, keys: list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Like ``hash_split``, with the wanted share of each class: the cut is a quantile of the hashes of
+    the class, from a sketch of bounded size that is exact for small classes. Equal rows stay together."""
+    # 52 bits: the sketch works on doubles, which hold them exactly.
+    marked = df.withColumn("_mark", F.shiftrightunsigned(F.xxhash64(F.lit(42), *[col(c) for c in keys or df.columns]), 12))
+    cuts = marked.groupBy(F.col(label).alias("_class")).agg(
+        F.percentile_approx("_mark", train_percent / 100, 10_000).alias("_cut"))  # one row per class
+    placed = marked.join(cuts, F.col(label).eqNullSafe(F.col("_class")))
+    train, test = (placed.where(side) for side in (F.col("_mark") <= F.col("_cut"), F.col("_mark") > F.col("_cut")))
+    return train.select(*map(col, df.columns)), test.select(*map(col, df.columns))
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """Data that a model passes over many times: spread evenly once, then kept in memory and on disk."""
     return df.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
@@ -72,16 +86,18 @@ def _numeric_feature(df: DataFrame, name: str) -> bool:
 
 
 def _prepared(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
-    """Numbers as doubles, everything else as text; the most common text fills the gaps."""
-    words = [f for f in features if not _numeric_feature(df, f)]
-    modes = {}
-    if words:
-        modes = {r["column_name"]: r["value"] for r in top_values(value_counts(df, words), 1).collect()}
-    values = [number(df, f).alias(f) if f not in words else
-              F.coalesce(col(f).cast("string"), F.lit(modes.get(f, ""))).alias(f) for f in features]
+    """Numbers as doubles, everything else as text."""
+    values = [(number(df, f) if _numeric_feature(df, f) else col(f).cast("string")).alias(f) for f in features]
     return df.select(*[col(k) for k in keep], *values)
 
 
+def _common_texts(df: DataFrame, features: list[str]) -> dict[str, str]:
+    """The most common text of each text feature."""
+    words = [f for f in features if not _numeric_feature(df, f)]
+    found = {r["column_name"]: r["value"] for r in top_values(value_counts(df, words), 1).collect()} if words else {}
+    return {word: found.get(word, "") for word in words}
+
+
 def _preprocessing(df: DataFrame, features: list[str]) -> list:
     """Median and scaling for numbers, indicator columns for text (unknown words get all zeros)."""
     numbers = [f for f in features if _numeric_feature(df, f)]
@@ -169,7 +185,9 @@ def _fit(df: DataFrame, keys: list[str], result: Training) -> None:
     if not regression and class_balance(labelled, "_actual").where("imbalanced").count():
         result.limitations.append("one class holds 90% of the rows or more")
     data = _prepared(labelled, result.features, ["_actual", *[k for k in keys if k not in result.features]])
-    train, test = hash_split(data, 75, keys or None)
+    train, test = hash_split(data, 75, keys or None) if regression else stratified_split(data, "_actual", 75, keys or None)
+    common = _common_texts(train, result.features)  # of training rows only
+    train, test = (side.fillna(common) if common else side for side in (train, test))
     prepared = Pipeline(stages=_preprocessing(df, result.features)).fit(train)
     held = [_kept(prepared.transform(side)) for side in (train, test)]
     try:
@@ -266,6 +284,8 @@ def local_contributions(df: DataFrame, target: str, features: list[str], keys: l
     distance from the mean, the strongest features per row."""
     data = _prepared(df.withColumn("_actual", number(df, target)).where(F.col("_actual").isNotNull()),
                      features, ["_actual", *[k for k in keys if k not in features]])
+    common = _common_texts(data, features)
+    data = data.fillna(common) if common else data
     prepared = Pipeline(stages=_preprocessing(df, features)).fit(data)
     ready = prepared.transform(data)
     model = _ridge(ready, "_actual").fit(ready)

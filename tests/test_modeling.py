@@ -3,6 +3,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from prismtab.operators import evaluation, modeling
 from prismtab.sources import store
 
@@ -108,3 +110,10 @@ def test_scores_of_constant_targets(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (None, 3.0)], "actual double, predicted double")
     assert evaluation.regression_metrics(df).first().r2 == 0.0
     assert evaluation.class_balance(df, "actual").first().imbalanced
+
+
+def test_stratified_split_keeps_the_share_of_each_class(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 40 == 0, "rare").otherwise("common").alias("kind"))
+    train, test = modeling.stratified_split(df, "kind", 75)
+    counts = {r["kind"]: r["count"] for r in train.groupBy("kind").count().collect()}
+    assert counts == {"rare": 75, "common": 2925} and train.count() + test.count() == 4000 and test.columns == df.columns

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismtab.llm.common import running_totals, small_batches, stored
+from prismtab.llm.hamming import with_smallest_ids
 
 CURVES, DIMENSIONS, BITS = 6, 6, 10
 BLOCK, QUERIES = 4096, 2048
@@ -78,9 +79,7 @@ def entries_of(vectors: DataFrame, vec_id: str, embedding: str, many: int) -> Da
     rows = rows.where(~bad & F.exists("x", lambda v: v != 0))
     usual = rows.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("x") == (usual["n"] if usual else 0))
-    rank = F.row_number().over(Window.partitionBy("x").orderBy("vec_id"))
-    few = rows.withColumn("_rank", rank).where(F.col("_rank") <= many)
-    entries = few.groupBy("x").agg(F.min("vec_id").alias("first_id"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
+    entries = with_smallest_ids(rows, "x", "vec_id", many)
     return stored(entries.withColumn("node", F.monotonically_increasing_id()))
 
 

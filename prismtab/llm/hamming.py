@@ -50,10 +50,10 @@ def sign_codes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
 
 def with_smallest_ids(rows: DataFrame, key: str, vec_id: str, many: int) -> DataFrame:
-    """(key, first_id, ids): the `many` smallest ids of each key. The rank filter drops the rest in the tasks
-    that read them, before any shuffle."""
+    """(key, first_id, ids): the `many` smallest ids of each key. Rows that repeat go first, so that they take
+    no place; the rank filter then drops the rest in the tasks that hold them, before the shuffle by key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(vec_id))
-    few = rows.select(key, vec_id).withColumn("_rank", rank).where(F.col("_rank") <= many)
+    few = rows.select(key, vec_id).distinct().withColumn("_rank", rank).where(F.col("_rank") <= many)
     return few.groupBy(key).agg(F.min(vec_id).alias("first_id"), F.array_sort(F.collect_set(vec_id)).alias("ids"))
 
 

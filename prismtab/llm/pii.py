@@ -4,10 +4,13 @@ Four base recognisers (email, ip, card, phone) and one for long hexadecimal keys
 around a seed make lexical patterns; the same patterns are taken around every other token that has
 the shape of an identifier. Patterns and instances form a graph that Spark scores in rounds: the
 confidence of a pattern is the mean score of the instances it surrounds, smoothed towards 0, and the
-score of an unknown instance is the chance that at least one of its patterns is right. Strings that
-look like a base kind but fail its rule (an ip part above 255, a card that fails Luhn) count as
-instances of score 0. Patterns with enough different seeds and a high confidence then mark the
-unknown identifiers they surround. Base spans always stay.
+score of an unknown instance is the chance that at least one of its patterns is right. Unknown
+instances whose score reaches the confidence count as seeds of the next round, so contexts that only
+discovered identifiers lead to are found too; the rounds go on until the scores settle. Patterns with
+too few seeds, or a confidence of at most 0.05, pass nothing on. Strings that look like a base kind but
+fail its rule (an ip part above 255, a card that fails Luhn) count as instances of score 0. Patterns
+with enough different seeds and a high confidence then mark the unknown identifiers they surround.
+Base spans always stay.
 
 All positions are in code points. Null text counts as empty: no spans. Spans of different kinds may
 overlap; a discovered span that overlaps a base span is left out. Rows that repeat give equal rows. An
@@ -38,9 +41,10 @@ SHAPED = re.compile(r"[A-Za-z0-9_@+](?:[A-Za-z0-9_@+./:-]*[A-Za-z0-9_])?", re.AS
 DIGITS = re.compile(r"[0-9]")
 
 LEAST_SHAPE, LEAST_DIGITS = 8, 3
-ROUNDS = 3
 LEAST_SEEDS = 5
 CONFIDENCE = 0.9
+#: The rounds end when no confidence changes by this much and no pattern gains a seed.
+TOLERANCE = 0.001
 AROUND = 48
 
 
@@ -82,13 +86,13 @@ def base_matches(text: str):
 
 
 def patterns(text: str, start: int, end: int) -> list[int]:
-    """Hashes of the lexical patterns around a span: two words before it, and one on each side."""
+    """Hashes of the lexical patterns around a span: two words before it, one on each side, and two behind it."""
     before = text[max(0, start - AROUND):start].lower().split()
     after = text[end:end + AROUND].lower().split()
-    if not before:
-        return []
     left = before[-2:]
-    shapes = [" ".join(("L", *left)), " ".join(("B", left[-1], *after[:1]))]
+    shapes = [" ".join(("L", *left)), " ".join(("B", left[-1], *after[:1]))] if left else []
+    if after:
+        shapes.append(" ".join(("R", *after[:2])))
     return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in shapes]
 
 
@@ -149,32 +153,50 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         batches, f"doc_id {kind}, hash long, " + ", ".join(f"n_{kind} long" for kind in BASE_KINDS) + ", " + FIELDS)
 
 
-def pattern_scores(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, seeds, confidence) from occurrences (pattern, value, score); score is null for unknowns."""
-    edges = stored(seen.groupBy("pattern", "value").agg(F.max("score").alias("fixed"), F.count("*").alias("times")))
-    scores = None
-    for _ in range(rounds):
-        known = edges.withColumn("now", F.coalesce("fixed", F.lit(0.0)))
-        if scores is not None:
-            known = (edges.join(scores, "value", "left").withColumn("now", F.coalesce("fixed", "score", F.lit(0.0))))
-        by_pattern = stored(known.groupBy("pattern").agg(
-            F.sum(F.when(F.col("fixed") == 1, 1).otherwise(0)).alias("seeds"),
-            (F.sum("now") / (F.count("*") + 0.5)).alias("confidence")))
-        useful = by_pattern.where(f"confidence > 0.05 AND seeds >= {LEAST_SEEDS}")
-        scores = (edges.where("fixed IS NULL").join(useful, "pattern").groupBy("value")
-                  .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))).alias("score")))
-    return by_pattern
-
-
-def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS,
-                 least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
+def pattern_scores(seen: DataFrame, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE,
+                   tolerance: float = TOLERANCE) -> DataFrame:
+    """(pattern, seeds, confidence) from occurrences (pattern, value, score); score is null for unknowns.
+
+    The rounds start from 0, and no score ever falls. A pattern that passes its confidence on also gives it
+    to the unknowns it surrounds, and so to itself: with d, the sum over its unknowns of the chance that all
+    of their other patterns are wrong, its confidence c meets c (n + 0.5) = seeds + unknowns - (1 - c) d. This
+    is solved for c in each round, so that many unknowns around few seeds take no more rounds than few.
+    """
+    edges = stored(seen.groupBy("pattern", "value").agg(F.max("score").alias("fixed")))
+    fixed = stored(edges.groupBy("pattern").agg(
+        F.count("*").alias("n"), F.count_if(F.col("fixed").isNull()).alias("unknown"), F.count_if(F.col("fixed") == 1).alias("ones")))
+    unknowns = stored(edges.where("fixed IS NULL").select("pattern", "value"))
+    scores = stored(fixed.select("pattern", F.col("ones").alias("seeds"), (F.col("ones") / (F.col("n") + 0.5)).alias("confidence")))
+    while True:
+        useful = scores.where((F.col("confidence") > 0.05) & (F.col("seeds") >= least_seeds)).select(
+            "pattern", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("wrong"))
+        reached = stored(unknowns.join(useful, "pattern", "left"))
+        values = reached.where("wrong IS NOT NULL").groupBy("value").agg(F.sum("wrong").alias("all_wrong"))
+        score = 1 - F.exp("all_wrong")
+        around = reached.join(values, "value").groupBy("pattern").agg(
+            F.sum(score).alias("found"), F.count_if(score >= confidence).alias("more"),
+            F.sum(F.exp(F.col("all_wrong") - F.col("wrong"))).alias("d"))  # null unless the pattern passes on
+        apart = F.coalesce("d", F.lit(0.0))
+        gained = F.when(F.col("d").isNotNull(), F.col("unknown") - F.col("d")).otherwise(F.coalesce("found", F.lit(0.0)))
+        was = scores.select("pattern", F.col("seeds").alias("_seeds"), F.col("confidence").alias("_confidence"))
+        new = stored(fixed.join(around, "pattern", "left").join(was, "pattern").select(
+            "pattern", (F.col("ones") + F.coalesce("more", F.lit(0))).alias("seeds"),
+            ((F.col("ones") + gained) / (F.col("n") + 0.5 - apart)).alias("confidence"), "_seeds", "_confidence"))
+        changed = new.where((F.col("seeds") != F.col("_seeds")) | (F.abs(F.col("confidence") - F.col("_confidence")) >= tolerance))
+        scores = new.select("pattern", "seeds", "confidence")
+        if changed.limit(1).count() == 0:
+            return scores
+
+
+def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                 least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, hash, n_email, n_ip, n_card, n_phone, base_sha256, spans, discovered): spans holds base and
     seed spans, discovered the ones that patterns have found, both as (start, kind, end) in order."""
     small_batches(docs.sparkSession)
     rows = stored(scan(docs, doc_id, text))
     at = rows.where(F.size("seen") > 0).select("doc_id", "hash", F.explode("seen").alias("s"))
     at = at.select("doc_id", "hash", "s.start", "s.end", "s.value", "s.score", F.explode("s.patterns").alias("pattern"))
-    trusted = pattern_scores(at, rounds).where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= confidence))
+    trusted = pattern_scores(at, least_seeds, confidence, tolerance).where((F.col("seeds") >= least_seeds) & (F.col("confidence") >= confidence))
     more = (at.where("score IS NULL").join(trusted, "pattern").select("doc_id", "hash", "start", "end").distinct()
             .groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(
                 F.struct("start", F.lit(KINDS.index("discovered")).alias("kind"), "end"))).alias("discovered")))

@@ -5,7 +5,8 @@ list of the category from that day on, `remove` takes it off. The last action of
 before `remove`. Days between an add and the next remove become a validity interval, open at the end
 without one. A pattern is a host or parent domain (`example.org`), or a host with leading path
 segments (`example.org/en`). A capture meets a pattern if its host is that domain or below it, or its
-host and path begin so; it is listed if an interval of such a pattern holds its fetch time.
+host and path begin so; it is listed if an interval of such a pattern holds its fetch time. Paths are
+compared with their case, without empty segments (`example.org/en/` is `example.org/en`).
 
 Captures with a null url or fetch time, or a url without host, meet nothing and are kept. Hosts are
 compared in lower case, without port and user. Entries with a null pattern, category or date are
@@ -25,10 +26,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, HOST, 1))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without empty segments: no slash at its ends, one between segments."""
+    return F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "^/|/$", "")
+
+
+def plain_pattern(pattern: Column) -> Column:
+    """The host of a pattern in lower case, and its path as it is, without empty segments."""
+    host = F.substring_index(pattern, "/", 1)
+    path = plain_path(F.substr(pattern, F.length(host) + 2))
+    return F.concat(F.lower(host), F.when(path != "", F.concat(F.lit("/"), path)).otherwise(""))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """(pattern, category, valid_from, valid_to) of the entries; valid_to is null while still listed."""
     known = entries.where("pattern IS NOT NULL AND category IS NOT NULL AND listed_on IS NOT NULL AND action IN ('add', 'remove')")
-    daily = known.groupBy(F.lower("pattern").alias("pattern"), "category", F.to_date("listed_on").alias("day")).agg(F.min("action").alias("action"))
+    daily = known.groupBy(plain_pattern(F.col("pattern")).alias("pattern"), "category", F.to_date("listed_on").alias("day")).agg(F.min("action").alias("action"))
     in_order = Window.partitionBy("pattern", "category").orderBy("day")  # at most one row for each day
     changes = daily.withColumn("_before", F.lag("action").over(in_order)).where("_before IS NULL OR _before <> action")
     return (changes.withColumn("valid_to", F.lead("day").over(in_order)).where("action = 'add'")
@@ -43,7 +56,7 @@ def patterns_of(url: Column, labels: int, segments: int) -> Column:
     whole = F.array(F.array_join(host, "."))
     found = F.array_union(domains, whole)
     if segments:
-        path = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/", segments + 1), lambda s: s != "")
+        path = F.filter(F.split(plain_path(F.regexp_extract(url, PATH, 1)), "/", segments + 1), lambda s: s != "")
         held = F.least(F.size(path), F.lit(segments))
         paths = F.when(held > 0, F.transform(F.sequence(F.lit(1), held), lambda n: F.concat_ws(
             "/", F.array_join(host, "."), F.array_join(F.slice(path, 1, n), "/"))))

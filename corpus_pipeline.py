@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 from prismtab.llm import jaccard, langid, mixing, packing, pii
 from prismtab.llm.common import stored, table
 
-#: A document is rejected by its language if it has none, or if the network is this unsure of it.
-LEAST_SURE = 0.3
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go; a missing lang is filled with the predicted one."""
     named = langid.identify(docs.withColumn("_row", F.struct(*docs.columns)), langid.train(docs))
-    kept = named.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE))
+    kept = named.where(F.col("lang_pred") != langid.UNKNOWN)
     filled = {"lang": F.coalesce(F.col("_row.lang"), F.col("lang_pred"))}
     return kept.select(*(filled.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
 

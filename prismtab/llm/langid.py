@@ -4,9 +4,9 @@ Every text is cut into windows of bytes; the network reads each window forwards
 gives every position a distribution over the languages. A document's distribution is the mean over
 all of its positions. The network is trained here, in numpy, by backpropagation through time.
 
-Gates and states use piecewise linear activations. The fit takes a bounded sample (PER_LANGUAGE
-texts of each of the MAX_LANGUAGES most frequent languages, SAMPLE_CHARS characters from a hashed
-place of each); every document is labelled over its whole text.
+Gates and states use piecewise linear activations. The fit takes every language of the labelled rows,
+by a bounded sample of each (PER_LANGUAGE texts in hashed order, SAMPLE_CHARS characters from a hashed
+place of each text); every document is labelled over its whole text.
 
 Null texts and texts without a letter are `und` with score 0. Without labelled rows everything is
 `und`. Ties between languages go to the smaller name. Rows are labelled one by one, so rows that
@@ -18,14 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from prismtab.llm.common import small_batches
 
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 SAMPLE_CHARS = 384
 HIDDEN = 8
 WINDOW = 128
@@ -210,20 +209,16 @@ def has_letter(text: Column) -> Column:
 
 
 def train(labelled: DataFrame, text: str = "text", language: str = "lang", per_language: int = PER_LANGUAGE,
-          max_languages: int = MAX_LANGUAGES, steps: int = STEPS, seed: int = SEED) -> Network | None:
-    """A network fitted on a bounded sample of the labelled rows; None without any."""
+          steps: int = STEPS, seed: int = SEED) -> Network | None:
+    """A network fitted on a bounded sample of the labelled rows of each language; None without any."""
     rows = labelled.where(F.col(language).isNotNull() & has_letter(F.col(text)))
-    counts = sorted(rows.groupBy(F.col(language).alias("l")).agg(F.count("*").alias("n"))
-                    .orderBy(F.desc("n"), "l").limit(max_languages).collect())
-    if not counts:
-        return None
     spread = F.xxhash64(F.lit(seed), F.col(text))
-    share = (F.pmod(spread, F.lit(1 << 30)) / float(1 << 30))
-    limits = labelled.sparkSession.createDataFrame([(c["l"], min(1.0, per_language / c["n"])) for c in counts], "_l string, _share double")
     start = F.lit(1) + F.pmod(F.xxhash64(spread), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
-    sample = (rows.join(F.broadcast(limits), F.col(language) == F.col("_l")).where(share < F.col("_share"))
-              .select(spread.alias("h"), F.col("_l").alias("l"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("t"))
-              .orderBy("h", "l", "t").limit(2 * per_language * max_languages).collect())
+    pieces = rows.select(spread.alias("h"), F.col(language).alias("l"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("t"))
+    # Copies of a text count once, so that they take no place from others of their language.
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    chosen = pieces.select("l", "h").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("l", "h")
+    sample = pieces.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).orderBy("h", "l", "t").collect()
     sample = [(r["t"].encode("utf-8", "surrogatepass"), r["l"]) for r in sample if r["t"]]
     return fit([t for t, _ in sample], [name for _, name in sample], steps, seed) if sample else None
 

@@ -193,26 +193,26 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Schemes) -> DataFrame:
-    """(doc_id, n, k1, k2, odd, f0.., keys, even, uneven): size, identity, parities (also folded to few words),
+    """(doc_id, hash, n, k1, k2, odd, f0.., keys, even, uneven): hash of the text, size, identity, parities (also folded to few words),
     index keys and spare keys of each document's set."""
     def batches(parts):
         known, none = WordHashes(), (np.empty(0, np.int64), [0, 0])
         for part in parts:
-            sets = [shingle_set(value.as_py(), width, known) for value in part.column(1)]
+            sets = [shingle_set(value.as_py(), width, known) for value in part.column(2)]
             names = [identity(values) for values in sets]
             odd = [parity(values) for values in sets]
             keys = [schemes.keys(v) if len(v) else none for v in sets]
             few = np.array([np.bitwise_xor.reduce(p.reshape(-1, FOLDED_WORDS), axis=0) for p in odd]).reshape(-1, FOLDED_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(v) for v in sets], pa.int64()), *(pa.array([k[i] for k in names], pa.int64()) for i in (0, 1)),
+                [part.column(0), part.column(1), pa.array([len(v) for v in sets], pa.int64()), *(pa.array([k[i] for k in names], pa.int64()) for i in (0, 1)),
                  lists(odd),
                  *(pa.array(few[:, i]) for i in range(FOLDED_WORDS)), lists([k for k, _ in keys]),
                  *(pa.array([spare[i] for _, spare in keys], pa.int32()) for i in (0, 1))],
-                names=["doc_id", "n", "k1", "k2", "odd", *FOLDED, "keys", "even", "uneven"])
+                names=["doc_id", "hash", "n", "k1", "k2", "odd", *FOLDED, "keys", "even", "uneven"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        batches, f"doc_id {kind}, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>, even int, uneven int")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).cast("string").alias("text")).mapInArrow(
+        batches, f"doc_id {kind}, hash long, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>, even int, uneven int")
 
 
 def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
@@ -312,6 +312,11 @@ def may_link_by_all(percent: int):
     return close(F.aggregate(bits, F.lit(0), lambda x, y: x + y), percent)
 
 
+def document() -> F.Column:
+    """What orders the documents of a component."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("hash"))
+
+
 def sided(nodes: DataFrame, side: str, columns: list[str]) -> DataFrame:
     return nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in columns))
 
@@ -346,6 +351,13 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent:
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT):
     """(membership, links): doc_id, n_shingles, node and component_id of every document; and the links
     (a, b) between nodes that were verified, enough of them to connect every component."""
+    member, links = full_join(docs, doc_id, text, width, percent)
+    return member.select("doc_id", "n_shingles", "node", "component_id"), links
+
+
+def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
+    """The same, with the hash of each document's text, and `first`: the document (no_id, doc_id, hash) that
+    comes first in its component, by doc_id, null last, then by hash; null without words."""
     small_batches(docs.sparkSession)
     guess = F.greatest(F.lit(1), F.length(F.col(text)) / 7).cast("long")
     rough = F.pow(F.lit(2.0), F.floor(F.log2(guess))).cast("long")
@@ -355,7 +367,7 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = stored(index_rows(docs, doc_id, text, width, schemes))
     nodes = rows.where("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
+        F.min("doc_id").alias("first_id"), F.min(document()).alias("first"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
@@ -384,24 +396,26 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)
 
-    firsts = nodes.select("node", "k1", "k2", "first_id")
-    labelled = labels.join(firsts, "node").groupBy("label").agg(F.min("first_id").alias("component_id"))
+    firsts = nodes.select("node", "k1", "k2", "first_id", F.col("first").alias("_own"))
+    labelled = labels.join(firsts, "node").groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("_own").alias("_all"))
     of_node = (firsts.join(labels, "node", "left").join(labelled, "label", "left")
-               .select("node", "k1", "k2", F.coalesce("component_id", "first_id").alias("component_id")))
-    member = rows.select("doc_id", "n", "k1", "k2").join(of_node, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+               .select("node", "k1", "k2", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("_all", "_own").alias("first")))
+    member = rows.select("doc_id", "hash", "n", "k1", "k2").join(of_node, ["k1", "k2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "hash", "first")
     return member, links
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that have another one, with a smaller doc_id, in their component.
-    Rows that repeat a doc_id and its text are one document."""
-    member, _ = similarity_join(docs, doc_id, text, width, percent)
-    others = member.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct()
-    kept = docs.join(others, F.col(doc_id) == F.col("_other"), "left_anti")
-    again = stored(member.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    """The documents without those that have another one before them in their component, by doc_id, null
+    last, then by a hash of the text. A document is a doc_id, which may be null, and its text: rows that
+    repeat both are one document, and one doc_id with two texts is two."""
+    member, _ = full_join(docs, doc_id, text, width, percent)
+    named = stored(member.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), (F.col("first") != document()).alias("_other")))
+    same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_hash"))
+    kept = docs.join(named.where("_other").select("_id", "_hash").distinct(), same, "left_anti")
+    again = stored(named.groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"))
     if again.limit(1).count() == 0:
         return kept
-    once = kept.join(again, F.col(doc_id) == F.col("_again"), "left_anti")
-    twice = kept.join(again, F.col(doc_id) == F.col("_again"), "left_semi").dropDuplicates([doc_id, text])
+    once = kept.join(again, same, "left_anti")
+    twice = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(twice)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismtab.llm import chat, curves, hamming, jaccard, langid, mixing, packing, pii, quality, urls
+from prismtab.llm import bpe, chat, curves, divergence, hamming, interactions, jaccard, langid, mixing, packing, pii, quality, urls
 from prismtab.llm.common import table
 
 
@@ -86,9 +86,25 @@ def op10_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = bpe.read_tables()
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tables).drop("text"), tables)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_hamming_topk, op2_private_data, op3_curve_neighbours, op4_length_buckets, op5_jaccard_join, op6_url_lists,
-    op7_chat_format, op8_passage_quality, op9_language_id, op10_fair_mix)}
+    op7_chat_format, op8_passage_quality, op9_language_id, op10_fair_mix, op11_source_divergence, op12_word_bpe, op13_filter_audit)}
 
 ORACLE = {
     "op1_hamming_topk": """
@@ -128,4 +144,46 @@ ORACLE = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM f GROUP BY conv_id""",
+    "op11_source_divergence": r"""
+        WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        words AS (SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        vocabulary AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN vocabulary USING (lang, term) GROUP BY ALL),
+        every AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS all_n FROM groups AS g JOIN vocabulary AS v USING (lang)
+                  LEFT JOIN counts AS c USING (lang, source, term)),
+        totals AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS held, CAST(sum(all_n) AS HUGEINT) AS all_held, CAST(count(*) AS HUGEINT) AS v FROM every GROUP BY lang, source),
+        shares AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (held + 5 * v) AS p,
+                   1 + 1000000000::HUGEINT * (all_n + 5) // (all_held + 5 * v) AS q FROM every JOIN totals USING (lang, source)),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares AS a JOIN shares AS b USING (lang, term) GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+                   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op13_filter_audit": r"""
+        WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+                   WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                   || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+                   FROM docs LEFT JOIN marks USING (doc_id)),
+        cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+        steps AS (SELECT *, substr(filter_order, step, 1) AS letter, f LIKE '%' || letter || '%' AS fails,
+                  length(replace(translate(substr(filter_order, 1, step - 1), f, ''), ' ', '')) < step - 1 AS gone
+                  FROM cells, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        sums AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT fails THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN fails AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN f = letter THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+                 FROM steps GROUP BY part, filter_order, step, letter)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM sums""",
 }

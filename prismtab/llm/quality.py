@@ -70,11 +70,12 @@ class Model:
 
 
 def passage_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Square roots of the frequencies of bytes and class pairs of the passages data[start:end]."""
+    """Square roots of the frequencies of bytes and class pairs of the passages data[start:end], and their variety,
+    which is 1 for passages shorter than a run. A passage has the same features whatever passages are beside it."""
     sizes = ends - starts
     many = len(sizes)
-    if not many or not sizes.sum():
-        return np.zeros((many, FEATURES), np.float32)
+    if not many:
+        return np.zeros((0, FEATURES), np.float32)
     of = np.repeat(np.arange(many), sizes)
     place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
     codes = data[place]
@@ -83,11 +84,12 @@ def passage_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     inside = of[1:] == of[:-1]
     pairs = (of[1:] * CLASSES + classes[:-1]) * CLASSES + classes[1:]
     double = np.bincount(pairs[inside], minlength=many * CLASSES * CLASSES).reshape(many, -1)
-    runs = codes[RUN - 1:].astype(np.int64)
-    for back in range(1, RUN):
-        runs = runs * 131 + codes[RUN - 1 - back:len(codes) - back]
+    held = max(0, len(codes) - RUN + 1)
+    runs = np.zeros(held, np.int64)
+    for first in range(RUN - 1, -1, -1):
+        runs = runs * 131 + codes[first:first + held]
     runs = (runs * 0x9E3779B1 >> 16) % RUN_CODES
-    whole = of[RUN - 1:] == of[:len(of) - RUN + 1]
+    whole = of[RUN - 1:] == of[:held]
     seen = np.bincount((of[RUN - 1:] * RUN_CODES + runs)[whole], minlength=many * RUN_CODES).reshape(many, -1) > 0
     likely = RUN_CODES * -np.expm1(-np.maximum(sizes - RUN + 1, 1) / RUN_CODES)
     variety = np.minimum(seen.sum(axis=1) / likely, 1)[:, None]

@@ -20,11 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from prismtab.llm.common import small_batches, stored
 
@@ -37,7 +40,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}(?![A-Za-z0-9])")
-SHAPED = re.compile(r"[A-Za-z0-9_@+](?:[A-Za-z0-9_@+./:-]*[A-Za-z0-9_])?", re.ASCII)
+TOKEN = re.compile(r"[A-Za-z0-9_@+./:-]+", re.ASCII)
+#: Marks that a shaped token does not start with, and that it does not end with.
+NO_START, NO_END = "./:-", "@+./:-"
 DIGITS = re.compile(r"[0-9]")
 
 LEAST_SHAPE, LEAST_DIGITS = 8, 3
@@ -45,6 +50,7 @@ LEAST_SEEDS = 5
 CONFIDENCE = 0.9
 #: The rounds end when no confidence changes by this much and no pattern gains a seed.
 TOLERANCE = 0.001
+MOST_ROUNDS = 200
 AROUND = 48
 
 
@@ -96,6 +102,16 @@ def patterns(text: str, start: int, end: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(s) - (1 << 63) for s in shapes]
 
 
+def shaped(text: str):
+    """(start, end) of the tokens that have the shape of an identifier; one look at each character."""
+    for m in TOKEN.finditer(text):
+        token = m.group().rstrip(NO_END)
+        inner = token.lstrip(NO_START)
+        if len(inner) >= LEAST_SHAPE and len(DIGITS.findall(inner)) >= LEAST_DIGITS:
+            end = m.start() + len(token)
+            yield end - len(inner), end
+
+
 def seen_in(text: str):
     """(base spans, other spans, instances): instances are (start, end, value, score or None, patterns)."""
     matches = list(base_matches(text))
@@ -110,15 +126,14 @@ def seen_in(text: str):
     taken.sort()
     at = 0
     if DIGITS.search(text):
-        for m in SHAPED.finditer(text):
-            if m.end() - m.start() < LEAST_SHAPE or len(DIGITS.findall(m.group())) < LEAST_DIGITS:
-                continue
-            while at < len(taken) and taken[at][1] <= m.start():
+        for start, end in shaped(text):
+            while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at < len(taken) and taken[at][0] < m.end():
+            if at < len(taken) and taken[at][0] < end:
                 continue
-            instances.append((m.start(), m.end(), None))
-    others = [(s, KINDS.index("secret"), e) for s, e in keys if not any(b < e and s < f for b, _, f in base)]
+            instances.append((start, end, None))
+    starts, furthest = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    others = [(s, KINDS.index("secret"), e) for s, e in keys if not (before := bisect_left(starts, e)) or furthest[before - 1] <= s]
     return base, others, [
         (s, e, xxhash.xxh3_64_intdigest(text[s:e]) - (1 << 63), score, found)
         for s, e, score in instances if (found := patterns(text, s, e))]
@@ -167,7 +182,7 @@ def pattern_scores(seen: DataFrame, least_seeds: int = LEAST_SEEDS, confidence:
         F.count("*").alias("n"), F.count_if(F.col("fixed").isNull()).alias("unknown"), F.count_if(F.col("fixed") == 1).alias("ones")))
     unknowns = stored(edges.where("fixed IS NULL").select("pattern", "value"))
     scores = stored(fixed.select("pattern", F.col("ones").alias("seeds"), (F.col("ones") / (F.col("n") + 0.5)).alias("confidence")))
-    while True:
+    for _ in range(MOST_ROUNDS):
         useful = scores.where((F.col("confidence") > 0.05) & (F.col("seeds") >= least_seeds)).select(
             "pattern", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("wrong"))
         reached = stored(unknowns.join(useful, "pattern", "left"))
@@ -186,6 +201,7 @@ def pattern_scores(seen: DataFrame, least_seeds: int = LEAST_SEEDS, confidence:
         scores = new.select("pattern", "seeds", "confidence")
         if changed.limit(1).count() == 0:
             return scores
+    raise RuntimeError(f"pattern scores did not settle in {MOST_ROUNDS} rounds")
 
 
 def find_private(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -220,19 +236,20 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
                    .groupBy("doc_id", "hash").agg(F.first("_spans").alias("_spans")))
     found = found.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
     joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_hash")), "left")
-    source = F.col(text)
-
-    def piece(state, span):
-        free = span["start"] >= state["at"]
-        kept = F.substring(source, state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
-        mark = F.concat(F.lit("<"), F.upper(F.element_at(F.array(*map(F.lit, KINDS)), span["kind"] + 1)), F.lit(">"))
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"),
-                        F.when(free, F.concat(state["out"], F.array(kept, mark))).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_spans", start, piece, lambda s: F.concat(
-        F.array_join(s["out"], ""), F.substring(source, s["at"] + 1, F.length(source))))
-    new = F.when(F.col("_spans").isNull(), source).otherwise(clean)
-    changed = {text: new} | ({length: F.length(new).cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return joined.withColumns({f"_new_{c}": v for c, v in changed.items()}).select(
-        *(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c) if c in changed else F.col(c) for c in docs.columns))
+    marked = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), with_marks(F.col(text).cast("string"), F.col("_spans"))))
+    changed = {text: F.col("_new")} | ({length: F.length("_new").cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return marked.select(*(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+@F.arrow_udf(StringType())
+def with_marks(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """The texts with a mark in place of every span, cut once from start to end."""
+    def one(text: str, found: list[dict]) -> str:
+        parts, at = [], 0
+        for span in found:
+            if span["start"] >= at:
+                parts += text[at:span["start"]], f"<{KINDS[span['kind']].upper()}>"
+            at = max(at, span["end"])
+        return "".join([*parts, text[at:]])
+
+    return pa.array([None if s is None else one(t or "", s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())

@@ -21,7 +21,8 @@ def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_private(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(f"n_{kind}" for kind in pii.BASE_KINDS), "base_sha256",
-                        pii.spans_text(F.concat("spans", "discovered")).alias("spans"))
+                        pii.spans_text(F.concat("spans", "discovered")).alias("spans"),
+                        (F.size("spans") + F.size("discovered")).cast("long").alias("n_spans"))
 
 
 def op3_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Word counts, tables kept in the shared folder, running totals and components over whole tables."""
 from __future__ import annotations
 
+import os
 import uuid
 from functools import reduce
 
@@ -53,6 +54,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by `stored`, once all that reads them has been written."""
+    for df in tables:
+        for folder in {os.path.dirname(file) for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def running_totals(df: DataFrame, order: list[str], values: dict[str, Column | str]) -> DataFrame:
     """Adds one column for each entry of `values`: its total over all rows that come before in `order`.
 
@@ -99,8 +108,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
                   .select("node", "was", F.least("label", "_l").alias("label")))
         new = stored(jumped)
         changed = new.where("was <> label").limit(1).count()
+        forget(labels)
         labels = new.select("node", "label")
         if not changed:
+            forget(both)
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 

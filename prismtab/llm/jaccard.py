@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import components, small_batches, stored, total
+from prismtab.llm.common import components, forget, small_batches, stored, total
 
 WIDTH = 5
 PERCENT = 80
-#: The cost model: share of pairs of a band that have a passage in common, how much of them it is, and the cost of
-#: a candidate pair in index rows.
-SHARED_PAIRS, SHARED_PART, PAIR_COST = 1e-3, 0.5, 5
+#: The cost model: a candidate pair costs as much as this many index rows. What pairs have in common without being
+#: linked is measured on a sample of at most PROFILE_DOCS documents; it decides costs and never results.
+PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 5, 400, 20_000, 20
 FOLDED_WORDS = 8
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
@@ -107,22 +107,49 @@ def filled(segments: int, size: int) -> float:
     return segments * (1 - empty) - 3 * math.sqrt(segments * empty * (1 - empty))
 
 
-def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int, int]:
+def overlaps(sets: list[np.ndarray], percent: int) -> list[tuple[float, float]]:
+    """(part, share): the share of all pairs of the sets that have this part of the smaller set in common and do
+    not link, for parts above 0 in steps. One pair in a million counts for the largest step at least."""
+    sets = [values for values in sets if len(values)]
+    of = np.repeat(np.arange(len(sets)), [len(values) for values in sets])
+    values, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True) if sets else (np.empty(0),) * 3
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    order = of[np.argsort(place, kind="stable")] if sets else of
+    for end, count in zip(np.cumsum(held), held):
+        if count > 1:
+            mine = order[end - count:end]
+            both[np.ix_(mine, mine)] += 1
+    sizes = np.bincount(of, minlength=len(sets))
+    x, y = np.triu_indices(len(sets), 1)
+    x, y = (one[both[x, y] > 0] for one in (x, y)) if len(x) else (x, y)
+    apart = 100 * both[x, y] < percent * (sizes[x] + sizes[y] - both[x, y])
+    part = both[x, y][apart] / np.minimum(sizes[x], sizes[y])[apart]
+    count = np.bincount(np.minimum((part * PROFILE_STEPS).astype(np.int64), PROFILE_STEPS - 1), minlength=PROFILE_STEPS)
+    pairs = max(1, len(sets) * (len(sets) - 1) // 2)
+    shares = np.maximum(count / pairs, [*[0] * (PROFILE_STEPS // 2), *[1e-6] * (PROFILE_STEPS - PROFILE_STEPS // 2)])
+    return [((i + 0.5) / PROFILE_STEPS, float(share)) for i, share in enumerate(shares) if share]
+
+
+def allocation(low: int, high: int, percent: int, sets: int, profile: list[tuple[float, float]]) -> tuple[int, int, int]:
     """(d + 1, segments worth one, segments worth two) of the scheme for sizes low..high with the least
-    estimated cost: index rows, and candidate pairs that share a passage but do not link."""
+    estimated cost: index rows, and the candidates among pairs that have something in common but do not link.
+
+    A segment of s shingles agrees in a pair with the part p in common with the chance p^s. Keys that a set
+    can leave out are taken from those it has in common first, as they are the frequent ones.
+    """
     need = most_apart(high, high * 100 // percent, percent) + 1
+    most = max(need, int(low / 1.5))
+    wider = [m for m in sorted({need, *(int(need * g) for g in (1.1, 1.25, 1.5, 2, 2.5, 3)),
+                                next((m for m in range(need, 2 * need + 1) if filled(m, low) >= need), need)}) if m <= most]
+    options = [(m, 0) for m in wider] + [(need - 2 * twos, twos) for twos in sorted({max(1, need * i // 16) for i in range(1, 9)}) if 2 * twos <= need]
     best = None
-    for twos in range(need // 2 + 1):
-        ones = need - 2 * twos
-        if not twos:
-            spare = next((m for m in range(need, 2 * need + 1) if filled(m, low) >= need), None)
-            ones = spare or need
+    for ones, twos in options:
         one = low / (ones + 2 * twos)
-        rows = sets * (ones + twos * (1 + 2 * one))
-        hits = ones * SHARED_PART ** one + twos * 2 * one * SHARED_PART ** (2 * one - 1)
-        if not twos and spare:
-            hits = 0  # an estimate: the keys of shared passages are left out first
-        cost = rows + PAIR_COST * SHARED_PAIRS * sets * sets * hits
+        full = filled(ones, low) if not twos else 0
+        spare = max(0.0, full - need)
+        rows = ones - spare + twos * (1 + 2 * one)
+        hits = sum(share * (max(0.0, ones * part ** one - spare) + twos * 2 * one * part ** (2 * one - 1)) for part, share in profile)
+        cost = rows + PAIR_COST * hits * sets
         if best is None or cost < best[0]:
             best = (cost, ones, twos)
     return need, best[1], best[2]
@@ -131,12 +158,13 @@ def allocation(low: int, high: int, percent: int, sets: int) -> tuple[int, int,
 class Schemes:
     """Starts of the bands and the allocation of each; small, one entry for each band of sizes."""
 
-    def __init__(self, percent: int, counts: dict[int, int], largest: int):
+    def __init__(self, percent: int, counts: dict[int, int], largest: int, profile: list[tuple[float, float]] | None = None):
+        profile = overlaps([], percent) if profile is None else profile
         self.percent = percent
         self.starts = np.array(band_starts(percent, largest + 1), dtype=np.int64)
         ends = [*self.starts[1:].tolist(), int(self.starts[-1]) * 3]
         held = [sum(c for size, c in counts.items() if low <= size < high) for low, high in zip(self.starts.tolist(), ends)]
-        self.parts = [allocation(int(low), high - 1, percent, max(1, held[i]))
+        self.parts = [allocation(int(low), high - 1, percent, max(1, held[i]), profile)
                       for i, (low, high) in enumerate(zip(self.starts.tolist(), ends))]
 
     def keys(self, values: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -272,6 +300,16 @@ def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None
     return entries.select("key", "id", F.expr(f"if({SIDE} = 0, even, uneven)").alias("spare"))
 
 
+def measured(docs: DataFrame, text: str, width: int, percent: int) -> list[tuple[float, float]]:
+    """What pairs have in common, from a sample of documents by the hash of their text, copies once."""
+    spread = F.xxhash64(F.lit(PROFILE_DOCS), F.col(text))
+    sample = docs.where(F.length(text) > 0).select(spread.alias("h"), F.substring(F.col(text), 1, PROFILE_CHARS).alias("t"))
+    chosen = sample.select("h").distinct().orderBy("h").limit(PROFILE_DOCS)
+    texts = sample.join(F.broadcast(chosen), "h").groupBy("h").agg(F.first("t").alias("t")).collect()
+    known = WordHashes()
+    return overlaps([shingle_set(r["t"], width, known) for r in texts], percent)
+
+
 def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
     """(node, items): the shingle sets of the wanted nodes (node, k1, k2), made from the texts again."""
     held = docs.sparkSession.sparkContext.broadcast(bloom(wanted))
@@ -340,12 +378,15 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent:
     """Of the candidate pairs (a, b) those whose sets link."""
     pairs = stored(pairs)
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = fetch_sets(docs, text, width, stored(nodes.select("node", "k1", "k2").join(ends, "node", "left_semi")))
+    wanted = stored(nodes.select("node", "k1", "k2").join(ends, "node", "left_semi"))
+    sets = fetch_sets(docs, text, width, wanted)
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("_x"))
     right = sets.select(F.col("node").alias("b"), F.col("items").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return stored(pairs.join(left, "a").join(right, "b").withColumn("_both", both)
-                  .where(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b"))
+    found = stored(pairs.join(left, "a").join(right, "b").withColumn("_both", both)
+                   .where(100 * F.col("_both") >= percent * (F.size("_x") + F.size("_y") - F.col("_both"))).select("a", "b"))
+    forget(pairs, sets, wanted)
+    return found
 
 
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT):
@@ -363,18 +404,20 @@ def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     rough = F.pow(F.lit(2.0), F.floor(F.log2(guess))).cast("long")
     counts = {r["s"]: r["n"] for r in docs.where(F.length(text) > 0).groupBy(rough.alias("s")).agg(F.count("*").alias("n")).collect()}
     longest = docs.agg(F.max(F.length(text))).first()[0] or 1
-    schemes = Schemes(percent, counts, longest)
+    schemes = Schemes(percent, counts, longest, measured(docs, text, width, percent))
 
-    rows = stored(index_rows(docs, doc_id, text, width, schemes))
-    nodes = rows.where("n > 0").groupBy("k1", "k2").agg(
+    indexed = stored(index_rows(docs, doc_id, text, width, schemes))
+    rows = stored(indexed.select("doc_id", "hash", "n", "k1", "k2"))
+    nodes = indexed.where("n > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("first_id"), F.min(document()).alias("first"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    often = entries_of(rows, nodes).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    often = entries_of(indexed, nodes).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     often = stored(often)
-    shared = needed(entries_of(rows, nodes, often).join(often, "key"))
+    shared = needed(entries_of(indexed, nodes, often).join(often, "key"))
     named = nodes.select("node", "n", F.col("first_id").alias("_first"))
     shared = stored(shared.join(named, F.col("id").eqNullSafe(F.col("_first"))).select("key", "node", "n"))
+    forget(indexed, often)
 
     ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     tied = shared.select("key", "node").join(ends, "key")
@@ -392,13 +435,16 @@ def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     x = sided(open_rows, "a", ["key", "label", *columns])
     y = sided(open_rows, "b", ["key", "label", *columns])
     near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
+    forget(shared)
     rest = by_all_parities(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node", "a_n", "b_n").distinct(), nodes, percent)
     links = links.union(verified(rest, docs, text, width, percent, nodes))
     labels = components(links)
+    forget(open_rows)
 
     firsts = nodes.select("node", "k1", "k2", "first_id", F.col("first").alias("_own"))
     labelled = labels.join(firsts, "node").groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("_own").alias("_all"))
-    of_node = (firsts.join(labels, "node", "left").join(labelled, "label", "left")
+    linked = labels.join(labelled, "label").select("node", "component_id", "_all")
+    of_node = (firsts.join(linked, "node", "left")
                .select("node", "k1", "k2", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("_all", "_own").alias("first")))
     member = rows.select("doc_id", "hash", "n", "k1", "k2").join(of_node, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"), "hash", "first")

@@ -83,24 +83,51 @@ def test_jaccard_edges(odd, none):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "6", "7", "None"]
 
 
-def test_scheme_is_complete():
+@pytest.mark.parametrize("profile", [[], [(0.5, 0.2)], [(0.75, 0.9)]])
+def test_scheme_is_complete(profile):
+    """A linked pair has a key in common, also when both sets leave out the keys that are worst for the pair."""
     random = np.random.default_rng(3)
-    for percent in (90, 80):
-        scheme = jaccard.Schemes(percent, {}, 400)
-        for _ in range(200):
-            size = int(random.integers(2, 150))
-            a = np.unique(random.integers(0, 1 << 63, size).astype(np.uint64))
-            most = jaccard.most_apart(len(a), len(a), percent)
-            b = a.copy()
-            b[random.choice(len(a), most // 2, replace=False)] = random.integers(0, 1 << 63, most // 2)
-            b = np.unique(b)
-            if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
-                assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
-    for sets in (1, 10**9):
-        need, ones, twos = jaccard.allocation(40, 44, 90, sets)
+    for percent in (90, 80, 60):
+        for sets in (1, 10**9):
+            scheme = jaccard.Schemes(percent, {1 << i: sets for i in range(9)}, 400, profile)
+            for _ in range(100):
+                a = np.unique(random.integers(0, 1 << 63, int(random.integers(2, 150))).astype(np.uint64))
+                most = jaccard.most_apart(len(a), len(a), percent)
+                b = a.copy()
+                b[random.choice(len(a), most // 2, replace=False)] = random.integers(0, 1 << 63, most // 2)
+                b = np.unique(b)
+                if 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+                    continue
+                (left, spare_left), (right, spare_right) = scheme.keys(a), scheme.keys(b)
+                both, kept = np.intersect1d(left, right), []
+                for keys, spare in ((left, spare_left), (right, spare_right)):
+                    frequent = np.where(np.isin(keys, both), 9, 1)  # what the pair shares counts as frequent
+                    mine = []
+                    for side in (0, 1):
+                        here = keys >> jaccard.KEY_BITS == side
+                        order = np.lexsort((-keys[here], -frequent[here]))
+                        mine.append(keys[here][order][spare[side]:])
+                    kept.append(np.concatenate(mine))
+                assert len(np.intersect1d(*kept))
+
+
+def test_deletions_are_used_where_they_pay():
+    heavy = [(0.5, 0.001)]
+    assert jaccard.allocation(400, 499, 80, 10**9, heavy)[2] > 0 and jaccard.allocation(400, 499, 80, 100, heavy)[2] == 0
+    scheme = jaccard.Schemes(80, {256: 10**9}, 3000, heavy)
+    assert any(twos for low, (_, _, twos) in zip(scheme.starts.tolist(), scheme.parts) if low >= 100)
+    for need, ones, twos in scheme.parts:
         assert ones + 2 * twos >= need
 
 
+def test_overlaps_are_measured():
+    base = np.arange(100, dtype=np.uint64)
+    apart = [np.concatenate([base[:50], np.arange(1000 * i, 1000 * i + 50, dtype=np.uint64)]) for i in range(1, 11)]
+    found = dict(jaccard.overlaps([*apart, base + np.uint64(10**6), base + np.uint64(10**6)], 80))
+    assert max(found, key=found.get) == 0.525 and abs(found[0.525] - 45 / 66) < 1e-9
+    assert jaccard.overlaps([], 80)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 7)], "a long, b long")
     assert {tuple(r) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8)}

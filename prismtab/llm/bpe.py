@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -35,7 +36,7 @@ from prismtab.llm.common import small_batches
 
 #: Fixed values of the file's format: the white space its normaliser knows, and the byte-level alphabet (printable
 #: bytes stand for themselves, the others for the characters from 256 on, in order).
-WHITE = re.compile("[\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Where the Unicode tables of the library's steps differ from those of Python 3.13 (Unicode 15.1). Its lower
 #: case is of Unicode 17, its expressions of Unicode 16 (letters and numbers added since), its NFC of Unicode 9: marks that
@@ -68,6 +69,10 @@ def characters(ranges: list[tuple[int, int]]) -> str:
 
 LATER = re.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
 APART = re.compile(f"([{characters(LATER_MARKS)}])")
+#: Characters that need one of the steps above or that are, or become, one beyond the first 65,536; most texts have none.
+RARE = re.compile("[" + characters([m for m in LATER_MARKS if m[1] < 0x10000]) + r"\U00010000-\U0010ffff"
+                  + "".join(chr(c) for c in LATER_LOWER if c < 0x10000)
+                  + "".join(chr(c) for c in range(0xF900, 0xFB00) if max(unicodedata.normalize("NFC", chr(c))) > "\uffff") + "]")
 
 
 @dataclass
@@ -164,23 +169,38 @@ def merge_words(tables: Tables, words: list[bytes]) -> tuple[np.ndarray, np.ndar
         left[hit + 1] = False
         symbol, word, rank, place = symbol[left], word[left], rank[left], place[left]
         now = hit - np.arange(len(hit))
-        changed = np.unique(np.concatenate([now, now[now > 0] - 1]))
+        touched = np.zeros(len(symbol), bool)
+        touched[now] = touched[now[now > 0] - 1] = True
+        changed = np.flatnonzero(touched)
         rank[changed], place[changed] = look_up(changed)
     at, ids = np.concatenate(done_words), np.concatenate(done)
     return ids[np.argsort(at, kind="stable")], np.bincount(at, minlength=len(words))
 
 
-def word_pattern(pattern: str) -> re.Pattern:
-    """The file's pattern, with its letter and number classes written as ranges. After `normal` the only white space
-    is a space."""
+def word_patterns(pattern: str) -> tuple[re.Pattern, re.Pattern]:
+    """The file's pattern for all texts, and for texts without characters beyond the first 65,536. Its letter and number
+    classes are written as ranges. White space is never part of a word, so it needs no replacing."""
     ranges = {"L": list(LATER_LETTERS), "N": list(LATER_NUMBERS)}
     for kind, run in groupby(range(sys.maxunicode + 1), lambda code: unicodedata.category(chr(code))[0]):
         if kind in ranges:
             codes = list(run)
             ranges[kind].append((codes[0], codes[-1]))
-    for kind, found in ranges.items():
-        pattern = pattern.replace(rf"\p{{{kind}}}", characters(found))
-    return re.compile(pattern.replace(r"\s", " "))
+    found = []
+    for end in (sys.maxunicode, 0xFFFF):
+        text = pattern
+        for kind, all_of in ranges.items():
+            text = text.replace(rf"\p{{{kind}}}", characters([r for r in all_of if r[1] <= end]))
+        found.append(re.compile(text.replace(r"\s", WHITE)))
+    return found[0], found[1]
+
+
+class WordNumbers(dict):
+    """Words by number; a word that is not known yet gets the next number and joins the list of new ones."""
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word.encode("utf-8", "surrogatepass"))
+        number = self[word] = len(self)
+        return number
 
 
 class Encoder:
@@ -188,13 +208,13 @@ class Encoder:
 
     def __init__(self, tables: Tables):
         self.tables = tables
-        self.words = word_pattern(tables.pattern)
+        self.words, self.plain_words = word_patterns(tables.pattern)
         self.special = re.compile("|".join(map(re.escape, sorted(tables.special, key=len, reverse=True)))) if tables.special else None
         self.forget()
 
     def forget(self) -> None:
         """Start anew, with the special tokens as words that have their id already."""
-        self.number = {name: i for i, name in enumerate(("special", content) for content in self.tables.special)}
+        self.number = WordNumbers((("special", content), i) for i, content in enumerate(self.tables.special))
         self.ids = np.array(list(self.tables.special.values()), np.int32)
         self.starts = np.arange(len(self.ids) + 1)
 
@@ -214,10 +234,9 @@ class Encoder:
             if special is not None:
                 parts.append(np.array([number["special", special]], np.int64))
                 continue
-            found = self.words.findall(normal(piece))
-            for word in set(found).difference(number):
-                number[word] = len(number)
-                new.append(word.encode("utf-8", "surrogatepass"))
+            rare = not piece.isascii() and RARE.search(piece) is not None
+            found = (self.words if rare else self.plain_words).findall(normal(piece, rare))
+            number.new = new
             parts.append(np.fromiter(map(number.__getitem__, found), np.int64, len(found)))
         return np.concatenate(parts) if parts else np.empty(0, np.int64)
 
@@ -251,14 +270,14 @@ def stretches(text: str, at: int, end: int):
     yield text[at:end]
 
 
-def normal(text: str) -> str:
-    """NFC, white space as one space, lower case of each character by itself (so a capital sigma at the
-    end of a word is no special case)."""
-    if text.isascii():
-        return WHITE.sub(" ", text).lower()
-    text = "".join(unicodedata.normalize("NFC", part) for part in APART.split(text))
-    text = LATER.sub(lambda found: chr(LATER_LOWER[ord(found.group())]), text)
-    return WHITE.sub(" ", text).replace("Σ", "σ").lower()
+def normal(text: str, rare: bool) -> str:
+    """NFC, and lower case of each character by itself (so a capital sigma at the end of a word is no special case)."""
+    if rare:
+        text = "".join(unicodedata.normalize("NFC", part) for part in APART.split(text))
+        text = LATER.sub(lambda found: chr(LATER_LOWER[ord(found.group())]), text)
+    else:
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()
 
 
 def encode(docs: DataFrame, tables: Tables, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -299,9 +318,18 @@ def encoded(tables: Tables):
 
 def joined(tables: Tables):
     def make():
-        known = {i: token for i, token in enumerate(tables.tokens) if token is not None}
-
-        def one(ids: pa.Array) -> pa.Array:
-            return pa.array([" ".join(known[i] for i in row.as_py() or () if i in known) for row in ids], pa.string())
+        known = np.array([token is not None for token in tables.tokens])
+        tokens = pa.array([token or "" for token in tables.tokens], pa.string())
+
+        def one(rows: pa.Array) -> pa.Array:
+            """Look-ups and joins on whole Arrow columns."""
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+            ids = rows.flatten()  # without what null rows hold
+            numbers = pc.fill_null(ids, -1).to_numpy()
+            usable = (numbers >= 0) & (numbers < len(known))
+            usable[usable] = known[numbers[usable]]
+            ends = np.concatenate([[0], np.cumsum(usable)])[np.concatenate([[0], np.cumsum(sizes)])]
+            words = tokens.take(pa.array(numbers[usable]))
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words), " ")
         return one
     return make

@@ -18,7 +18,7 @@ DATE_FORMATS = [f"{day}{TIME_PART}" for day in (
     "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy")]
 
 # Exact sums need decimals: their result does not depend on the order of tasks. 18 digits keep the
-# compact form; a single amount of 10^14 or more raises under ANSI instead of turning into null.
+# compact form; amounts of 10^14 and more do not fit and are kept as doubles (functions.amounts).
 MONEY = T.DecimalType(18, 4)
 MEASURE = T.DecimalType(38, 12)
 
@@ -75,7 +75,7 @@ def number(df: DataFrame, name: str) -> Column:
 
 def money(df: DataFrame, name: str) -> Column:
     """The column as an exact amount of money with four digits; text that is no number, and amounts of
-    10^14 and more, become null, never an error."""
+    10^14 and more (see ``functions.amounts``), are null, never an error."""
     kind, value = dtype(df, name), col(name)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return finite(value).try_cast(MONEY)
@@ -116,10 +116,10 @@ def plain_number(df: DataFrame, name: str) -> Column:
     return col(name) if isinstance(dtype(df, name), T.DecimalType) else number(df, name)
 
 
-def currency_text(value: Column) -> Column:
-    """Money from text such as ``Rs 1,234.50``: the currency mark and thousands commas go first."""
+def currency_number(value: Column) -> Column:
+    """The number in text such as ``Rs 1,234.50``, still as text; null where it is none."""
     bare = F.trim(F.regexp_replace(value, "Rs|rs|,", ""))
-    return F.when(numeric_text(bare), bare.try_cast(MONEY))
+    return F.when(numeric_text(bare), bare)
 
 
 def timestamp(df: DataFrame, name: str) -> Column:

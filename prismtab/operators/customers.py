@@ -4,21 +4,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismtab.functions.coerce import col, money
-from prismtab.functions.rounding import money_round, percent
+from prismtab.functions.amounts import Amount, amount
+from prismtab.functions.coerce import col
+from prismtab.functions.rounding import percent
 from prismtab.operators.metrics import count_by_dimension
 
 
 def top_customers(df: DataFrame, customer: str, spend: str, limit: int = 10) -> DataFrame:
     """The biggest spenders with their share of all spend, also of rows without a customer."""
-    groups = df.groupBy(col(customer).cast("string").alias("_customer")).agg(F.sum(money(df, spend)).alias("_value"))
+    groups = df.groupBy(col(customer).cast("string").alias("_customer")).agg(*amount(df, spend).sum().named("_value"))
+    spent = Amount.of("_value")
     # Rows without a customer go last and are left out after the limit: a filter before it would reach
     # the scan, and the total could not share this grouping.
-    top = groups.orderBy(F.isnull("_customer"), F.desc("_value"), F.asc("_customer")).limit(limit).where(
-        F.col("_customer").isNotNull() & F.col("_value").isNotNull())
-    total = groups.agg(F.sum("_value").alias("total")).scalar()
-    return top.select(F.col("_customer").alias(customer), money_round(F.col("_value")).alias(f"total_{spend}"),
-                      percent(F.col("_value"), total, 1).alias("share_pct"))
+    top = groups.orderBy(F.isnull("_customer"), *spent.largest_first(), F.asc("_customer")).limit(limit).where(
+        F.col("_customer").isNotNull() & spent.known())
+    total = groups.agg(spent.sum().double().alias("total")).scalar()
+    return top.select(F.col("_customer").alias(customer), spent.shown().alias(f"total_{spend}"),
+                      percent(spent.double(), total, 1).alias("share_pct"))
 
 
 def distribution(df: DataFrame, column: str, limit: int = 20) -> DataFrame:

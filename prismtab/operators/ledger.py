@@ -6,11 +6,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismtab.functions.coerce import col, currency_text, timestamp, upper_trim
+from prismtab.functions.amounts import Amount, amount, currency_amount
+from prismtab.functions.coerce import col, timestamp, upper_trim
 from prismtab.functions.periods import bucket, period_text
-from prismtab.functions.rounding import half_up, money_round
+from prismtab.functions.rounding import half_up
 from prismtab.functions.vocabulary import LEDGER_CREDIT, LEDGER_EXPENSE, LEDGER_SALES
-from prismtab.operators.metrics import amount
 
 
 @dataclass(frozen=True)
@@ -22,15 +22,14 @@ class LedgerColumns:
 
 
 def category_rows(df: DataFrame, columns: LedgerColumns, category: str) -> DataFrame:
-    """Rows of one transaction type; amounts that are no number count 0 in the added column."""
-    return df.where(upper_trim(col(columns.kind)) == category.upper()).withColumn(
-        "amount_value", amount(df, columns.amount))
+    """Rows of one transaction type; amounts that are no number count 0 in the added columns: amount_value, and
+    amount_value_rest for amounts too large for it."""
+    return df.where(upper_trim(col(columns.kind)) == category.upper()).select(
+        "*", *amount(df, columns.amount).or_zero().named("amount_value"))
 
 
-def _sum_of(df: DataFrame, columns: LedgerColumns, category: str) -> Column:
-    zero = F.lit(0).cast("decimal(18,4)")
-    picked = F.when(upper_trim(col(columns.kind)) == category, amount(df, columns.amount)).otherwise(zero)
-    return F.coalesce(F.sum(picked), zero)
+def _sum_of(df: DataFrame, columns: LedgerColumns, category: str) -> Amount:
+    return amount(df, columns.amount).where(upper_trim(col(columns.kind)) == category).sum().or_zero()
 
 
 def _stated(summary: DataFrame | None) -> dict[str, str]:
@@ -45,26 +44,24 @@ def ledger_summary(df: DataFrame, columns: LedgerColumns, report_summary: DataFr
     """Totals and counts per type in one aggregate. Values stated in the report win over computed ones."""
     stated = _stated(report_summary)
 
-    def known(key: str, computed: Column) -> Column:
-        return F.coalesce(currency_text(F.lit(stated.get(key)).cast("string")), computed)
+    def known(key: str, computed: Amount) -> Amount:
+        return currency_amount(F.lit(stated.get(key)).cast("string")).otherwise(computed)
 
     kind = upper_trim(col(columns.kind))
     base = df.agg(
-        _sum_of(df, columns, LEDGER_SALES).alias("_sales"), _sum_of(df, columns, LEDGER_EXPENSE).alias("_expenses"),
-        _sum_of(df, columns, LEDGER_CREDIT).alias("_credit"), F.count(F.lit(1)).alias("transaction_count"),
+        *_sum_of(df, columns, LEDGER_SALES).named("_sales"), *_sum_of(df, columns, LEDGER_EXPENSE).named("_expenses"),
+        *_sum_of(df, columns, LEDGER_CREDIT).named("_credit"), F.count(F.lit(1)).alias("transaction_count"),
         F.count_if(kind == LEDGER_SALES).alias("sales_transaction_count"),
         F.count_if(kind == LEDGER_EXPENSE).alias("expense_transaction_count"),
         F.count_if(kind == LEDGER_CREDIT).alias("credit_transaction_count"),
-    ).withColumns({
-        "_sales": known("Total Sales", F.col("_sales")), "_expenses": known("Total Expenses", F.col("_expenses")),
-        "_credit": known("Udhaar Outstanding", F.col("_credit")),
-    })
-    profit = known("Net Profit", F.col("_sales") - F.col("_expenses"))
+    )
+    sales, expenses = known("Total Sales", Amount.of("_sales")), known("Total Expenses", Amount.of("_expenses"))
+    credit, profit = known("Udhaar Outstanding", Amount.of("_credit")), known("Net Profit", sales - expenses)
     status = F.lit(stated["Profit Status"]) if stated.get("Profit Status") else F.when(
-        profit >= 0, "Profit").otherwise("Loss")
+        profit.double() >= 0, "Profit").otherwise("Loss")
     return base.select(
-        money_round(F.col("_sales")).alias("total_sales"), money_round(F.col("_expenses")).alias("total_expenses"),
-        money_round(F.col("_credit")).alias("credit_outstanding"), money_round(profit).alias("net_profit"),
+        sales.shown().alias("total_sales"), expenses.shown().alias("total_expenses"),
+        credit.shown().alias("credit_outstanding"), profit.shown().alias("net_profit"),
         status.alias("profit_status"), "transaction_count", "sales_transaction_count",
         "expense_transaction_count", "credit_transaction_count",
     )
@@ -78,10 +75,10 @@ def ledger_revenue(df: DataFrame, columns: LedgerColumns, grain: str = "month")
     """Sales per period; rows without a usable date are left out."""
     sales = category_rows(df, columns, LEDGER_SALES)
     return (
-        sales.select(bucket(timestamp(sales, columns.date), grain).alias("_start"), "amount_value")
+        sales.select(bucket(timestamp(sales, columns.date), grain).alias("_start"), "amount_value", "amount_value_rest")
         .where(F.col("_start").isNotNull())
-        .groupBy("_start").agg(F.sum("amount_value").alias("_value")).orderBy("_start")
-        .select(period_text(F.col("_start"), grain).alias("period"), money_round(F.col("_value")).alias("sales_revenue"))
+        .groupBy("_start").agg(*Amount.of("amount_value").sum().named("_value")).orderBy("_start")
+        .select(period_text(F.col("_start"), grain).alias("period"), Amount.of("_value").shown().alias("sales_revenue"))
     )
 
 
@@ -100,19 +97,20 @@ def ledger_items(
     """Totals per item (or customer) of one transaction type, largest first."""
     grouped = (
         category_rows(df, columns, category).where(col(columns.item).isNotNull())
-        .groupBy(col(columns.item).cast("string").alias(label_name)).agg(F.sum("amount_value").alias("_value"))
-        .orderBy(F.desc("_value"), F.asc(label_name))
+        .groupBy(col(columns.item).cast("string").alias(label_name)).agg(*Amount.of("amount_value").sum().named("_value"))
+        .orderBy(*Amount.of("_value").largest_first(), F.asc(label_name))
     )
     shown = grouped if limit is None else grouped.limit(limit)
-    return shown.select(label_name, money_round(F.col("_value")).alias(value_name))
+    return shown.select(label_name, Amount.of("_value").shown().alias(value_name))
 
 
 def type_totals(df: DataFrame, columns: LedgerColumns) -> DataFrame:
     return (
         df.where(col(columns.kind).isNotNull())
         .groupBy(upper_trim(col(columns.kind)).alias("transaction_type"))
-        .agg(F.sum(amount(df, columns.amount)).alias("_value")).orderBy(F.desc("_value"), F.asc("transaction_type"))
-        .select("transaction_type", money_round(F.col("_value")).alias("amount"))
+        .agg(*amount(df, columns.amount).sum().or_zero().named("_value"))
+        .orderBy(*Amount.of("_value").largest_first(), F.asc("transaction_type"))
+        .select("transaction_type", Amount.of("_value").shown().alias("amount"))
     )
 
 
@@ -143,4 +141,4 @@ def type_performance(df: DataFrame, columns: LedgerColumns, limit: int = 10) ->
 
 def parse_money(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """Amounts written with currency marks and thousands commas, as numbers."""
-    return df.select(*map(col, keep), money_round(currency_text(col(column))).alias("amount_value"))
+    return df.select(*map(col, keep), currency_amount(col(column)).shown().alias("amount_value"))

@@ -1,6 +1,7 @@
 """Business metrics: KPIs, period and dimension roll-ups, growth.
 
-Money is summed as decimals, so results are the same on any number of tasks. Every operator also
+Money is summed as decimals, so results are the same on any number of tasks; amounts too large for
+them are kept as doubles beside them (see ``functions.amounts``). Every operator also
 accepts a frame that was already summed per key (see ``plans.views.sales_totals``): pass the name
 of the column with the number of source rows as ``rows``.
 """
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismtab.functions.coerce import col, label, money, timestamp, upper_trim
+from prismtab.functions.amounts import Amount, amount, product, zero
+from prismtab.functions.coerce import col, label, timestamp, upper_trim
 from prismtab.functions.periods import bucket, period_text
-from prismtab.functions.rounding import half_up, money_round
+from prismtab.functions.rounding import half_up
 
 
 @dataclass(frozen=True)
@@ -32,23 +34,20 @@ class Metric:
     subtract: tuple[str, ...] = ()
 
 
-def amount(df: DataFrame, name: str) -> Column:
-    return F.coalesce(money(df, name), F.lit(0).cast("decimal(18,4)"))
-
-
-def metric_column(df: DataFrame, metric: Metric) -> Column:
+def metric_amount(df: DataFrame, metric: Metric) -> Amount:
+    """The metric of a row; what is no number counts 0."""
     value = amount(df, metric.column)
     if metric.times:
-        return value * amount(df, metric.times)
+        return product(value, amount(df, metric.times))
+    value = value.or_zero()
     if not metric.type_column:
         return value
     kind = upper_trim(col(metric.type_column))
-    signed = F.when(kind.isin(*metric.subtract), -value) if metric.subtract else None
-    if metric.include:
-        counted = kind.isin(*metric.include)
-        signed = signed.when(counted, value) if signed is not None else F.when(counted, value)
-    zero = F.lit(0).cast("decimal(18,4)")
-    return zero if signed is None else signed.otherwise(zero)
+    signs = [(words, sign) for words, sign in ((metric.subtract, -value), (metric.include, value)) if words]
+    exact = F.coalesce(*(F.when(kind.isin(*words), sign.exact) for words, sign in signs), zero())
+    taken = F.coalesce(*(F.when(kind.isin(*words), F.lit(i)) for i, (words, _) in enumerate(signs)), F.lit(-1))
+    rest = F.coalesce(*(F.when(taken == i, sign.rest) for i, (_, sign) in enumerate(signs)), F.lit(None).cast("double"))
+    return Amount(exact, rest)
 
 
 def _row_count(rows: str | None) -> Column:
@@ -66,32 +65,28 @@ def _sale_count(metric: Metric, rows: str | None) -> Column:
 def totals(df: DataFrame, metrics: dict[str, Metric], rows: str | None = None) -> DataFrame:
     """Unrounded totals of the given metrics in one aggregate; metrics not given are null."""
     known = ("revenue", "quantity", "cost", "expense", "profit")
-    sums = [
-        F.coalesce(F.sum(metric_column(df, metrics[name])), F.lit(0)).alias(name)
-        if name in metrics else F.lit(None).cast("decimal(28,4)").alias(name)
-        for name in known
-    ]
+    none = Amount(F.lit(None).cast("decimal(28,4)"), F.lit(None).cast("double"))
+    sums = [c for name in known for c in (metric_amount(df, metrics[name]).sum().or_zero() if name in metrics else none).named(name)]
     sales = _sale_count(metrics["revenue"], rows) if "revenue" in metrics else _row_count(rows)
     base = df.agg(*sums, _row_count(rows).alias("transactions"), sales.alias("sales"))
     if "profit" in metrics:
         return base
     # A cost of exactly 0 falls through to the expense.
-    spent = F.coalesce(
-        F.when(F.col("cost") != 0, F.col("cost")), F.col("expense"), F.col("cost")
-    )
-    return base.withColumn("profit", F.col("revenue") - spent)
+    cost, expense = Amount.of("cost"), Amount.of("expense")
+    profit = Amount.of("revenue") - cost.where(cost.nonzero()).otherwise(expense).otherwise(cost)
+    return base.drop("profit", "profit_rest").select("*", *profit.named("profit"))
 
 
 def business_kpis(df: DataFrame, metrics: dict[str, Metric], rows: str | None = None) -> DataFrame:
     """One row: totals, margin, order counts, average order value."""
     base = totals(df, metrics, rows)
-    revenue, profit = F.col("revenue").cast("double"), F.col("profit").cast("double")
+    revenue, profit = Amount.of("revenue").double(), Amount.of("profit").double()
     return base.select(
-        money_round(F.col("revenue")).alias("total_revenue"),
-        money_round(F.col("quantity")).alias("total_quantity"),
-        money_round(F.col("cost")).alias("total_cost"),
-        money_round(F.col("expense")).alias("total_expenses"),
-        money_round(F.col("profit")).alias("total_profit"),
+        Amount.of("revenue").shown().alias("total_revenue"),
+        Amount.of("quantity").shown().alias("total_quantity"),
+        Amount.of("cost").shown().alias("total_cost"),
+        Amount.of("expense").shown().alias("total_expenses"),
+        Amount.of("profit").shown().alias("total_profit"),
         half_up(F.try_divide(profit, revenue) * 100, 4).alias("gross_margin"),
         half_up(F.try_divide(revenue, F.col("sales").cast("double")), 2).alias("average_order_value"),
         F.col("transactions").alias("transaction_count"),
@@ -146,11 +141,11 @@ def metric_by_period(
     """Metric per calendar period in order; rows without a usable date are left out."""
     start = F.col("_start")
     return (
-        df.select(bucket(timestamp(df, date), grain).alias("_start"), metric_column(df, metric).alias("_value"))
+        df.select(bucket(timestamp(df, date), grain).alias("_start"), *metric_amount(df, metric).named("_value"))
         .where(start.isNotNull())
-        .groupBy("_start").agg(F.sum("_value").alias("_value"))
+        .groupBy("_start").agg(*Amount.of("_value").sum().named("_value"))
         .orderBy("_start")
-        .select(period_text(start, grain).alias(label_name), money_round(F.col("_value")).alias(value_name))
+        .select(period_text(start, grain).alias(label_name), Amount.of("_value").shown().alias(value_name))
     )
 
 
@@ -162,10 +157,10 @@ def metric_by_dimension(
     key = label_name or dimension_label(dimension)
     top = (
         df.groupBy(label(df, dimension).alias(key))
-        .agg(F.sum(metric_column(df, metric)).alias("_value"))
-        .orderBy(F.desc("_value"), F.asc(key)).limit(limit)
+        .agg(*metric_amount(df, metric).sum().named("_value"))
+        .orderBy(*Amount.of("_value").largest_first(), F.asc(key)).limit(limit)
     )
-    return top.where(F.col("_value") != 0).select(key, money_round(F.col("_value")).alias(value_name))
+    return top.where(Amount.of("_value").nonzero()).select(key, Amount.of("_value").shown().alias(value_name))
 
 
 def dimension_label(column: str) -> str:
@@ -194,32 +189,34 @@ def count_by_dimension(
 
 def expense_by_group(df: DataFrame, expense: Metric, group: str | None) -> DataFrame:
     """Expense per group, largest first, zero groups left out; one total when there is no group."""
-    value = F.sum(metric_column(df, expense))
+    value = metric_amount(df, expense).sum()
     if group is None:
-        return df.agg(money_round(F.coalesce(value, F.lit(0))).alias("expense")).select(
+        return df.agg(value.or_zero().shown().alias("expense")).select(
             F.lit("expenses").alias("expense_type"), "expense")
+    total = Amount.of("_value")
     return (
-        df.groupBy(label(df, group).alias("expense_type")).agg(value.alias("_value"))
-        .where(F.col("_value") != 0).orderBy(F.desc("_value"), F.asc("expense_type"))
-        .select("expense_type", money_round(F.col("_value")).alias("expense"))
+        df.groupBy(label(df, group).alias("expense_type")).agg(*value.named("_value"))
+        .where(total.nonzero()).orderBy(*total.largest_first(), F.asc("expense_type"))
+        .select("expense_type", total.shown().alias("expense"))
     )
 
 
 def _monthly_for_leaders(df: DataFrame, date: str, product: str, revenue: Metric, leaders: int) -> DataFrame:
-    """(product, _start, _value) of the leading products from one pass over the table.
+    """(product, _start, _value, _value_rest) of the leading products from one pass over the table.
 
     Monthly sums travel with their product, so the ranking needs no second pass and no join; a
     product has at most one entry per calendar month. Rows without a date count for the ranking."""
     lines = df.select(
         bucket(timestamp(df, date), "month").alias("_start"),
         label(df, product).alias("product"),
-        metric_column(df, revenue).alias("_value"),
+        *metric_amount(df, revenue).named("_value"),
     )
-    monthly = lines.groupBy("product", "_start").agg(F.sum("_value").alias("_value"))
+    value, total = Amount.of("_value"), Amount.of("_total")
+    monthly = lines.groupBy("product", "_start").agg(*value.sum().named("_value"))
     top = (
         monthly.groupBy("product")
-        .agg(F.sum("_value").alias("_total"), F.collect_list(F.struct("_start", "_value")).alias("_months"))
-        .orderBy(F.desc("_total"), F.asc("product")).limit(leaders).where(F.col("_total") != 0)
+        .agg(*value.sum().named("_total"), F.collect_list(F.struct("_start", "_value", "_value_rest")).alias("_months"))
+        .orderBy(*total.largest_first(), F.asc("product")).limit(leaders).where(total.nonzero())
     )
     return top.select("product", F.inline("_months")).where(F.col("_start").isNotNull())
 
@@ -229,9 +226,9 @@ def top_product_monthly(
 ) -> DataFrame:
     monthly = _monthly_for_leaders(df, date, product, revenue, leaders)
     return (
-        monthly.where(F.col("_value") != 0).orderBy("_start", "product")
+        monthly.where(Amount.of("_value").nonzero()).orderBy("_start", "product")
         .select(period_text(F.col("_start"), "month").alias("period"), "product",
-                money_round(F.col("_value")).alias("revenue"))
+                Amount.of("_value").shown().alias("revenue"))
     )
 
 
@@ -245,21 +242,20 @@ def product_growth(
     marked = monthly.withColumns({
         "_first": F.min("_start").over(whole), "_last": F.max("_start").over(whole)})
 
-    def at(edge: str) -> Column:
-        zero = F.lit(0).cast("decimal(28,4)")
-        return F.coalesce(F.sum(F.when(F.col("_start") == F.col(edge), F.col("_value"))), zero)
+    def at(edge: str) -> Amount:
+        return Amount.of("_value").where(F.col("_start") == F.col(edge)).sum().or_zero()
 
     ends = (
         marked.where(F.col("_first") < F.col("_last"))
-        .groupBy("product").agg(at("_first").alias("_a"), at("_last").alias("_b"))
+        .groupBy("product").agg(*at("_first").named("_a"), *at("_last").named("_b"))
     )
-    first, change = F.col("_a").cast("double"), (F.col("_b") - F.col("_a")).cast("double")
+    first, last = Amount.of("_a"), Amount.of("_b")
     return ends.select(
         "product",
-        money_round(F.col("_a")).alias("first_period_revenue"),
-        money_round(F.col("_b")).alias("last_period_revenue"),
-        money_round(F.col("_b") - F.col("_a")).alias("absolute_growth"),
-        half_up(F.try_divide(change, F.abs(first)) * 100, 2).alias("pct_growth"),
+        first.shown().alias("first_period_revenue"),
+        last.shown().alias("last_period_revenue"),
+        (last - first).shown().alias("absolute_growth"),
+        half_up(F.try_divide((last - first).double(), F.abs(first.double())) * 100, 2).alias("pct_growth"),
     ).orderBy(F.desc("absolute_growth"), F.asc("product"))
 
 
@@ -301,16 +297,17 @@ def total_sales_overview(df: DataFrame, category: str, region: str, revenue: Met
     """The leading category and region. Both rankings come from one aggregate over grouping sets."""
     sides = df.select(
         label(df, category).alias("_category"), label(df, region).alias("_region"),
-        metric_column(df, revenue).alias("_value"),
-    ).groupBy("_category", "_region").agg(F.sum("_value").alias("_value"))
+        *metric_amount(df, revenue).named("_value"),
+    ).groupBy("_category", "_region").agg(*Amount.of("_value").sum().named("_value"))
+    total = Amount.of("_value")
     pairs = F.array(
-        F.struct(F.lit("Top category by revenue").alias("metric"), F.col("_category").alias("value"), "_value"),
-        F.struct(F.lit("Top region by revenue").alias("metric"), F.col("_region").alias("value"), "_value"),
+        F.struct(F.lit("Top category by revenue").alias("metric"), F.col("_category").alias("value"), "_value", "_value_rest"),
+        F.struct(F.lit("Top region by revenue").alias("metric"), F.col("_region").alias("value"), "_value", "_value_rest"),
     )
     ranked = (
-        sides.select(F.inline(pairs)).groupBy("metric", "value").agg(F.sum("_value").alias("_value"))
+        sides.select(F.inline(pairs)).groupBy("metric", "value").agg(*total.sum().named("_value"))
         .withColumn("_rank", F.row_number().over(
-            Window.partitionBy("metric").orderBy(F.desc("_value"), F.asc("value"))))
+            Window.partitionBy("metric").orderBy(*total.largest_first(), F.asc("value"))))
     )
-    return ranked.where((F.col("_rank") == 1) & (F.col("_value") != 0)).select(
-        "metric", "value", money_round(F.col("_value")).alias("amount"))
+    return ranked.where((F.col("_rank") == 1) & total.nonzero()).select(
+        "metric", "value", total.shown().alias("amount"))

@@ -5,16 +5,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismtab.functions.coerce import col, money, numeric_columns, timestamp
+from prismtab.functions.amounts import Amount, amount
+from prismtab.functions.coerce import col, numeric_columns, timestamp
 from prismtab.functions.periods import bucket, period_text
-from prismtab.functions.rounding import half_up, money_round
+from prismtab.functions.rounding import half_up
 from prismtab.operators.filters import since
 from prismtab.operators.trends import filled_periods
 
 
 def _lines(df: DataFrame, key: str, value: str, *more) -> DataFrame:
-    lines = df.select(col(key).cast("string").alias("_key"), money(df, value).alias("_value"), *more)
-    return lines.where(F.col("_key").isNotNull() & F.col("_value").isNotNull())
+    lines = df.select(col(key).cast("string").alias("_key"), *amount(df, value).named("_value"), *more)
+    return lines.where(F.col("_key").isNotNull() & Amount.of("_value").known())
+
+
+def _totals(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("_key").agg(*Amount.of("_value").sum().named("_total"))
 
 
 def rank_groups(
@@ -22,13 +27,10 @@ def rank_groups(
     label_name: str | None = None, value_name: str | None = None,
 ) -> DataFrame:
     """Groups by summed value, the largest (or smallest) first."""
-    order = F.asc("_total") if ascending else F.desc("_total")
-    top = (
-        _lines(df, dimension, value).groupBy("_key").agg(F.sum("_value").alias("_total"))
-        .orderBy(order, F.asc("_key")).limit(limit)
-    )
-    return top.select(F.col("_key").alias(label_name or dimension),
-                      money_round(F.col("_total")).alias(value_name or value))
+    total = Amount.of("_total")
+    order = total.smallest_first() if ascending else total.largest_first()
+    top = _totals(_lines(df, dimension, value)).orderBy(*order, F.asc("_key")).limit(limit)
+    return top.select(F.col("_key").alias(label_name or dimension), total.shown().alias(value_name or value))
 
 
 def trending(df: DataFrame, product: str, value: str, date: str, limit: int = 10) -> DataFrame:
@@ -47,75 +49,75 @@ def trending(df: DataFrame, product: str, value: str, date: str, limit: int = 10
         return ranked.select(col(product), *(F.col(c) if c else F.lit(None).cast("double").alias(n) for n, c in names.items()))
     recent, previous = latest
 
-    def total(month) -> Column:
-        zero = F.lit(0).cast("decimal(28,4)")
-        return F.coalesce(F.sum(F.when(F.col("_start") == F.lit(month), F.col("_value"))), zero)
+    def total(month) -> Amount:
+        return Amount.of("_value").where(F.col("_start") == F.lit(month)).sum().or_zero()
 
     sides = (
         _lines(since(df, date, previous), product, value, start)
         .where(F.col("_start").isin(recent, previous))
-        .groupBy("_key").agg(total(recent).alias("_recent"), total(previous).alias("_previous"))
+        .groupBy("_key").agg(*total(recent).named("_recent"), *total(previous).named("_previous"))
     )
-    new, old = F.col("_recent").cast("double"), F.col("_previous").cast("double")
-    growth = F.when(F.col("_previous") != 0, (new - old) / old * 100).when(
-        F.col("_recent") != 0, 100.0).otherwise(0.0)
+    now, before = Amount.of("_recent"), Amount.of("_previous")
+    new, old = now.double(), before.double()
+    growth = F.when(before.nonzero(), (new - old) / old * 100).when(now.nonzero(), 100.0).otherwise(0.0)
     return sides.select(
-        F.col("_key").alias(product), money_round(F.col("_recent")).alias("recent_revenue"),
-        money_round(F.col("_previous")).alias("previous_revenue"), half_up(growth, 1).alias("growth_pct"),
+        F.col("_key").alias(product), now.shown().alias("recent_revenue"),
+        before.shown().alias("previous_revenue"), half_up(growth, 1).alias("growth_pct"),
     ).orderBy(F.desc("growth_pct"), F.asc(product)).limit(limit)
 
 
 def revenue_trend(df: DataFrame, date: str, value: str, grain: str = "month", value_name: str | None = None) -> DataFrame:
     """Summed value per calendar period; rows without a date or value are dropped."""
-    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), money(df, value).alias("_value"))
+    lines = df.select(bucket(timestamp(df, date), grain).alias("_start"), *amount(df, value).named("_value"))
+    total = Amount.of("_value")
     return (
-        lines.where(F.col("_start").isNotNull() & F.col("_value").isNotNull())
-        .groupBy("_start").agg(F.sum("_value").alias("_value")).orderBy("_start")
-        .select(period_text(F.col("_start"), grain).alias("period"),
-                money_round(F.col("_value")).alias(value_name or value))
+        lines.where(F.col("_start").isNotNull() & total.known())
+        .groupBy("_start").agg(*total.sum().named("_value")).orderBy("_start")
+        .select(period_text(F.col("_start"), grain).alias("period"), total.shown().alias(value_name or value))
     )
 
 
 def compare_groups(df: DataFrame, dimension: str, values: list[str] | None = None, limit: int = 20) -> DataFrame:
     """Mean, sum and count of every value column per group; the groups with most values."""
     names = [n for n in numeric_columns(df) if n != dimension] if values is None else values
-    exact = {name: money(df, name) for name in names}
     lines = df.where(col(dimension).isNotNull()).select(
-        col(dimension).alias(dimension), *[exact[n].alias(f"v{i}") for i, n in enumerate(names)])
+        col(dimension).alias(dimension), *[c for i, n in enumerate(names) for c in amount(df, n).named(f"v{i}")])
     grouped = lines.groupBy(dimension).agg(*[
-        a for i in range(len(names)) for a in (F.sum(f"v{i}").alias(f"s{i}"), F.count(f"v{i}").alias(f"n{i}"))
+        a for i in range(len(names)) for a in (
+            *Amount.of(f"v{i}").sum().named(f"s{i}"), (F.count(f"v{i}") + F.count(f"v{i}_rest")).alias(f"n{i}"))
     ])
     last = f"n{len(names) - 1}"
     top = grouped.orderBy(F.desc(last), F.asc(dimension)).limit(limit)
     return top.select(dimension, *[
         c for i, n in enumerate(names) for c in (
-            half_up(F.try_divide(F.col(f"s{i}").cast("double"), F.col(f"n{i}").cast("double")), 2).alias(f"{n}_mean"),
-            money_round(F.coalesce(f"s{i}", F.lit(0))).alias(f"{n}_sum"),
+            half_up(F.try_divide(Amount.of(f"s{i}").double(), F.col(f"n{i}").cast("double")), 2).alias(f"{n}_mean"),
+            Amount.of(f"s{i}").or_zero().shown().alias(f"{n}_sum"),
             F.col(f"n{i}").alias(f"{n}_count"))
     ])
 
 
 def best_and_worst(df: DataFrame, dimension: str, value: str) -> DataFrame:
     """The groups with the largest and smallest sum; no row with fewer than two groups."""
-    groups = _lines(df, dimension, value).groupBy("_key").agg(F.sum("_value").alias("_total"))
+    total = Amount.of("_total")
+    row = F.struct(F.col("_key").alias("key"), total.shown().alias("value"))
     # Ties go to the first label, so the label joins the ordering.
-    first_last = groups.agg(
+    first_last = _totals(_lines(df, dimension, value)).agg(
         F.count(F.lit(1)).alias("_groups"),
-        F.max("_total").alias("_best"), F.min("_total").alias("_worst"),
-        F.min_by("_key", F.struct(-F.col("_total"), F.col("_key"))).alias("best_group"),
-        F.min_by("_key", F.struct(F.col("_total"), F.col("_key"))).alias("worst_group"),
+        F.min_by(row, F.struct((-total).rank_key(), F.col("_key"))).alias("_best"),
+        F.min_by(row, F.struct(total.rank_key(), F.col("_key"))).alias("_worst"),
     )
     return first_last.where(F.col("_groups") >= 2).select(
-        "best_group", money_round(F.col("_best")).alias("best_value"),
-        "worst_group", money_round(F.col("_worst")).alias("worst_value"))
+        F.col("_best.key").alias("best_group"), F.col("_best.value").alias("best_value"),
+        F.col("_worst.key").alias("worst_group"), F.col("_worst.value").alias("worst_value"))
 
 
 def concentration(df: DataFrame, dimension: str, value: str, leaders: int = 3, above: float = 60.0) -> DataFrame:
     """Share of the leading groups when it is above the threshold, from five groups up."""
-    groups = _lines(df, dimension, value).groupBy("_key").agg(F.sum("_value").alias("_total"))
-    whole = groups.agg(F.struct(F.sum("_total").alias("total"), F.count(F.lit(1)).alias("groups")).alias("whole")).scalar()
-    top = groups.orderBy(F.desc("_total"), F.asc("_key")).limit(leaders).agg(F.sum("_total").alias("top"))
-    share = half_up(F.col("top").cast("double") / F.col("total").cast("double") * 100, 1)
+    total = Amount.of("_total")
+    groups = _totals(_lines(df, dimension, value))
+    whole = groups.agg(F.struct(total.sum().double().alias("total"), F.count(F.lit(1)).alias("groups")).alias("whole")).scalar()
+    top = groups.orderBy(*total.largest_first(), F.asc("_key")).limit(leaders).agg(total.sum().double().alias("top"))
+    share = half_up(F.col("top") / F.col("total") * 100, 1)
     return (
         top.select("top", whole.alias("whole")).select("top", "whole.total", "whole.groups")
         .where((F.col("total") > 0) & (F.col("groups") >= 5))

@@ -26,9 +26,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(F.rtrim(F.regexp_replace(text, WORD, "x"), F.lit(SPACES))), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound what one Arrow batch holds by bytes, since a batch counted in rows may hold very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def shared_folder(spark: SparkSession) -> str:

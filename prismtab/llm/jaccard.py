@@ -50,6 +50,7 @@ BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 27
 KEY_BITS = 48
 KNOWN_WORDS = 200_000
+BATCH_BYTES = 4 << 20
 U = np.uint64
 
 
@@ -399,9 +400,9 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
     """The same, with the hash of each document's text, and `first`: the document (no_id, doc_id, hash) that
     comes first in its component, by doc_id, null last, then by hash; null without words."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     guess = F.greatest(F.lit(1), F.length(F.col(text)) / 7).cast("long")
-    rough = F.pow(F.lit(2.0), F.floor(F.log2(guess))).cast("long")
+    rough = F.pow(F.lit(2.0), F.floor(8 * F.log2(guess)) / 8).cast("long")  # eight steps to a doubling, finer than the bands
     counts = {r["s"]: r["n"] for r in docs.where(F.length(text) > 0).groupBy(rough.alias("s")).agg(F.count("*").alias("n")).collect()}
     longest = docs.agg(F.max(F.length(text))).first()[0] or 1
     schemes = Schemes(percent, counts, longest, measured(docs, text, width, percent))

@@ -664,6 +664,10 @@ add("csv_repair", "", """SELECT CAST(p_partkey AS VARCHAR) AS entry_no,
     CASE WHEN p_partkey % 5 <> 1 THEN p_brand END AS brand,
     CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) || ',extra,more' WHEN 1 THEN NULL WHEN 3 THEN '1'
         ELSE CAST(p_size AS VARCHAR) END AS size FROM part WHERE p_partkey % 17 <> 0""")
+add("csv_multiline", "", """SELECT CAST(p_partkey AS VARCHAR) AS entry_no,
+    CASE p_partkey % 4 WHEN 0 THEN p_name || chr(10) || '"boxed", second line' || chr(10) || chr(10)
+        WHEN 1 THEN p_name || chr(10) || ', third' ELSE p_name END AS name,
+    CASE p_partkey % 4 WHEN 1 THEN '5" wide' ELSE p_brand END AS brand FROM part""")
 add("numeric_promotion", "", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 _REGISTRY = "SELECT o_orderkey AS dataset_id, o_custkey AS user_id, o_orderdate AS created_at FROM orders"
 add("recent_datasets", "", f"{_REGISTRY} ORDER BY 3 DESC, 1 DESC LIMIT 50")

@@ -17,7 +17,7 @@ from prismtab.operators import (
 from prismtab.operators.ledger import LedgerColumns
 from prismtab.operators.metrics import Metric
 from prismtab.plans import views
-from prismtab.sources import delimited, reports, store
+from prismtab.sources import delimited, records, reports, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -315,6 +315,12 @@ def _safe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------------------------
 
 on(views.ragged_lines, "csv_repair", delimited.repair_lines, ["entry_no", "name", "brand", "size"])
+@query("csv_multiline")
+def _csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = records.whole_records(views.multiline_lines(spark, sf_dir), ",")
+    return delimited.repair_lines(whole.select(F.col("value").cast("string").alias("value")), ["entry_no", "name", "brand"])
+
+
 on(views.part_text, "numeric_promotion", delimited.promote_numeric)
 on(views.report_lines, "report_summary", reports.report_facts)
 on(views.dataset_registry, "recent_datasets", store.recent_datasets)

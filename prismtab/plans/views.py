@@ -240,6 +240,20 @@ def ragged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(line.alias("value"))
 
 
+def multiline_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the lines of three files of comma-separated records with line breaks in quoted cells; blocks of
+    ten places cut through records."""
+    key, name = F.col("p_partkey").cast("string"), F.col("p_name")
+    kind = F.col("p_partkey") % 4
+    quoted = F.concat(key, F.lit(',"'), name, F.lit('\n""boxed"", second line\n\n",'), F.col("p_brand"), F.lit("\n"))
+    broken = F.concat(key, F.lit(', "'), name, F.lit('\n, third" ,5" wide'))
+    record = F.when(kind == 0, quoted).when(kind == 1, broken).otherwise(F.concat_ws(",", key, name, "p_brand"))
+    at = F.col("p_partkey") * 8 + F.col("pos")
+    place = F.struct(F.floor(at / 10).cast("bigint").alias("block"), at.cast("bigint").alias("at"))
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(record, "\n")).alias("pos", "value"))
+    return lines.select((F.col("p_partkey") % 3).alias("source"), place.alias("line_no"), "value")
+
+
 def part_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     return parts.select(*[F.col(c).cast("string").alias(c) for c in parts.columns])

@@ -5,10 +5,11 @@ import csv
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prismtab.functions.coerce import col, numeric_text, text_columns
 from prismtab.functions.names import clean_headers
-from prismtab.sources.lines import has_text, read_lines, split_cells
+from prismtab.sources.lines import WINDOWS, folder_encoding, has_text, read_lines, split_cells
 
 # The delimiters looked for, the first one is the default.
 DELIMITERS = ",;\t|"
@@ -39,22 +40,35 @@ def folder_delimiter(spark: SparkSession, path: str) -> str:
 
 def read_delimited(
     spark: SparkSession, path: str, delimiter: str | None = None, schema: str | None = None,
-    multiline: bool = False,
+    multiline: bool = False, encoding: str | None = None,
 ) -> DataFrame:
-    """A folder of UTF-8 files with a header line. Give a schema to save the pass that infers it;
-    ``multiline`` allows line breaks in quoted cells, at the price of one task per file."""
-    reader = spark.read.option("header", True).option("sep", delimiter or folder_delimiter(spark, path))
-    reader = reader.option("mode", "PERMISSIVE").option("multiLine", multiline).option("escape", '"')
+    """A folder of files in one of the known encodings with a header line. Give a schema to save the
+    pass that infers it, an encoding to save the one that looks for it. ``multiline`` allows line
+    breaks in quoted cells: records are put together in parallel, whatever the size of the files. Without
+    a schema the columns of such files, and of files in code page 1252, are numbers or text."""
+    delimiter = delimiter or folder_delimiter(spark, path)
+    encoding = encoding or folder_encoding(spark, path)
+    if multiline or encoding == WINDOWS:  # Spark's reader does not know that code page
+        table = read_ragged(spark, path, delimiter)
+        if schema is None:
+            return table
+        wanted = StructType.fromDDL(schema).fields
+        if len(wanted) != len(table.columns):
+            raise ValueError(f"the schema has {len(wanted)} columns, the files have {len(table.columns)}")
+        return table.select(*(col(c).cast("string").try_cast(f.dataType).alias(f.name) for c, f in zip(table.columns, wanted)))
+    reader = spark.read.option("header", True).option("sep", delimiter).option("mode", "PERMISSIVE").option("escape", '"')
+    reader = reader.option("encoding", encoding)
     frame = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return non_empty(frame.toDF(*clean_headers(frame.columns)))
 
 
 def read_ragged(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
-    """A folder of files in any of the known encodings whose rows may be too long or too short.
+    """A folder of files in any of the known encodings whose rows may be too long or too short, and
+    whose quoted cells may hold line breaks.
 
     The header is the first line with text of each file; every file must have the same one."""
     delimiter = delimiter or folder_delimiter(spark, path)
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, delimiter)
     filled = lines.where(has_text(F.col("value"), delimiter))
     heads = filled.groupBy("source").agg(
         F.min("line_no").alias("_head"), F.min_by("value", "line_no").alias("_header"))

@@ -91,8 +91,9 @@ def detail_table(detail: DataFrame, header: list[str]) -> DataFrame:
 
 
 def read_report_lines(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The lines of a folder of reports and their delimiter."""
-    return read_lines(spark, path), folder_delimiter(spark, path)
+    """The records of a folder of reports and their delimiter."""
+    delimiter = folder_delimiter(spark, path)
+    return read_lines(spark, path, delimiter), delimiter
 
 
 def headers(detail: DataFrame) -> list[list[str]]:

@@ -13,8 +13,7 @@ from prismtab.functions.rounding import half_up
 from prismtab.operators.outliers import iqr_bounds
 from prismtab.operators.profile import local_frame
 from prismtab.operators.quantiles import exact_quantiles
-
-SPLITS = 1000  # cut points of the value range when ranks are needed
+from prismtab.operators.ranks import totals_before
 
 
 def _exact_mean(value: str) -> Column:
@@ -142,27 +141,15 @@ def welch(df: DataFrame, segment: str, pair: tuple[str, str], values: list[str])
 def mann_whitney(df: DataFrame, segment: str, pair: tuple[str, str], value: str) -> DataFrame:
     """Sizes, the U statistic of the first segment and the tie term, exact at any size.
 
-    Equal values are counted together first. The value range is cut at sketched quantiles: totals
-    per cut are added up over a few rows, and values are ordered only inside their cut."""
+    Equal values are counted together first; what lies below a value is a running total over ranges of values."""
     counts = _sides(df, segment, pair, value).groupBy("_v").agg(
         F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
-    shares = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = counts.agg(F.percentile_approx("_v", shares, 10 * SPLITS)).first()[0] or []
-    edges = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    placed = counts.withColumn("cut", F.size(F.filter(edges, lambda e: e <= F.col("_v"))))
-    totals = placed.groupBy("cut").agg(F.sum("b").alias("b_cut"))
-    below_cut = F.coalesce(F.sum("b_cut").over(
-        Window.partitionBy(F.lit(0)).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("cut", below_cut.alias("b_before"))  # at most SPLITS rows
-    inside = F.coalesce(F.sum("b").over(
-        Window.partitionBy("cut").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = placed.withColumn("b_inside", inside).join(starts, "cut")
-    below, same = (F.col("b_before") + F.col("b_inside")).cast("double"), F.col("a") + F.col("b")
-    tied = same.cast("double")
+    ranked = totals_before(counts, ["_v"], {"below": F.col("b")})
+    same = (F.col("a") + F.col("b")).cast("double")
     return ranked.agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"),
-        F.sum(F.col("a") * (below + F.col("b") / F.lit(2.0))).alias("statistic"),
-        F.sum(tied * tied * tied - tied).alias("tie_term"))
+        F.sum(F.col("a") * (F.col("below").cast("double") + F.col("b") / F.lit(2.0))).alias("statistic"),
+        F.sum(same * same * same - same).alias("tie_term"))
 
 
 def compare_segments(

@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (
-    Imputer, IndexToString, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
+    IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -18,15 +19,17 @@ from pyspark.storagelevel import StorageLevel
 
 from prismtab.functions.coerce import col, is_number, number, numeric_columns
 from prismtab.functions.rounding import half_up, half_up_value
-from prismtab.operators.evaluation import class_balance, classification_metrics, regression_metrics
+from prismtab.operators.evaluation import class_balance, classification_metrics, leakage_determinism, regression_metrics
+from prismtab.operators.moments import co_moments
 from prismtab.operators.profile import ColumnStats, column_stats, local_frame, top_values, value_counts
-from prismtab.operators.targets import choose_target, exclusion
+from prismtab.operators.quantiles import exact_quantiles
+from prismtab.operators.targets import MOST_VALUES, choose_target, exclusion, target_for_metric
 
 # Gates and settings of the models.
 MIN_ROWS = 30
 MIN_COMPLETE_ROWS = 20
 AUTO_CONFIDENCE = 0.65
-MAX_ONE_HOT = 200
+MOST_CODES = 200  # indicator columns, unless the caller says otherwise
 MAX_CLASSES = 1000  # classes of a target that a model is trained for
 RIDGE_ALPHA = 1.0
 FOREST = {"numTrees": 80, "maxDepth": 8, "seed": 42}
@@ -98,15 +101,15 @@ def _common_texts(df: DataFrame, features: list[str]) -> dict[str, str]:
     return {word: found.get(word, "") for word in words}
 
 
-def _preprocessing(df: DataFrame, features: list[str]) -> list:
-    """Median and scaling for numbers, indicator columns for text (unknown words get all zeros)."""
+def _preprocessing(df: DataFrame, features: list[str], train: DataFrame) -> list:
+    """Median of the training rows and scaling for numbers, indicator columns for text (unknown words get all zeros)."""
     numbers = [f for f in features if _numeric_feature(df, f)]
     words = [f for f in features if f not in numbers]
     stages: list = []
     if numbers:
         filled = [f"{n}__filled" for n in numbers]
         stages += [
-            Imputer(inputCols=numbers, outputCols=filled, strategy="median"),
+            _median_filler(train, numbers, filled),
             VectorAssembler(inputCols=filled, outputCol="_numbers"),
             StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
         ]
@@ -120,6 +123,14 @@ def _preprocessing(df: DataFrame, features: list[str]) -> list:
     return stages + [VectorAssembler(inputCols=parts, outputCol="features")]
 
 
+def _median_filler(train: DataFrame, columns: list[str], filled: list[str]) -> SQLTransformer:
+    """Adds the columns with their gaps filled by the exact median of the training rows; 0 where all is gap."""
+    medians = {name: found[0] for name, found in exact_quantiles(train, columns, [0.5]).items()}
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    added = ", ".join(f"coalesce({quoted(c)}, {medians[c] or 0.0!r}D) AS {quoted(f)}" for c, f in zip(columns, filled))
+    return SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__")
+
+
 def feature_names(fitted: PipelineModel, df: DataFrame, features: list[str]) -> list[str]:
     """Names of the vector positions: numbers first, then one per word of each text column."""
     names = [f for f in features if _numeric_feature(df, f)]
@@ -138,10 +149,12 @@ def _ridge(train: DataFrame, label: str) -> LinearRegression:
     return LinearRegression(labelCol=label, solver="normal", regParam=penalty, elasticNetParam=0.0, standardization=False)
 
 
-def _safe_features(stats: list[ColumnStats], target: str, limitations: list[str], ids_by_name: bool = False) -> list[str]:
+def _safe_features(
+    stats: list[ColumnStats], target: str, limitations: list[str], ids_by_name: bool = False, most_values: int = MOST_VALUES,
+) -> list[str]:
     kept = []
     for s in stats:
-        reason = exclusion(s, target, ids_by_name)
+        reason = exclusion(s, target, ids_by_name, most_values)
         if reason is None:
             kept.append(s.name)
         elif reason != "target":
@@ -151,12 +164,19 @@ def _safe_features(stats: list[ColumnStats], target: str, limitations: list[str]
 
 def train_model(
     df: DataFrame, target: str | None = None, task: str | None = None, keys: list[str] | None = None,
-    ids_by_name: bool = False, stats: list[ColumnStats] | None = None,
+    ids_by_name: bool = False, stats: list[ColumnStats] | None = None, metric: str | None = None,
+    most_codes: int | None = MOST_CODES, most_values: int = MOST_VALUES,
 ) -> Training:
     """Fit the candidates for a target, score them on held-out rows and keep the best one.
 
-    Without a target the best suggestion is used if its confidence is high enough. The baseline
-    (mean or most common class) is scored but never selected."""
+    Without a target the column that stands for the metric is used, and without a metric the best
+    suggestion if its confidence is high enough. The baseline (mean or most common class) is scored but
+    never selected. ``most_codes`` bounds the indicator columns (None: any number), ``most_values`` the
+    values of a text feature."""
+    if target is None and metric is not None:
+        target, task = target_for_metric(df.columns, metric)
+        if target is None:
+            return Training("skipped", f"no column for {metric}")
     stats = column_stats(df) if stats is None else stats
     rows = stats[0].rows if stats else 0
     if rows < MIN_ROWS:
@@ -167,17 +187,35 @@ def train_model(
             return Training("skipped", "no safe target column with enough confidence")
         target, task = choice[0], task or choice[1]
     limitations: list[str] = []
-    features = _safe_features(stats, target, limitations, ids_by_name)
+    features = _safe_features(stats, target, limitations, ids_by_name, most_values)
     if not features:
         return Training("skipped", "no safe feature columns", target, task, limitations=limitations)
     codes = sum(max(1, s.distinct) for s in stats if s.name in features and s.kind not in ("number", "bool"))
-    if codes > MAX_ONE_HOT:
+    if most_codes is not None and codes > most_codes:
         return Training("skipped", "too many indicator columns", target, task, limitations=limitations)
+    if task == "classification":
+        limitations += leakage_notes(df, target, features)
     result = Training("complete", "", target, task, features, limitations=limitations)
     _fit(df, keys or [], result)
     return result
 
 
+# Features that may give a category of food away.
+CATEGORY_WORDS = ("food_name", "food_description", "main_ingredient", "cuisine")
+
+
+def leakage_notes(df: DataFrame, target: str, features: list[str]) -> list[str]:
+    """Notes on text features whose values nearly always occur with one class."""
+    notes = []
+    if target.lower() == "category" and any(f.lower() in CATEGORY_WORDS for f in features):
+        notes.append("possible leakage: names, descriptions and kinds of dishes can give the category away")
+    words = [f for f in features if not _numeric_feature(df, f)]
+    if words:
+        found = leakage_determinism(df, words, target).where("near_deterministic").select("feature").collect()  # features only
+        notes += [f"possible leakage: {r['feature']} nearly determines {target}" for r in sorted(found)]
+    return notes
+
+
 def _fit(df: DataFrame, keys: list[str], result: Training) -> None:
     regression = result.task == "regression"
     actual = number(df, result.target) if regression else col(result.target).cast("string")
@@ -188,7 +226,7 @@ def _fit(df: DataFrame, keys: list[str], result: Training) -> None:
     train, test = hash_split(data, 75, keys or None) if regression else stratified_split(data, "_actual", 75, keys or None)
     common = _common_texts(train, result.features)  # of training rows only
     train, test = (side.fillna(common) if common else side for side in (train, test))
-    prepared = Pipeline(stages=_preprocessing(df, result.features)).fit(train)
+    prepared = Pipeline(stages=_preprocessing(df, result.features, train)).fit(train)
     held = [_kept(prepared.transform(side)) for side in (train, test)]
     try:
         result.train_rows, result.test_rows = (side.count() for side in held)
@@ -286,7 +324,7 @@ def local_contributions(df: DataFrame, target: str, features: list[str], keys: l
                      features, ["_actual", *[k for k in keys if k not in features]])
     common = _common_texts(data, features)
     data = data.fillna(common) if common else data
-    prepared = Pipeline(stages=_preprocessing(df, features)).fit(data)
+    prepared = Pipeline(stages=_preprocessing(df, features, data)).fit(data)
     ready = prepared.transform(data)
     model = _ridge(ready, "_actual").fit(ready)
     names = feature_names(prepared, df, features)
@@ -359,6 +397,26 @@ def batch_table(df: DataFrame, trained: dict[str, Training]) -> DataFrame:
     return local_frame(df.sparkSession, rows, "target string, task string, model string, metric string, value double")
 
 
+def linear_targets(df: DataFrame, targets: list[str], features: list[str], alpha: float = 0.0) -> DataFrame:
+    """(target, feature, coefficient, r2) of a straight line for each target, over complete rows; the feature
+    `intercept` has the constant. All targets share the co-moments of one scan; the equations have one row per
+    feature. `alpha` is a ridge penalty on standardized features."""
+    names = [*features, *targets]
+    found = co_moments(df.select(*(number(df, n).alias(n) for n in names)).dropna(), names)
+    f = len(features)
+    inner, n = found.product[:f, :f], max(1.0, float(found.n[0, 0]))
+    spread = np.diag(inner)
+    rows = []
+    for i, target in enumerate(targets, f):
+        weights = np.linalg.lstsq(inner + alpha * np.diag(spread) / n, found.product[:f, i], rcond=None)[0]
+        whole = found.product[i, i]
+        left = whole - 2 * weights @ found.product[:f, i] + weights @ inner @ weights
+        r2 = None if whole <= 0 else half_up_value(1 - left / whole, 6)
+        constant = found.mean[i, i] - weights @ np.diag(found.mean)[:f]
+        rows += [(target, name, half_up_value(float(w), 6), r2) for name, w in zip([*features, "intercept"], [*weights, constant])]
+    return local_frame(df.sparkSession, rows, "target string, feature string, coefficient double, r2 double")
+
+
 def segments(df: DataFrame, columns: list[str] | None = None, k: int | None = None) -> DataFrame:
     """K-means profiles on standardized numbers: size and mean of every column per segment.
 

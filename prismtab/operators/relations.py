@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from prismtab.functions.coerce import number, numeric_columns
 from prismtab.functions.rounding import half_up
+from prismtab.operators.moments import co_moments
 from prismtab.operators.profile import local_frame
 
 PAIRS = "column_a string, column_b string, correlation double"
+#: Up to this many columns one aggregate holds the moments of all pairs; beyond, blocks of rows are multiplied.
+IN_ONE_AGGREGATE = 12
 
 
 def _pearson(a: Column, b: Column) -> Column:
@@ -22,11 +25,15 @@ def _pearson(a: Column, b: Column) -> Column:
 def _pairs(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """Pearson correlation of every column pair over rows where both are filled.
 
-    All pairs come from one aggregate: each task sends one row of moments, no data is shuffled.
+    All pairs come from one scan: each task sends its moments, no data is shuffled.
     """
     names = numeric_columns(df) if columns is None else columns
     if len(names) < 2:
         return local_frame(df.sparkSession, [], PAIRS)
+    if len(names) > IN_ONE_AGGREGATE:
+        found = co_moments(df, names).correlation()
+        rows = [(names[a], names[b], None if found[a, b] != found[a, b] else float(found[a, b])) for a, b in combinations(range(len(names)), 2)]
+        return local_frame(df.sparkSession, rows, PAIRS)
     values = df.select(*[number(df, name).alias(f"c{i}") for i, name in enumerate(names)])
     pairs = list(combinations(range(len(names)), 2))
     row = values.agg(*[_pearson(F.col(f"c{a}"), F.col(f"c{b}")).alias(f"r{a}_{b}") for a, b in pairs])

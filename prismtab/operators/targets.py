@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from prismtab.functions.coerce import col
 from prismtab.functions.names import ascii_snake, closeness
 from prismtab.functions.rounding import half_up_value
 from prismtab.operators.profile import ColumnStats, column_stats, local_frame
@@ -11,6 +13,33 @@ from prismtab.operators.profile import ColumnStats, column_stats, local_frame
 REGRESSION_HINTS = ("sales", "revenue", "amount", "profit", "price", "total", "value", "income", "cost")
 CLASSIFICATION_HINTS = (
     "churn", "status", "class", "category", "label", "target", "outcome", "approved", "converted")
+MOST_VALUES = 50
+# The columns that stand for a metric, the first one present is the target, and its task.
+METRIC_TARGETS = {
+    "profit": (("profit", "total_profit", "net_profit"), "regression"),
+    "quantity": (("quantity", "total_quantity"), "regression"),
+    "category": (("category", "subcategory"), "classification"),
+    "revenue": (("total_sales", "revenue", "sales", "net_sales"), "regression"),
+}
+
+
+def target_for_metric(columns: list[str], metric: str | None, question: str = "") -> tuple[str | None, str]:
+    """(column, task) to predict for a metric. A question about categories asks for the category, unless the metric
+    is profit or quantity; every other metric is revenue. None without such a column."""
+    asked = metric if metric in ("profit", "quantity") else "category" if "category" in question.lower() else "revenue"
+    names, task = METRIC_TARGETS[asked]
+    present = {name.lower(): name for name in reversed(columns)}
+    return next((present[name] for name in names if name in present), None), task
+
+
+def metric_targets(df: DataFrame, questions: dict[str, str | None]) -> DataFrame:
+    """(question, target_column, task_type, filled_rows) for questions, each with the metric it is about."""
+    found = [(question, *target_for_metric(df.columns, metric, question)) for question, metric in questions.items()]
+    used = sorted({target for _, target, _ in found if target})
+    counts = df.agg(*(F.count(col(c)).alias(f"n{i}") for i, c in enumerate(used))).first() if used else ()
+    filled = dict(zip(used, counts))
+    return local_frame(df.sparkSession, [(q, t, task, filled.get(t, 0)) for q, t, task in found],
+                       "question string, target_column string, task_type string, filled_rows bigint")
 
 
 def name_fit(name: str, hints: tuple[str, ...]) -> float:
@@ -90,8 +119,8 @@ def _flat(name: str) -> str:
     return name.lower().replace("_", "")
 
 
-def exclusion(stats: ColumnStats, target: str, ids_by_name: bool = False) -> str | None:
-    """Why a column cannot be a feature for the target; None when it can."""
+def exclusion(stats: ColumnStats, target: str, ids_by_name: bool = False, most_values: int = MOST_VALUES) -> str | None:
+    """Why a column cannot be a feature for the target; None when it can. A text column may have ``most_values`` values."""
     wanted, name = _flat(target), _flat(stats.name)
     identifier = stats.name == "id" or stats.name.endswith("_id") if ids_by_name else stats.identifier_like
     reasons = [
@@ -99,15 +128,15 @@ def exclusion(stats: ColumnStats, target: str, ids_by_name: bool = False) -> str
         ("constant", stats.distinct <= 1),
         ("identifier", identifier),
         ("leakage", len(wanted) > 3 and (wanted in name or name in wanted)),
-        ("high_cardinality", stats.kind not in ("number", "bool") and stats.distinct > 50),
+        ("high_cardinality", stats.kind not in ("number", "bool") and stats.distinct > most_values),
     ]
     return next((reason for reason, holds in reasons if holds), None)
 
 
-def safe_features(df: DataFrame, target: str, stats: list[ColumnStats] | None = None) -> DataFrame:
+def safe_features(df: DataFrame, target: str, stats: list[ColumnStats] | None = None, most_values: int = MOST_VALUES) -> DataFrame:
     """Every column with whether it may be a feature, and if not, why."""
     rows = []
     for s in column_stats(df) if stats is None else stats:
-        reason = exclusion(s, target)
+        reason = exclusion(s, target, most_values=most_values)
         rows.append((s.name, reason is None, reason or ""))
     return local_frame(df.sparkSession, rows, "column_name string, is_feature boolean, reason string")

@@ -751,3 +751,24 @@ add("segments_ranks", "order_lines", """WITH v AS (SELECT gross_sales AS v, retu
     c AS (SELECT *, coalesce(sum(b) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
     SELECT CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b, CAST(sum(a * (below + b / 2.0)) AS DOUBLE) AS statistic,
     sum(power(CAST(a + b AS DOUBLE), 3) - (a + b)) AS tie_term FROM c""")
+_RETAIL = """retail AS (SELECT l_quantity AS quantity, p_retailprice AS unit_price, p_type AS category,
+    CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS DOUBLE) AS total_sales FROM lineitem JOIN part ON l_partkey = p_partkey),
+    wide AS (SELECT *, total_sales - unit_price * quantity AS profit FROM retail)"""
+
+
+def _line_of(target: str) -> str:
+    """Normal equations of two features, solved by determinants."""
+    return f"""SELECT '{target}' AS target, var_pop(quantity) AS a, covar_pop(quantity, unit_price) AS b, var_pop(unit_price) AS c, covar_pop(quantity, {target}) AS x,
+        covar_pop(unit_price, {target}) AS y, var_pop({target}) AS v, avg({target}) AS m, avg(quantity) AS mq, avg(unit_price) AS mu FROM wide"""
+
+
+add("linear_targets", "", f"""WITH {_RETAIL}, s AS ({union([_line_of('total_sales'), _line_of('profit')])}),
+    w AS (SELECT *, (x * c - y * b) / (a * c - b * b) AS p, (y * a - x * b) / (a * c - b * b) AS q FROM s),
+    o AS (SELECT *, (p * x + q * y) / v AS r FROM w)
+    SELECT target, 'quantity' AS feature, {half_up('p', 6)} AS coefficient, {half_up('r', 6)} AS r2 FROM o
+    UNION ALL SELECT target, 'unit_price', {half_up('q', 6)}, {half_up('r', 6)} FROM o
+    UNION ALL SELECT target, 'intercept', {half_up('m - p * mq - q * mu', 6)}, {half_up('r', 6)} FROM o""")
+add("metric_targets", "", f"""WITH {_RETAIL}, n AS (SELECT count(profit) AS p, count(quantity) AS q, count(category) AS c, count(total_sales) AS t FROM wide)
+    SELECT 'how will profit change' AS question, 'profit' AS target_column, 'regression' AS task_type, p AS filled_rows FROM n
+    UNION ALL SELECT 'units next month', 'quantity', 'regression', q FROM n UNION ALL SELECT 'which category is this', 'category', 'classification', c FROM n
+    UNION ALL SELECT 'sales next month', 'total_sales', 'regression', t FROM n UNION ALL SELECT 'what next', 'total_sales', 'regression', t FROM n""")

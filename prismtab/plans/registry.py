@@ -11,7 +11,7 @@ from prismtab.functions.vocabulary import (
     CREDIT_VALUES, EXPENSE_VALUES, LEDGER_CREDIT, LEDGER_EXPENSE, LEDGER_SALES, REFUND_VALUES, SALE_VALUES,
 )
 from prismtab.operators import (
-    catalog, comparison, customers, evaluation, filters, finance, leads, ledger, metrics, modeling,
+    catalog, comparison, customers, evaluation, filters, finance, importance, leads, ledger, metrics, modeling,
     outliers, profile, quality, ranking, relations, roles, targets, trends,
 )
 from prismtab.operators.ledger import LedgerColumns
@@ -382,6 +382,18 @@ def _feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.feature_importance(df, modeling.train_model(df, "total_sales", "regression"))
 
 
+@query("permutation_importance")
+def _permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = views.retail(spark, sf_dir).drop("profit", "stockout_flag")
+    trained = modeling.train_model(df, "total_sales", "regression", LINE_KEYS)
+    return importance.permutation_importance(trained, LINE_KEYS)
+
+
+on(views.retail, "linear_targets", modeling.linear_targets, ["total_sales", "profit"], ["quantity", "unit_price"])
+on(views.retail, "metric_targets", targets.metric_targets, {
+    "how will profit change": "profit", "units next month": "quantity", "which category is this": None, "sales next month": "revenue", "what next": "orders"})
+
+
 @query("ml_batch_targets")
 def _ml_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = views.retail(spark, sf_dir)

@@ -44,7 +44,7 @@ def brute_divergence(rows, least, top):
 
 @pytest.fixture
 def small_tasks(monkeypatch):
-    for name, value in (("BLOCK_TERMS", 40), ("TILE_SOURCES", 2), ("TABLE_TERMS", 300), ("PIECE_BYTES", 64)):
+    for name, value in (("BLOCK_TERMS", 40), ("TILE_SOURCES", 2), ("PIECE_BYTES", 64)):  # of the driver
         monkeypatch.setattr(divergence, name, value)
 
 
@@ -65,6 +65,13 @@ def test_divergence_edges(spark):
     assert divergence.divergence(docs.limit(0)).count() == 0
 
 
+def test_terms_of_long_texts(small_tasks):
+    """Pieces end between terms, also where a term is longer than a piece."""
+    text = "Ab é" + "x" * 300 + " 1 " + "word Éa " * 90 + "[end"
+    want = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)})))
+    assert {t.decode(): n for t, n in divergence.terms_of(text.encode()).items()} == want
+
+
 def test_galloping_search():
     random = np.random.default_rng(5)
     for short, long in ((0, 9), (3, 4000), (900, 1000), (700, 60000), (1, 1)):

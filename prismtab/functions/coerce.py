@@ -14,8 +14,8 @@ NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 DATE_TEXT = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}"
 RANGE_TEXT = r"(?i)\d+\s*[-–]\s*\d+|\$|m\b|million|k\b|employees?"
 TIME_PART = "[ H:mm[:ss]]"
-DATE_FORMATS = [f"{day}{TIME_PART}" for day in (
-    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "M/d/yy", "d/M/yy")]
+MONTH_FIRST, DAY_FIRST = (
+    [f"{day}{TIME_PART}" for day in ("yyyy/M/d", *days)] for days in (("M/d/yyyy", "M-d-yyyy", "M/d/yy", "M-d-yy"), ("d/M/yyyy", "d-M-yyyy", "d/M/yy", "d-M-yy")))
 
 # Exact sums need decimals: their result does not depend on the order of tasks. 18 digits keep the
 # compact form; amounts of 10^14 and more do not fit and are kept as doubles (functions.amounts).
@@ -123,20 +123,28 @@ def currency_number(value: Column) -> Column:
 
 
 def timestamp(df: DataFrame, name: str) -> Column:
-    """The column as a timestamp; text no known format fits becomes null."""
+    """The column as a timestamp; text no known format fits becomes null. All text of a column is read in one
+    order of day and month: the one in which more of its values are dates, month first if both fit. The vote
+    is a subquery over the column, counted within each task."""
     kind, value = dtype(df, name), col(name)
     if is_date(kind):
         return value.cast("timestamp")
     if is_text(kind):
-        return text_timestamp(value)
+        days, months = (F.count(ordered_timestamp(F.col("_text"), order)) for order in (DAY_FIRST, MONTH_FIRST))
+        day_first = df.select(value.alias("_text")).agg((days > months).alias("day_first")).scalar()
+        return F.when(day_first, ordered_timestamp(value, DAY_FIRST)).otherwise(ordered_timestamp(value, MONTH_FIRST))
     return F.lit(None).cast("timestamp")
 
 
-def text_timestamp(value: Column) -> Column:
+def ordered_timestamp(value: Column, order: list[str]) -> Column:
+    """Text as a timestamp, day and month in the given order; ISO dates need none. Years of two digits lie
+    between 1969 and 2068."""
     text = F.trim(value)
-    parsed = [text.try_cast("timestamp")]
-    parsed += [F.try_to_timestamp(text, F.lit(pattern)) for pattern in DATE_FORMATS]
-    return F.when(value.rlike(DATE_TEXT), F.coalesce(*parsed))
+    full, short = ([p for p in order if ("yyyy" in p) is whole] for whole in (True, False))
+    parsed = F.coalesce(text.try_cast("timestamp"), *(F.try_to_timestamp(text, F.lit(pattern)) for pattern in full))
+    late = F.coalesce(*(F.try_to_timestamp(text, F.lit(pattern)) for pattern in short))
+    century = F.when(F.year(late) >= 2069, late - F.make_ym_interval(F.lit(100))).otherwise(late)
+    return F.when(value.rlike(DATE_TEXT), F.coalesce(parsed, century))
 
 
 def is_blank(df: DataFrame, name: str) -> Column:

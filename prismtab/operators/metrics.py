@@ -293,19 +293,32 @@ def revenue_share(df: DataFrame, dimension: str, metric: Metric, label_name: str
         .alias("share_pct"))
 
 
+# Fixed labels.
+TOP_CATEGORY, TOP_REGION = "Top category by revenue", "Top region by revenue"
+
+
 def total_sales_overview(df: DataFrame, category: str, region: str, revenue: Metric) -> DataFrame:
-    """The leading category and region. Both rankings come from one aggregate over grouping sets."""
+    """The leading category and region of a table that holds both. Both rankings come from one aggregate."""
     sides = df.select(
         label(df, category).alias("_category"), label(df, region).alias("_region"),
         *metric_amount(df, revenue).named("_value"),
     ).groupBy("_category", "_region").agg(*Amount.of("_value").sum().named("_value"))
-    total = Amount.of("_value")
     pairs = F.array(
-        F.struct(F.lit("Top category by revenue").alias("metric"), F.col("_category").alias("value"), "_value", "_value_rest"),
-        F.struct(F.lit("Top region by revenue").alias("metric"), F.col("_region").alias("value"), "_value", "_value_rest"),
+        F.struct(F.lit(TOP_CATEGORY).alias("metric"), F.col("_category").alias("value"), "_value", "_value_rest"),
+        F.struct(F.lit(TOP_REGION).alias("metric"), F.col("_region").alias("value"), "_value", "_value_rest"),
     )
+    return _leaders(sides.select(F.inline(pairs)))
+
+
+def leading_values(sums: DataFrame, revenue: Metric) -> DataFrame:
+    """The same from (metric, value) sums, as a star gives them without a wide table."""
+    return _leaders(sums.select("metric", label(sums, "value").alias("value"), *metric_amount(sums, revenue).named("_value")))
+
+
+def _leaders(sums: DataFrame) -> DataFrame:
+    total = Amount.of("_value")
     ranked = (
-        sides.select(F.inline(pairs)).groupBy("metric", "value").agg(*total.sum().named("_value"))
+        sums.groupBy("metric", "value").agg(*total.sum().named("_value"))
         .withColumn("_rank", F.row_number().over(
             Window.partitionBy("metric").orderBy(*total.largest_first(), F.asc("value"))))
     )

@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from prismtab.functions import vocabulary as words
 from prismtab.functions.coerce import (
-    DATE_TEXT, RANGE_TEXT, col, is_date, is_null, is_number, is_text, number, numeric_columns,
-    numeric_text, text_columns, text_timestamp, upper_trim,
+    DATE_TEXT, DAY_FIRST, MONTH_FIRST, RANGE_TEXT, col, is_date, is_null, is_number, is_text, number, numeric_columns,
+    numeric_text, ordered_timestamp, text_columns, upper_trim,
 )
 from prismtab.functions.names import ascii_snake
 from prismtab.functions.rounding import half_up, half_up_value
@@ -48,6 +48,8 @@ class ColumnStats:
     word_groups: frozenset[str]
     distinct: int = 0
     distinct_filled: int = 0  # without blank text
+    month_first: int = 0  # values that are dates with the month first, and with the day first
+    day_first: int = 0
 
     @property
     def filled(self) -> int:
@@ -130,21 +132,23 @@ def _text_tests(value: Column) -> dict[str, Column]:
         "blanks": F.trim(value) == "",
         "numeric_values": numeric_text(value),
         "date_shaped": value.rlike(DATE_TEXT),
-        "date_values": text_timestamp(value).isNotNull(),
+        "month_first": ordered_timestamp(value, MONTH_FIRST).isNotNull(),
+        "day_first": ordered_timestamp(value, DAY_FIRST).isNotNull(),
         "range_shaped": value.rlike(RANGE_TEXT),
     } | {f"has_{group}": upper.isin(*listed) for group, listed in WORD_GROUPS.items()}
 
 
-TESTS = ["blanks", "numeric_values", "date_shaped", "date_values", "range_shaped",
+TESTS = ["blanks", "numeric_values", "date_shaped", "month_first", "day_first", "range_shaped",
          *(f"has_{group}" for group in WORD_GROUPS)]
 
 
 def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False) -> list[ColumnStats]:
     """Statistics of every column from one pass.
 
-    With exact distinct counts the (column, value) pairs are grouped first, so that each test runs
-    once per distinct value. Without distinct counts, or with ``approximate`` ones from a sketch,
-    the pairs are tested as they come and only one row per column and task is shuffled."""
+    With exact distinct counts the (column, value) pairs of text are grouped first, so that each test
+    runs once per distinct value; values of other types are counted by 64 bits that tell them apart and
+    never become text. Without distinct counts, or with ``approximate`` ones from a sketch, the pairs
+    are tested as they come and only one row per column and task is shuffled."""
     if not df.columns:
         return []
     counted = _value_tests(df, exact=distinct and not approximate, sketch=distinct and approximate)
@@ -154,29 +158,62 @@ def column_stats(df: DataFrame, distinct: bool = True, approximate: bool = False
         filled = counts["rows"] - counts["nulls"]
         if kind in ("number", "bool"):
             counts["numeric_values"] = filled
-        if kind == "date":
-            counts["date_values"] = filled
+        # One order of day and month for the whole column: the one that fits more values.
+        counts["date_values"] = filled if kind == "date" else max(counts["month_first"], counts["day_first"])
         found.append(ColumnStats(
             field.name, field.dataType.simpleString(), kind, counts["rows"], counts["nulls"],
             counts["nulls"] + counts["blanks"],
             *(counts[t] for t in ("numeric_values", "date_shaped", "date_values", "range_shaped")),
             word_groups=frozenset(g for g in WORD_GROUPS if counts[f"has_{g}"]),
             distinct=counts.get("distinct", 0), distinct_filled=counts.get("distinct_filled", 0),
+            month_first=counts["month_first"], day_first=counts["day_first"],
         ))
     return found
 
 
 def _value_tests(df: DataFrame, exact: bool, sketch: bool) -> dict[str, dict[str, int]]:
-    """Counts by column name. Without exact distinct counts only text goes through (column, value) rows."""
+    """Counts by column name. Only text, and types without a short form, go through (column, value) rows."""
     texts = text_columns(df)
-    paired = df.columns if exact else texts
+    short = [f.name for f in df.schema.fields if _in_eight_bytes(f.dataType)]
+    paired = [name for name in df.columns if name not in short] if exact else texts
     found = _plain_counts(df, [name for name in df.columns if name not in paired], sketch)
+    if exact:
+        for name, distinct in _short_distinct(df, short).items():
+            found[name] |= {"distinct": distinct, "distinct_filled": distinct}
     if paired:
         found |= _paired_counts(df, paired, texts, exact, sketch)
     keys = ["rows", "nulls", "distinct", "distinct_filled", *TESTS]
     return {name: {key: found.get(name, {}).get(key) or 0 for key in keys} for name in df.columns}
 
 
+def _in_eight_bytes(data_type: T.DataType) -> bool:
+    """Types whose values have at most eight bytes, which xxhash64 maps one to one."""
+    if isinstance(data_type, T.DecimalType):
+        return data_type.precision <= 18
+    return isinstance(data_type, (T.IntegralType, T.FloatType, T.DoubleType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _short_distinct(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Exact distinct counts: (column number, 64 bits) pairs, grouped within each task before the shuffle."""
+    if not names:
+        return {}
+    cells = F.array(*[F.when(~is_null(df, name), F.struct(F.lit(i).alias("i"), F.xxhash64(col(name)).alias("bits"))) for i, name in enumerate(names)])
+    pairs = df.select(F.inline(cells)).where(F.col("i").isNotNull()).distinct()
+    counts = {r["i"]: r["count"] for r in pairs.groupBy("i").count().collect()}  # one row per column
+    return {name: counts.get(i, 0) for i, name in enumerate(names)}
+
+
+def date_orders(df: DataFrame, stats: list[ColumnStats] | None = None) -> DataFrame:
+    """Text columns with dates: how many values are dates in each order, and the order the column is read in;
+    ``either`` names a column that both orders fit, which is read month first."""
+    rows = []
+    for s in stats or column_stats(df, distinct=False):
+        if s.kind == "text" and s.date_values:
+            order = "either" if s.month_first == s.day_first else "day first" if s.day_first > s.month_first else "month first"
+            rows.append((s.name, s.month_first, s.day_first, order))
+    return local_frame(df.sparkSession, rows, "column_name string, month_first bigint, day_first bigint, date_order string")
+
+
 def _plain_counts(df: DataFrame, names: list[str], sketch: bool) -> dict[str, dict[str, int]]:
     if not names:
         return {}

@@ -772,3 +772,17 @@ add("metric_targets", "", f"""WITH {_RETAIL}, n AS (SELECT count(profit) AS p, c
     SELECT 'how will profit change' AS question, 'profit' AS target_column, 'regression' AS task_type, p AS filled_rows FROM n
     UNION ALL SELECT 'units next month', 'quantity', 'regression', q FROM n UNION ALL SELECT 'which category is this', 'category', 'classification', c FROM n
     UNION ALL SELECT 'sales next month', 'total_sales', 'regression', t FROM n UNION ALL SELECT 'what next', 'total_sales', 'regression', t FROM n""")
+_DATES = """texts AS (SELECT o_orderkey AS order_id, strftime(o_orderdate, '%-d/%-m/%Y') AS day_first, strftime(o_orderdate, '%-m-%-d-%Y') AS month_first,
+    strftime(o_orderdate, '%-m/%-m/%Y') AS alike, CASE WHEN o_orderkey % 10 > 0 THEN strftime(o_orderdate, '%d/%m/%y %H:%M') END AS short FROM orders)"""
+
+
+def _votes(column: str, month: str, day: str) -> str:
+    return f"""SELECT '{column}' AS column_name, count(try_strptime({column}, '{month}')) AS month_first, count(try_strptime({column}, '{day}')) AS day_first FROM texts"""
+
+
+add("date_orders", "", f"""WITH {_DATES}, v AS ({union([_votes('day_first', '%m/%d/%Y', '%d/%m/%Y'), _votes('month_first', '%m-%d-%Y', '%d-%m-%Y'),
+    _votes('alike', '%m/%d/%Y', '%d/%m/%Y'), _votes('short', '%m/%d/%y %H:%M', '%d/%m/%y %H:%M')])})
+    SELECT *, CASE WHEN month_first = day_first THEN 'either' WHEN day_first > month_first THEN 'day first' ELSE 'month first' END AS date_order FROM v""")
+add("written_dates", "", """SELECT o_orderkey AS order_id, CAST(o_orderdate AS TIMESTAMP) AS day_first, CAST(o_orderdate AS TIMESTAMP) AS month_first,
+    CAST(make_date(year(o_orderdate), month(o_orderdate), month(o_orderdate)) AS TIMESTAMP) AS alike,
+    CASE WHEN o_orderkey % 10 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS short FROM orders""")

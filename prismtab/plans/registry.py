@@ -79,7 +79,8 @@ on(views.ledger, "expense_by_type", metrics.expense_by_group, EXPENSE, "category
 on(views.ledger, "expense_total", metrics.expense_by_group, EXPENSE, None)
 on(sales("product", "order_date"), "top_product_monthly", metrics.top_product_monthly, "order_date", "product", REVENUE)
 on(sales("product", "order_date"), "product_growth", metrics.product_growth, "order_date", "product", REVENUE)
-on(sales("category", "region"), "total_sales_overview", metrics.total_sales_overview, "category", "region", REVENUE)
+on(partial(views.star_sums, metrics={"category": metrics.TOP_CATEGORY, "region": metrics.TOP_REGION}),
+   "total_sales_overview", metrics.leading_values, REVENUE)
 on(sales("category"), "revenue_share", metrics.revenue_share, "category", REVENUE, "category")
 
 
@@ -334,6 +335,11 @@ def _report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("Item/Customer").alias("item"), F.col("Amount").alias("amount"))
 
 
+WRITTEN_DATES = ["day_first", "month_first", "alike", "short"]
+on(views.written_dates, "date_orders", profile.date_orders)
+on(views.written_dates, "written_dates", filters.coerce_columns, dates=WRITTEN_DATES)
+
+
 # --- free-form tools ---------------------------------------------------------------------------
 
 on(views.finance, "time_series_mean", comparison.time_series, "transaction_date", "income", "month", "mean")

@@ -87,6 +87,42 @@ def sales_totals(
     return facts.select(*dimensions, *kept, "rows")
 
 
+def star_sums(spark: SparkSession, sf_dir: str, metrics: dict[str, str]) -> DataFrame:
+    """(metric, value, revenue): sales by part and by place from one pass over the lines.
+
+    Grouping sets add the lines up for each foreign key; each set meets its own dimension afterwards. The rows of the
+    other set pass a join under a key of their own that no row has, so they do not meet in one task.
+    `metrics` names the metric of the columns `category` and `region`."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", line_revenue().alias("revenue"))
+    sums = lines.groupingSets([["l_partkey"], ["l_orderkey"]], "l_partkey", "l_orderkey").agg(
+        F.sum("revenue").alias("revenue"), F.grouping("l_partkey").alias("_by_order"))
+    by_part = F.col("_by_order") == 0
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("category"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    places = customer_dimension(spark, sf_dir, ["region"])
+
+    def own_key(key: str, spread: str) -> Column:
+        return F.coalesce(F.col(key), -1 - F.xxhash64(spread).bitwiseAND(F.lit((1 << 62) - 1)))
+
+    met = sums.join(parts, own_key("l_partkey", "l_orderkey") == F.col("p_partkey"), "left")
+    met = met.join(orders, own_key("l_orderkey", "l_partkey") == F.col("o_orderkey"), "left")
+    met = met.join(places, own_key("o_custkey", "l_partkey") == F.col("c_custkey"), "left")
+    found = F.when(by_part, F.col("p_partkey").isNotNull()).otherwise(F.col("c_custkey").isNotNull())
+    return met.where(found).select(
+        F.when(by_part, metrics["category"]).otherwise(metrics["region"]).alias("metric"),
+        F.when(by_part, F.col("category")).otherwise(F.col("region")).alias("value"), "revenue")
+
+
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as text: day first, month first, and both readings the same."""
+    day = F.col("o_orderdate")
+    same = F.concat_ws("/", F.month(day), F.month(day), F.year(day))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.date_format(day, "d/M/yyyy").alias("day_first"),
+        F.date_format(day, "M-d-yyyy").alias("month_first"), same.alias("alike"),
+        F.when(F.col("o_orderkey") % 10 > 0, F.date_format(day, "dd/MM/yy HH:mm")).alias("short"))
+
+
 def _sum_up(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in ("revenue", "quantity", "rows")])
 

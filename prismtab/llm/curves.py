@@ -5,10 +5,12 @@ them by their place on a Hilbert curve. Spark sorts all curves by ranges and num
 query reads, on every curve, the window of candidates around its own place; the windows are merged
 and reranked by the true distance in double precision.
 
-The width of the window is measured, not guessed: for a bounded sample of queries the true
-neighbours are found by scanning everything, and the window is made as wide as TARGET of them need on
-their best curve. Places are dealt into blocks of BLOCK candidates and query lists are split, so
-every task holds bounded data whatever the vectors look like.
+The width of the window and the number of curves are measured, not guessed: for a bounded sample of queries
+the true neighbours are found by scanning everything. For one curve, two, and so on, the window must be as
+wide as TARGET of them need on their best curve; the number that reads the fewest candidates is used. Vectors
+with structure need narrow windows on several curves; without any, one wide window is the best there is. Places are dealt into blocks of BLOCK candidates; a window that crosses a border reads
+its part of each block, and within a block only the places of the window are measured. Query lists are
+split, so every task holds bounded data whatever the vectors look like.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than the most frequent one. Equal vectors are one entry with their k + 1 smallest ids.
@@ -28,7 +30,7 @@ from prismtab.llm.hamming import with_smallest_ids
 
 CURVES, DIMENSIONS, BITS = 6, 6, 10
 BLOCK, QUERIES = 4096, 2048
-SAMPLE, TARGET, MARGIN = 64, 0.97, 1.1
+SAMPLE, TARGET, MARGIN = 128, 0.96, 1.1
 SEED = 5
 
 
@@ -118,14 +120,13 @@ def curve_places(entries: DataFrame, size: int) -> DataFrame:
     return stored(placed.select("node", "curve", (F.col("_all") - F.col("curve") * F.lit(held)).alias("place")))
 
 
-def nearest_in(block: np.ndarray, first: np.ndarray, queries: np.ndarray, most: int):
-    """For each query the rows of the block that are nearest, exactly measured: (rows, distances)."""
-    rough = (block * block).sum(axis=1) - 2 * queries @ block.T
-    few = min(len(block), most + 8)
-    chosen = np.argpartition(rough, few - 1, axis=1)[:, :few] if few < len(block) else np.tile(np.arange(few), (len(queries), 1))
-    exact = np.sqrt(((block[chosen] - queries[:, None, :]) ** 2).sum(axis=2))
-    order = np.lexsort((first[chosen], exact))[:, :most]
-    return np.take_along_axis(chosen, order, axis=1), np.take_along_axis(exact, order, axis=1)
+def nearest_in(points: np.ndarray, first: np.ndarray, query: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the points that are nearest to one query, exactly measured, ties by `first`: (rows, distances)."""
+    apart = points - query
+    far = np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    near = np.flatnonzero(far <= np.partition(far, most - 1)[most - 1]) if len(far) > most else np.arange(len(far))
+    chosen = near[np.lexsort((first[near], far[near]))][:most]
+    return chosen, far[chosen]
 
 
 def scanned(entries: DataFrame, sample: pd.DataFrame, many: int) -> DataFrame:
@@ -137,29 +138,36 @@ def scanned(entries: DataFrame, sample: pd.DataFrame, many: int) -> DataFrame:
             x, nodes, first = matrix(part.column(1)), part.column(0).to_numpy(), part.column(2).to_numpy()
             if not len(x):
                 continue
-            rows, far = nearest_in(x, first, queries, many)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(names, rows.shape[1])), pa.array(nodes[rows].ravel()), pa.array(far.ravel())], names=["query", "node", "far"])
+            for name, query in zip(names, queries):
+                rows, far = nearest_in(x, first, query, many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), name)), pa.array(nodes[rows]), pa.array(far)], names=["query", "node", "far"])
 
     found = entries.select("node", "x", "first_id").mapInArrow(batches, "query long, node long, far double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("far", "node"))
     return found.where("query <> node").withColumn("_rank", rank).where(F.col("_rank") < many).select("query", "node")
 
 
-def window_width(entries: DataFrame, asked: DataFrame, places: DataFrame, many: int) -> int:
-    """Places on each side of a query that hold TARGET of the true neighbours of the sampled queries."""
+def windows_needed(entries: DataFrame, asked: DataFrame, places: DataFrame, many: int, held: int) -> tuple[int, int]:
+    """(curves, places on each side of a query) that hold TARGET of the true neighbours of the sampled queries and
+    read the fewest candidates."""
     sample = asked.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
     if sample.empty:
-        return 1
+        return 1, 1
     pairs = stored(scanned(entries, sample, many))
     of_query, of_node = (places.select(F.col("node").alias(n), "curve", F.col("place").alias(p)) for n, p in (("query", "p"), ("node", "q")))
-    gaps = (pairs.join(of_query, "query").join(of_node, ["node", "curve"]).groupBy("query", "node")
-            .agg(F.min(F.abs(F.col("p") - F.col("q"))).alias("gap")).toPandas()["gap"])
-    return int(np.ceil(np.quantile(gaps, TARGET) * MARGIN)) + 1 if len(gaps) else 1
-
-
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows `vectors` for the rows `queries`, which are among them."""
+    gaps = (pairs.join(of_query, "query").join(of_node, ["node", "curve"])
+            .select("query", "node", "curve", F.abs(F.col("p") - F.col("q")).alias("gap")).toPandas())  # a row per sampled pair and curve
+    if gaps.empty:
+        return 1, 1
+    best = gaps.pivot_table(index=["query", "node"], columns="curve", values="gap").sort_index(axis=1).cummin(axis=1)
+    widths = [int(np.ceil(np.quantile(best.iloc[:, c], TARGET) * MARGIN)) + 1 for c in range(best.shape[1])]
+    return min(((c + 1, w) for c, w in enumerate(widths)), key=lambda cw: (cw[0] * min(2 * cw[1] + 1, held), cw[0]))
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
+               block: int = BLOCK, report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the rows `vectors` for the rows `queries`, which are among them. `report`
+    receives the curves used, the half-width of the window and the number of different vectors."""
     small_batches(vectors.sparkSession)
     many = k + 1
     entries = entries_of(vectors, vec_id, embedding, many)
@@ -172,30 +180,33 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     rows = stored(rows.join(entries.select("node", "x"), "x").select("query_id", "node"))
     asked = stored(rows.select("node").distinct().join(entries.select("node", "x"), "node"))
     places = curve_places(entries, len(found["x"]))
-    width = window_width(entries, asked, places, many)
     held, many_asked = entries.count(), asked.count()
-    shares = max(1, -(-many_asked * (2 * width + BLOCK) // max(held, 1) // QUERIES))
+    used, width = windows_needed(entries, asked, places, many, held)
+    if report is not None:
+        report |= {"curves": used, "width": width, "vectors": held}
+    places = places.where(F.col("curve") < used)
+    shares = max(1, -(-many_asked * (2 * width + block) // max(held, 1) // QUERIES))
 
-    last = (held - 1) // BLOCK
+    last = (held - 1) // block
     cell = ["curve", "block", "share"]
     windows = (places.join(asked, "node").withColumn("block", F.explode(F.sequence(
-        F.greatest(F.floor((F.col("place") - width) / BLOCK), F.lit(0)).cast("long"),
-        F.least(F.floor((F.col("place") + width) / BLOCK), F.lit(last)).cast("long"))))
-        .withColumn("share", F.pmod(F.xxhash64("node"), F.lit(shares)).cast("int")).select(*cell, "node", "x").toDF(*cell, "node", "x"))
-    blocks = (places.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+        F.greatest(F.floor((F.col("place") - width) / block), F.lit(0)).cast("long"),
+        F.least(F.floor((F.col("place") + width) / block), F.lit(last)).cast("long"))))
+        .withColumn("share", F.pmod(F.xxhash64("node"), F.lit(shares)).cast("int")).select(*cell, "node", "place", "x").toDF(*cell, "node", "place", "x"))
+    blocks = (places.withColumn("block", F.floor(F.col("place") / block).cast("long"))
               .join(entries.select("node", "x", "first_id"), "node")
-              .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(*cell, "node", "first_id", "x"))
-
-    def rerank(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(wanted):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "node": np.empty(0, np.int64), "score": np.empty(0)})
-        points, first, nodes = np.stack(block["x"].to_numpy()), block["first_id"].to_numpy(), block["node"].to_numpy()
-        parts = []
-        for low in range(0, len(wanted), 256):
-            some = wanted.iloc[low:low + 256]
-            at, far = nearest_in(points, first, np.stack(some["x"].to_numpy()), many)
-            parts.append(pd.DataFrame({"query": np.repeat(some["node"].to_numpy(), at.shape[1]), "node": nodes[at].ravel(), "score": far.ravel()}))
-        return pd.concat(parts)
+              .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).select(*cell, "node", "place", "first_id", "x"))
+
+    def rerank(held: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(held) and len(wanted):
+            held = held.sort_values("place")
+            points, first, nodes, place = np.stack(held["x"].to_numpy()), held["first_id"].to_numpy(), held["node"].to_numpy(), held["place"].to_numpy()
+            lows, highs = (np.searchsorted(place, wanted["place"].to_numpy() + by, side) for by, side in ((-width, "left"), (width, "right")))
+            for query, x, low, high in zip(wanted["node"], wanted["x"], lows, highs):
+                at, far = nearest_in(points[low:high], first[low:high], x, many)
+                found.append(pd.DataFrame({"query": query, "node": nodes[low:high][at], "score": far}))
+        return pd.concat(found) if found else pd.DataFrame({"query": np.empty(0, np.int64), "node": np.empty(0, np.int64), "score": np.empty(0)})
 
     merged = blocks.groupBy(*cell).cogroup(windows.groupBy(*cell)).applyInPandas(rerank, "query long, node long, score double")
     merged = merged.groupBy("query", "node").agg(F.min("score").alias("score")).join(entries.select("node", "first_id", "ids"), "node")

@@ -1,14 +1,15 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Every 64-bit code is indexed once for each of four 16-bit segments. In round r a query meets the codes
-whose segment differs from its own in exactly r bits. After the round, every code within distance
-4r + 3 has been verified, so a query is done once its k-th verified distance is within that; the rest
-go on with radius r + 1. A code is verified in the first round and segment that reach it, only there.
+A 64-bit code is cut into segments of about as many bits as the number of codes has, so a segment value
+has few codes. Every code is indexed once under each of its segment values. In round r a query looks up
+all values that differ in exactly r bits from its own, in each segment: an equi-join of the probes with
+the index. After the round, every code within distance m (r + 1) - 1 for m segments has been met, so a
+query is done once its k-th verified distance is within that; the rest go on with radius r + 1. No value
+is looked up twice, and a code is verified only in the first round and segment that meet it.
 
-The index is dealt into cells by segment and the first PREFIX bits of its value; a query visits the
-cells that its radius can reach. Cells above CELL codes are split, and so are query lists, so a hot
-segment value is spread. Equal codes are one entry with their k + 1 smallest ids, so copies of a
-vector never meet each other one by one.
+Equal codes are one entry with their k + 1 smallest ids, so copies of a vector never meet each other one
+by one. A segment value that many codes share is a skewed key of a join of two plain tables, which Spark
+splits. All of it is column expressions.
 
 Vectors that are null, or hold null or non-finite components, take no part. Longer vectors are folded
 onto 64 components by addition. Rows that repeat an id and a code count once. Ties go to the smaller
@@ -16,18 +17,17 @@ id. With fewer than k candidates all are returned; an empty table gives an empty
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import stored
+from prismtab.llm.common import forget, stored
 
-SEGMENTS, SEGMENT_BITS = 4, 16
-PREFIX = 6
-CELL, QUERIES = 32_768, 16_384
-CHUNK = 1 << 20
+CODE_BITS = 64
+LEAST_BITS, MOST_BITS = 8, 22  # of a segment
 LARGEST = 65
 
 
@@ -57,87 +57,86 @@ def with_smallest_ids(rows: DataFrame, key: str, vec_id: str, many: int) -> Data
     return few.groupBy(key).agg(F.min(vec_id).alias("first_id"), F.array_sort(F.collect_set(vec_id)).alias("ids"))
 
 
-def segment(code: str, number: str) -> str:
-    return f"cast(shiftrightunsigned({code}, {SEGMENT_BITS} * {number}) & {(1 << SEGMENT_BITS) - 1} AS int)"
-
-
-def verify_cell(radius: int, most: int):
-    """Checks one cell: its codes against the queries whose segment lies exactly `radius` bits away."""
-    def near(codes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(codes) and len(queries):
-            number = int(queries["segment"].iloc[0])
-            c, first = codes["code"].to_numpy(np.int64).view(np.uint64), codes["first_id"].to_numpy()
-            all_q, bound = queries["query"].to_numpy(np.int64).view(np.uint64), queries["bound"].to_numpy()
-            step = max(1, CHUNK // len(c))
-            for low in range(0, len(all_q), step):
-                q = all_q[low:low + step]
-                apart = q[:, None] ^ c[None, :]
-                by_segment = np.stack([np.bitwise_count(apart >> np.uint64(SEGMENT_BITS * i) & np.uint64(0xFFFF)) for i in range(SEGMENTS)])
-                distance = by_segment.sum(axis=0, dtype=np.int64)
-                own = by_segment[number]
-                first_here = own == radius
-                for i in range(SEGMENTS):
-                    first_here &= by_segment[i] > own if i < number else by_segment[i] >= own
-                first_here &= distance <= bound[low:low + step, None]
-                for row in np.flatnonzero(first_here.any(axis=1)):
-                    at = np.flatnonzero(first_here[row])
-                    at = at[np.lexsort((first[at], distance[row, at]))][:most]
-                    found.append(pd.DataFrame({"query": q[row].view(np.int64), "code": c[at].view(np.int64), "distance": distance[row, at]}))
-        return pd.concat(found) if found else pd.DataFrame({"query": [], "code": [], "distance": []}, dtype="int64")
-
-    return near
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", code: str = "code") -> DataFrame:
-    """(query_id, rank, vec_id, distance) of codes (vec_id, code) for query rows of the same form."""
+def segments_for(codes: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of the segments for a number of codes."""
+    wanted = min(MOST_BITS, max(LEAST_BITS, codes.bit_length()))
+    many = -(-CODE_BITS // wanted)
+    edges = [round(i * CODE_BITS / many) for i in range(many + 1)]
+    return [(low, high - low) for low, high in zip(edges, edges[1:])]
+
+
+def value_of(code: Column, low: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, low).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
+def masks(bits: int, radius: int) -> list[int]:
+    """The numbers of so many bits of which exactly `radius` are set."""
+    return [sum(1 << b for b in chosen) for chosen in combinations(range(bits), radius)]
+
+
+def probes(active: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """(query, bound, segment, value): what each query looks up in a round."""
+    found = [active.select("query", "bound", F.lit(i).alias("segment"), F.explode(F.transform(
+        F.array(*map(F.lit, masks(bits, radius))), lambda m: value_of(F.col("query"), low, bits).bitwiseXOR(m))).alias("value"))
+        for i, (low, bits) in enumerate(parts) if radius <= bits]
+    return union(found)
+
+
+def union(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
+def first_met(parts: list[tuple[int, int]], radius: int) -> Column:
+    """No segment before this one is as near, and none behind it nearer."""
+    apart = [F.bit_count(value_of(F.col("query").bitwiseXOR(F.col("code")), low, bits)) for low, bits in parts]
+    holds = F.lit(True)
+    for i, own in enumerate(apart):
+        holds = holds & F.when(F.col("segment") > i, own > radius).otherwise(own >= radius)
+    return holds
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", code: str = "code", report: list | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, distance) of codes (vec_id, code) for query rows of the same form. `report` receives
+    (radius, queries, codes met) of each round."""
     many = k + 1
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(code).alias("code")).where("vec_id IS NOT NULL AND code IS NOT NULL")
     entries = stored(with_smallest_ids(rows, "code", "vec_id", many))
     asked = stored(queries.select(F.col(vec_id).alias("query_id"), F.col(code).alias("query")).where("query_id IS NOT NULL AND query IS NOT NULL").distinct())
-    numbers = F.explode(F.array(*map(F.lit, range(SEGMENTS))))
-    index = entries.select("code", "first_id", numbers.alias("segment"))
-    index = index.withColumn("prefix", F.expr(f"{segment('code', 'segment')} >> {SEGMENT_BITS - PREFIX}"))
-    sizes = index.groupBy("segment", "prefix").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))  # at most 256 rows
-    index = stored(index.join(F.broadcast(sizes), ["segment", "prefix"])
-                   .withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")).cast("int")))
+    parts = segments_for(entries.count())
+    index = stored(union([entries.select(F.lit(i).alias("segment"), value_of(F.col("code"), low, bits).alias("value"), "code", "first_id",
+                                         F.size("ids").alias("held")) for i, (low, bits) in enumerate(parts)]))
 
     active = stored(asked.select("query").distinct().withColumn("bound", F.lit(LARGEST)))
     best, settled = None, []
-    for radius in range(SEGMENT_BITS + 1):
-        shares = max(1, -(-active.count() // QUERIES))
-        masks = [(m, m.bit_count()) for m in range(1 << PREFIX) if m.bit_count() <= radius]
-        visits = (active.select("query", "bound", numbers.alias("segment"))
-                  .withColumn("mask", F.explode(F.array(*(F.lit(m) for m, _ in masks))))
-                  .withColumn("prefix", F.expr(f"({segment('query', 'segment')} >> {SEGMENT_BITS - PREFIX}) ^ mask"))
-                  .join(F.broadcast(sizes), ["segment", "prefix"])
-                  .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-                  .withColumn("share", F.pmod(F.xxhash64("query"), F.lit(shares)).cast("int")))
-        cell = ["segment", "prefix", "part", "share"]
-        held = index.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-        found = (held.select(*cell, "code", "first_id").groupBy(*cell)
-                 .cogroup(visits.select(*cell, "query", "bound").groupBy(*cell))
-                 .applyInPandas(verify_cell(radius, many), "query long, code long, distance long"))
-        found = found.join(entries, "code").select("query", "code", "distance", "first_id", F.size("ids").alias("held"))
+    in_order = Window.partitionBy("query").orderBy("distance", "first_id")
+    least = min(bits for _, bits in parts)
+    for radius in range(least + 1):
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
+        met = probes(active, parts, radius).join(index, ["segment", "value"])
+        found = met.withColumn("distance", distance).where((F.col("distance") <= F.col("bound")) & first_met(parts, radius))
+        found = found.select("query", "code", "distance", "first_id", "held")
         merged = found if best is None else best.unionByName(found)
-        in_order = Window.partitionBy("query").orderBy("distance", "first_id")
         so_far = F.sum("held").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         merged = stored(merged.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") <= many).drop("_rank")
                         .withColumn("_rows", so_far))
+        if report is not None:
+            report.append((radius, active.count(), met.count()))
         bounds = merged.where(F.col("_rows") >= many).groupBy("query").agg(F.min("distance").cast("int").alias("reached"))
         state = stored(active.drop("bound").join(bounds, "query", "left").withColumn("bound", F.coalesce("reached", F.lit(LARGEST))).drop("reached"))
-        covered = SEGMENTS * (radius + 1) - 1 if radius < SEGMENT_BITS else LARGEST
-        done = state.where(F.col("bound") <= covered).select("query")
+        covered = len(parts) * (radius + 1) - 1 if radius < least else LARGEST
         best = merged.drop("_rows")
-        settled.append(best.join(done, "query", "left_semi"))
+        done = state.where(F.col("bound") <= covered).select("query")
+        settled.append(stored(best.join(done, "query", "left_semi")))
+        forget(active)
         active = stored(state.where(F.col("bound") > covered))
         if active.limit(1).count() == 0:
             break
         best = stored(best.join(active.select("query"), "query", "left_semi"))
-    lists = settled[0]
-    for part in settled[1:]:
-        lists = lists.unionByName(part)
-    rows = (asked.join(lists, "query").join(entries.select("code", "ids"), "code")
+        forget(merged, state)
+    rows = (asked.join(union(settled), "query").join(entries.select("code", "ids"), "code")
             .select("query_id", "distance", F.explode("ids").alias("vec_id")).where("vec_id <> query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ WIDTH = 5
 PERCENT = 80
 #: The cost model: a candidate pair costs as much as this many index rows. What pairs have in common without being
 #: linked is measured on a sample of at most PROFILE_DOCS documents; it decides costs and never results.
-PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 5, 400, 20_000, 20
+PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 2, 400, 20_000, 20
 FOLDED_WORDS = 8
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
@@ -51,6 +52,9 @@ BLOOM_BITS = 1 << 27
 KEY_BITS = 48
 KNOWN_WORDS = 200_000
 BATCH_BYTES = 4 << 20
+#: Keys are counted, and their candidates ruled out, in this many passes by the remainder of the key: what a pass
+#: shuffles goes before the next one, and few pairs are left of each.
+PASSES = 4
 U = np.uint64
 
 
@@ -268,9 +272,9 @@ def needed(entries: DataFrame) -> DataFrame:
     return entries.withColumn("side", F.expr(SIDE)).withColumn("_rank", rank).where(F.col("_rank") > F.col("spare")).select("key", "id")
 
 
-def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None) -> DataFrame:
+def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None, turn: int | None = None) -> DataFrame:
     """(key, id, spare): index keys of one document of each set, by its doc_id, with the number of keys of that
-    scheme which it can leave out; with `often`, only keys that may be among its rows.
+    scheme which it can leave out; with `often`, only keys that may be among its rows, with `turn` only those of a pass.
 
     Only documents that may have an equal one are shuffled to choose it; the others pass in place.
     """
@@ -282,10 +286,10 @@ def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None
         def batches(parts):
             for part in parts:
                 part = part.take(pa.array(np.flatnonzero(marked(held.value, part.column(1).to_numpy()) == twins)))
-                if use is not None:
+                if use is not None or turn is not None:
                     keys = part.column(3)
                     flat = keys.flatten().to_numpy()
-                    kept = marked(use.value, flat)
+                    kept = marked(use.value, flat) if use is not None else flat % PASSES == turn
                     ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(keys.value_lengths().to_numpy())]).astype(np.int64)]
                     part = part.set_column(3, "keys", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[kept])))
                 yield part
@@ -390,6 +394,18 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, width: int, percent:
     return found
 
 
+def of_turn(rows: DataFrame, turn: int) -> DataFrame:
+    return rows.where(F.pmod(F.col("key"), F.lit(PASSES)) == turn)
+
+
+def offered(shared: DataFrame) -> DataFrame:
+    """(a_node, b_node): the smallest and the largest member of each key, with all its others."""
+    ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    tied = shared.select("key", "node").join(ends, "key")
+    pairs = tied.select("node", "low").union(tied.select("node", "high")).toDF("x", "y").where("x <> y")
+    return pairs.select(F.least("x", "y").alias("a_node"), F.greatest("x", "y").alias("b_node")).distinct()
+
+
 def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT):
     """(membership, links): doc_id, n_shingles, node and component_id of every document; and the links
     (a, b) between nodes that were verified, enough of them to connect every component."""
@@ -413,18 +429,18 @@ def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
         F.min("doc_id").alias("first_id"), F.min(document()).alias("first"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    often = entries_of(indexed, nodes).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    often = stored(often)
-    shared = needed(entries_of(indexed, nodes, often).join(often, "key"))
+    counted = [stored(entries_of(indexed, nodes, turn=turn).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")) for turn in range(PASSES)]
+    often = reduce(DataFrame.unionByName, counted)
+    met = stored(entries_of(indexed, nodes, often).join(often, "key"))
+    forget(indexed, *counted)
+    shared = needed(met)
     named = nodes.select("node", "n", F.col("first_id").alias("_first"))
     shared = stored(shared.join(named, F.col("id").eqNullSafe(F.col("_first"))).select("key", "node", "n"))
-    forget(indexed, often)
+    forget(met)
 
-    ends = shared.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    tied = shared.select("key", "node").join(ends, "key")
-    offered = tied.select("node", "low").union(tied.select("node", "high")).toDF("x", "y").where("x <> y")
-    offered = offered.select(F.least("x", "y").alias("a_node"), F.greatest("x", "y").alias("b_node")).distinct()
-    links = verified(filtered(offered, nodes, percent), docs, text, width, percent, nodes)
+    offers = [stored(filtered(offered(of_turn(shared, turn)), nodes, percent)) for turn in range(PASSES)]
+    links = verified(reduce(DataFrame.unionByName, offers).distinct(), docs, text, width, percent, nodes)
+    forget(*offers)
     found = components(links)
 
     labels = found.withColumnRenamed("node", "_node")
@@ -433,14 +449,16 @@ def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
     split = tagged.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("key")
     columns = ["node", "n", *FOLDED]
     open_rows = stored(tagged.join(split, "key", "left_semi").join(nodes.select(*columns), "node"))
-    x = sided(open_rows, "a", ["key", "label", *columns])
-    y = sided(open_rows, "b", ["key", "label", *columns])
     near = (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & may_link(percent)
     forget(shared)
-    rest = by_all_parities(x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node", "a_n", "b_n").distinct(), nodes, percent)
-    links = links.union(verified(rest, docs, text, width, percent, nodes))
+    left = []
+    for turn in range(PASSES):
+        x, y = (sided(of_turn(open_rows, turn), side, ["key", "label", *columns]) for side in ("a", "b"))
+        pairs = x.join(y, (F.col("a_key") == F.col("b_key")) & near).select("a_node", "b_node", "a_n", "b_n").distinct()
+        left.append(stored(by_all_parities(pairs, nodes, percent)))
+    links = links.union(verified(reduce(DataFrame.unionByName, left).distinct(), docs, text, width, percent, nodes))
     labels = components(links)
-    forget(open_rows)
+    forget(open_rows, *left)
 
     firsts = nodes.select("node", "k1", "k2", "first_id", F.col("first").alias("_own"))
     labelled = labels.join(firsts, "node").groupBy("label").agg(F.min("first_id").alias("component_id"), F.min("_own").alias("_all"))

@@ -11,8 +11,9 @@ the template, and taking one backslash away restores the text. A line end inside
 covers the texts of the loss roles.
 
 Null roles and texts count as empty. Turns are ordered by turn (null first), then role and text, so
-ties and rows that repeat are in a fixed order and all kept. A null conv_id is a conversation of its
-own. An empty table gives an empty result; other columns are ignored.
+ties and rows that repeat are in a fixed order and all kept. Rows with a null conv_id belong to no other
+row: each is a conversation of its own, so many of them never meet. An empty table gives an empty
+result; other columns are ignored.
 """
 from __future__ import annotations
 
@@ -37,7 +38,9 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """(conv_id, formatted, loss_runs): loss_runs are structs (chars, loss) in order over formatted."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                    F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chats = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    alone = F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())
+    rows = turns.select(F.col(conv_id).alias("conv_id"), alone.alias("_alone"), one.alias("_one"))
+    chats = rows.groupBy("conv_id", "_alone").agg(F.sort_array(F.collect_list("_one")).alias("turns"))
     lit = F.lit
 
     def piece(t: Column, i: Column) -> Column:
@@ -58,8 +61,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_texts) from formatted chats: turns are structs (role, text), loss_texts the texts
-    under the loss mask; all unescaped."""
+    """(conv_id, turns, loss_texts) from formatted chats: turns are structs (role, text); loss_texts what lies under
+    the loss mask, cut from the formatted string at the running sums of its runs; all unescaped."""
     blocks = F.transform(F.slice(F.split("formatted", r"<\|im_start\|>", -1), 2, 1 << 30), lambda b: F.struct(
         unescaped(F.replace(F.substring_index(b, "\n", 1), F.lit(LINE), F.lit("\n"))).alias("role"),
         F.substring_index(F.substr(b, F.length(F.substring_index(b, "\n", 1)) + 2), END, 1).alias("texts")))
@@ -67,8 +70,11 @@ def read_back(chats: DataFrame) -> DataFrame:
         F.split(b["texts"], r"<\|next\|>", -1), lambda t: F.struct(b["role"].alias("role"), unescaped(t).alias("text")))))
     read = chats.select("conv_id", "formatted", "loss_runs", blocks.alias("blocks")).select(
         "conv_id", "formatted", "loss_runs", turns.alias("turns"))
-    # Every turn has three runs, its text being the second.
-    under = F.filter(F.transform("turns", lambda t, i: F.when(F.get("loss_runs", 3 * i + 1)["loss"], t["text"])), lambda t: t.isNotNull())
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("found"))
+    under = F.aggregate("loss_runs", start, lambda state, run: F.struct(
+        (state["at"] + run["chars"]).alias("at"),
+        F.when(run["loss"], F.concat(state["found"], F.array(unescaped(F.substr(F.col("formatted"), state["at"], run["chars"])))))
+        .otherwise(state["found"]).alias("found")), lambda state: state["found"])
     return read.withColumn("loss_texts", under)
 
 

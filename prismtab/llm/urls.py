@@ -9,7 +9,8 @@ host and path begin so; it is listed if an interval of such a pattern holds its
 compared with their case, without empty segments (`example.org/en/` is `example.org/en`).
 
 Captures with a null url or fetch time, or a url without host, meet nothing and are kept. Hosts are
-compared in lower case, without port and user. Entries with a null pattern, category or date are
+compared in lower case, without port and user and without dots at their ends. Captures look up no domain
+shorter than the shortest listed one, so a top-level domain that no list holds is no key. Entries with a null pattern, category or date are
 ignored. Rows that repeat get equal verdicts. An empty list lists nothing; an empty table gives an
 empty result. Columns named like the results are replaced.
 """
@@ -23,7 +24,7 @@ PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    return F.lower(F.btrim(F.regexp_extract(url, HOST, 1), F.lit(".")))
 
 
 def plain_path(path: Column) -> Column:
@@ -35,7 +36,7 @@ def plain_pattern(pattern: Column) -> Column:
     """The host of a pattern in lower case, and its path as it is, without empty segments."""
     host = F.substring_index(pattern, "/", 1)
     path = plain_path(F.substr(pattern, F.length(host) + 2))
-    return F.concat(F.lower(host), F.when(path != "", F.concat(F.lit("/"), path)).otherwise(""))
+    return F.concat(F.lower(F.btrim(host, F.lit("."))), F.when(path != "", F.concat(F.lit("/"), path)).otherwise(""))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -48,11 +49,12 @@ def validity(entries: DataFrame) -> DataFrame:
             .select("pattern", "category", F.col("day").alias("valid_from"), "valid_to"))
 
 
-def patterns_of(url: Column, labels: int, segments: int) -> Column:
-    """The patterns that can meet a url: its last 1..labels host labels, and host with 1..segments of path."""
+def patterns_of(url: Column, labels: int, segments: int, shortest: int = 1) -> Column:
+    """The patterns that can meet a url: its last shortest..labels host labels, and host with 1..segments of path."""
     host = F.split(host_of(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(host), F.lit(labels))),
-                          lambda n: F.array_join(F.slice(host, -n, n), "."))
+    longest = F.least(F.size(host), F.lit(labels))
+    domains = F.when(longest >= shortest, F.transform(F.sequence(F.lit(shortest), longest), lambda n: F.array_join(F.slice(host, -n, n), ".")))
+    domains = F.coalesce(domains, F.array().cast("array<string>"))
     whole = F.array(F.array_join(host, "."))
     found = F.array_union(domains, whole)
     if segments:
@@ -68,16 +70,20 @@ def url_verdicts(captures: DataFrame, entries: DataFrame, url: str = "url", fetc
     """The captures with listed, n_active and categories (sorted, comma-joined) at their fetch time."""
     intervals = validity(entries)
     slashes = F.size(F.split("pattern", "/")) - 1
-    deepest = intervals.agg(F.max(F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))).alias("labels"), F.max(slashes).alias("segments")).first()
-    labels, segments = deepest["labels"] or 1, deepest["segments"] or 0
+    domain_labels = F.size(F.split(F.substring_index("pattern", "/", 1), r"\."))
+    deepest = intervals.agg(F.min(F.when(slashes == 0, domain_labels)).alias("shortest"), F.max(domain_labels).alias("labels"), F.max(slashes).alias("segments")).first()
+    labels, segments, shortest = deepest["labels"] or 1, deepest["segments"] or 0, deepest["shortest"] or 1
     kept = captures.drop("listed", "n_active", "categories")
     # Different captures often share url and time; each such pair is looked up once.
     asked = kept.where(F.col(url).isNotNull() & F.col(fetched_at).isNotNull()).select(
         F.col(url).alias("_url"), F.col(fetched_at).alias("_at")).distinct()
-    keys = asked.select("_url", "_at", F.explode(patterns_of(F.col("_url"), labels, segments)).alias("_key"))
+    keys = asked.select("_url", "_at", F.explode(patterns_of(F.col("_url"), labels, segments, shortest)).alias("_key"))
     active = (keys.join(intervals, (F.col("_key") == F.col("pattern")) & (F.col("_at") >= F.col("valid_from"))
                         & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
               .groupBy("_url", "_at").agg(F.count("*").alias("n_active"), F.array_join(F.sort_array(F.collect_set("category")), ",").alias("categories")))
-    return (kept.join(active, (F.col(url) == F.col("_url")) & (F.col(fetched_at) == F.col("_at")), "left").drop("_url", "_at")
-            .withColumns({"listed": F.col("n_active").isNotNull(), "n_active": F.coalesce("n_active", F.lit(0)).cast("long"),
-                          "categories": F.coalesce("categories", F.lit(""))}))
+    known = F.col(url).isNotNull() & F.col(fetched_at).isNotNull()
+    met = kept.where(known).join(active, (F.col(url) == F.col("_url")) & (F.col(fetched_at) == F.col("_at")), "left").drop("_url", "_at")
+    # Rows without url or time would all meet under one key of the join.
+    other = kept.where(~known).withColumns({"n_active": F.lit(None).cast("long"), "categories": F.lit(None).cast("string")})
+    return met.unionByName(other).withColumns({
+        "listed": F.col("n_active").isNotNull(), "n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "categories": F.coalesce("categories", F.lit(""))})

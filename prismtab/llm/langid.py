@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from prismtab.llm.common import small_batches
+from prismtab.llm.common import small_batches, stored
 
 PER_LANGUAGE = 400
 SAMPLE_CHARS = 384
@@ -215,9 +215,13 @@ def train(labelled: DataFrame, text: str = "text", language: str = "lang", per_l
     spread = F.xxhash64(F.lit(seed), F.col(text))
     start = F.lit(1) + F.pmod(F.xxhash64(spread), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int")
     pieces = rows.select(spread.alias("h"), F.col(language).alias("l"), F.substring(F.col(text), start, F.lit(SAMPLE_CHARS)).alias("t"))
-    # Copies of a text count once, so that they take no place from others of their language.
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    chosen = pieces.select("l", "h").distinct().withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("l", "h")
+    # Copies of a text count once, so that they take no place from others of their language. Hashes above a share of
+    # their range that surely holds enough go before anything is dealt by language.
+    marks = pieces.select("l", "h", (F.shiftrightunsigned("h", 1) / float(1 << 63)).alias("part"))
+    held = stored(marks.groupBy("l").agg(F.approx_count_distinct("h").alias("texts")))
+    low = marks.join(held, "l").where(F.col("part") * F.col("texts") <= 2 * per_language + 50).select("l", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "h"))
+    chosen = low.withColumn("_rank", rank).where(F.col("_rank") <= per_language).select("l", "h")
     sample = pieces.join(F.broadcast(chosen), ["l", "h"]).dropDuplicates(["l", "h"]).orderBy("h", "l", "t").collect()
     sample = [(r["t"].encode("utf-8", "surrogatepass"), r["l"]) for r in sample if r["t"]]
     return fit([t for t, _ in sample], [name for _, name in sample], steps, seed) if sample else None

@@ -4,8 +4,8 @@ The global histogram of lengths decides the bucket boundaries: dynamic programmi
 the least padding for a given number of buckets. Inside a bucket every document is padded to the
 bucket's length, so a batch takes as many documents as its token budget holds.
 
-Lengths above 2,048 are rounded up to 11 significant bits before they are counted, at any size of the
-table, so the histogram has at most 1,024 rows for each doubling of the longest document.
+The histogram has one row for each length that occurs, so what the driver holds is bounded by the longest
+document and not by their number.
 
 Nulls and empty texts have no tokens: they stay in the result without bucket and batch. A document
 above the budget makes a batch of its own. Equal documents are ordered by doc_id; rows that repeat
@@ -14,28 +14,20 @@ get places of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismtab.llm.common import running_totals, stored, word_count
 
 BUCKETS = 16
 BATCH_TOKENS = 65_536
-EXACT_BITS = 11
 SEED = 411
 
 
-def rounded_up(length: Column, bits: int = EXACT_BITS) -> Column:
-    """The length rounded up to a number of `bits` significant bits; lengths up to 2^bits stay."""
-    shift = F.greatest(F.length(F.bin(length)) - F.lit(bits), F.lit(0))
-    step = F.pow(F.lit(2.0), shift).cast("long")
-    return (F.ceil((length / step).cast("double")) * step).cast("long")
-
-
 def best_boundaries(lengths, counts, tokens, buckets: int = BUCKETS) -> list[int]:
     """Upper ends of at most `buckets` buckets with the least padding.
 
-    lengths: ascending padded lengths; counts and tokens: documents and true tokens of each.
+    lengths: ascending; counts and tokens: documents and tokens of each length.
     The best last cut moves right as the prefix grows, so each level is solved by halving.
     """
     lengths = np.asarray(lengths, dtype=np.float64)
@@ -77,19 +69,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
     """(doc_id, n_tokens, bucket, padded_length, batch, slot); batch counts within its bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), word_count(F.col(text)).alias("n_tokens"))
-    rows = stored(rows.withColumn("_bin", rounded_up(F.col("n_tokens"))))
-    bins = sorted(rows.where("n_tokens > 0").groupBy("_bin").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect())
-    ends = best_boundaries([b["_bin"] for b in bins], [b["n"] for b in bins], [b["t"] for b in bins], buckets)
+    rows = stored(rows)
+    bins = rows.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    lengths, counts = (bins[c].to_numpy() for c in ("n_tokens", "n"))
+    order = np.argsort(lengths)
+    lengths, counts = lengths[order], counts[order]
+    ends = best_boundaries(lengths, counts, lengths * counts, buckets)
     if not ends:
         return rows.select("doc_id", "n_tokens", *(F.lit(None).cast(kind).alias(name) for name, kind in (
             ("bucket", "int"), ("padded_length", "long"), ("batch", "long"), ("slot", "long"))))
-    held = [sum(b["n"] for b in bins if low < b["_bin"] <= end) for low, end in zip([0, *ends], ends)]
+    held = [int(counts[(lengths > low) & (lengths <= end)].sum()) for low, end in zip([0, *ends], ends)]
     plan = [(i, end, sum(held[:i]), max(1, batch_tokens // end)) for i, end in enumerate(ends)]
     bucket = F.lit(None).cast("int")
     for i, end in reversed(list(enumerate(ends))):
-        bucket = F.when(F.col("_bin") <= end, F.lit(i)).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= end, F.lit(i)).otherwise(bucket)
     sized = rows.where("n_tokens > 0").withColumns({"bucket": bucket, "_mixed": F.xxhash64(F.lit(seed), "doc_id")})
-    placed = running_totals(sized.drop("_bin"), ["bucket", "_mixed", "doc_id"], {"_rank": F.lit(1)})
+    placed = running_totals(sized, ["bucket", "_mixed", "doc_id"], {"_rank": F.lit(1)})
     plan = spark.createDataFrame(plan, "bucket int, padded_length long, _first long, _each long")
     at = F.col("_rank") - F.col("_first")
     packed = placed.join(F.broadcast(plan), "bucket").select(

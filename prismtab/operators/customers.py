@@ -27,6 +27,13 @@ def distribution(df: DataFrame, column: str, limit: int = 20) -> DataFrame:
     return count_by_dimension(df, column, "value", "customers", limit)
 
 
+def recommendation_table(df: DataFrame, customer: str, spend: str, group: str | None) -> DataFrame:
+    """(topic, label, value) of the tables behind customer advice, as one table."""
+    parts = [frame.select(F.lit(topic).alias("topic"), F.col(frame.columns[0]).cast("string").alias("label"), F.col(frame.columns[1]).cast("double").alias("value"))
+             for topic, frame in recommendations(df, customer, spend, group).items()]
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
 def recommendations(df: DataFrame, customer: str, spend: str, group: str | None) -> dict[str, DataFrame]:
     """The tables behind customer advice."""
     tables = {"top_customers": top_customers(df, customer, spend)}

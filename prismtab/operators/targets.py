@@ -108,6 +108,12 @@ def choose_target(stats: list[ColumnStats], target: str | None = None, at_least:
     return ranked[0] if ranked and ranked[0][2] >= at_least else None
 
 
+def chosen_target(df: DataFrame, stats: list[ColumnStats] | None = None, at_least: float = 0.0) -> DataFrame:
+    """(column_name, task_type, confidence) of the best target, one row or none."""
+    best = choose_target(column_stats(df) if stats is None else stats, at_least=at_least)
+    return local_frame(df.sparkSession, [best[:3]] if best else [], "column_name string, task_type string, confidence double")
+
+
 def identifier_like(df: DataFrame, stats: list[ColumnStats] | None = None) -> DataFrame:
     rows = [(s.name, half_up_value(s.distinct_share, 4), s.identifier_like)
             for s in (column_stats(df) if stats is None else stats)]

@@ -122,9 +122,13 @@ def _trend_tables(df: DataFrame, stats: list[ColumnStats]) -> dict[str, DataFram
     dates = [s.name for s in stats if s.date_like_for_trends]
     if not dates or not numeric_columns(df):
         return {}
-    series = trends.trend_series(df, dates[0])
-    return {"trend_tail": trends.trend_tail(series), "trend_slope": trends.trend_slope(series),
-            "trend_change": trends.trend_change(series), "trend_anomalies": trends.trend_anomalies(series)}
+    makers = {"trend_tail": trends.trend_tail, "trend_slope": trends.trend_slope,
+              "trend_change": trends.trend_change, "trend_anomalies": trends.trend_anomalies}
+    tables = {}
+    for date in dates:  # tables of the first date column have plain names
+        series = trends.trend_series(df, date)
+        tables |= {name if date == dates[0] else f"{name}_{date}": make(series) for name, make in makers.items()}
+    return tables
 
 
 def _domain_tables(

@@ -786,3 +786,32 @@ add("date_orders", "", f"""WITH {_DATES}, v AS ({union([_votes('day_first', '%m/
 add("written_dates", "", """SELECT o_orderkey AS order_id, CAST(o_orderdate AS TIMESTAMP) AS day_first, CAST(o_orderdate AS TIMESTAMP) AS month_first,
     CAST(make_date(year(o_orderdate), month(o_orderdate), month(o_orderdate)) AS TIMESTAMP) AS alike,
     CASE WHEN o_orderkey % 10 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS short FROM orders""")
+_LARGE = """large AS (SELECT CAST(l_linenumber % 3 AS VARCHAR) AS store, l_returnflag, CASE WHEN l_linenumber < 6 THEN CAST(l_extendedprice AS DECIMAL(18,4)) END AS small,
+    CASE l_linenumber WHEN 6 THEN l_quantity * pow(2, 50) WHEN 7 THEN pow(2, 1000) END AS rest FROM lineitem)"""
+
+
+def _large_sum(key: str, name: str, value: str) -> str:
+    return f"""WITH {_LARGE} SELECT {key} AS {name}, CASE WHEN sum(rest) IS NULL THEN CAST(round(sum(small), 2) AS DOUBLE)
+        ELSE round(coalesce(CAST(sum(small) AS DOUBLE), 0) + sum(rest), 2) END AS {value} FROM large GROUP BY 1"""
+
+
+add("large_amounts_by_store", "", _large_sum("store", "store", "revenue"))
+add("large_amounts_ranked", "", _large_sum("l_returnflag", "l_returnflag", "amount"))
+add("json_safe", "", f"""SELECT l_orderkey AS order_id, l_linenumber AS line_no, CASE WHEN l_linenumber < 5 THEN {half_up('l_extendedprice / 7', 6)} END AS ratio FROM lineitem""")
+add("report_cells", "", """SELECT l_orderkey AS order_id, l_linenumber AS line_no, CASE l_linenumber WHEN 1 THEN CAST(l_extendedprice AS VARCHAR) WHEN 3 THEN 'n/a' END AS text,
+    CASE WHEN l_linenumber = 1 THEN l_extendedprice END AS number FROM lineitem""")
+add("coerced_by_roles", "dirty", """SELECT order_ref, TRY_CAST(order_date AS TIMESTAMP) AS order_date, status, priority,
+    TRY_CAST(amount AS DOUBLE) AS amount, total, custkey, channel FROM dirty""")
+add("semantic_columns", "", """SELECT * FROM (VALUES ('business_id', 'business_id'), ('business_name', 'business_name'), ('country', 'country'), ('employee_range', 'employee_range'),
+    ('industry', 'industry'), ('order_id', 'business_id'), ('region', 'region'), ('revenue_range', 'revenue_range'), ('website', 'website')) AS r(role, column_name)""")
+add("metric_specs", "", """SELECT * FROM (VALUES ('discount', 'discount', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)), ('quantity', 'quantity', NULL, NULL),
+    ('revenue', 'gross_sales', NULL, NULL), ('tax', 'tax', NULL, NULL)) AS r(metric, column_name, times, type_column)""")
+add("detected_columns", "", """SELECT use, CAST(position AS INTEGER) AS position, column_name FROM (VALUES ('date', 0, 'ship_date'), ('id', 0, 'order_id'), ('id', 1, 'product_id'),
+    ('numeric', 0, 'order_id'), ('numeric', 1, 'product_id'), ('numeric', 2, 'quantity'), ('numeric', 3, 'gross_sales'), ('numeric', 4, 'discount'), ('numeric', 5, 'tax'),
+    ('product', 0, 'product_id'), ('quantity', 0, 'quantity'), ('quantity', 1, 'discount'), ('revenue', 0, 'gross_sales'), ('sales', 0, 'quantity'), ('sales', 1, 'discount'),
+    ('target', 0, 'quantity'), ('target', 1, 'gross_sales'), ('target', 2, 'discount'), ('target', 3, 'tax'), ('text', 0, 'return_flag'), ('text', 1, 'line_status')) AS r(use, position, column_name)""")
+add("feasible_tasks", "", """SELECT task, count(*) AS rows FROM lineitem, (SELECT unnest(['summary', 'quality', 'trend', 'ranking', 'correlation', 'segments', 'prediction']) AS task) GROUP BY 1""")
+add("chosen_target", "", "SELECT 'gross_sales' AS column_name, 'regression' AS task_type, CAST(0.99 AS DOUBLE) AS confidence FROM (SELECT count(*) AS n FROM lineitem) WHERE n >= 10")
+add("customer_recommendations", "customers", f"""SELECT 'top_customers' AS topic, customer AS label, {cents('spend')} AS value
+    FROM (SELECT * FROM customers ORDER BY spend DESC, customer LIMIT 10)
+    UNION ALL SELECT 'distribution', value, CAST(customers AS DOUBLE) FROM ({counted("customers", "segment", "customers")})""")

@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismtab.functions import rounding
 from prismtab.functions.vocabulary import (
     CREDIT_VALUES, EXPENSE_VALUES, LEDGER_CREDIT, LEDGER_EXPENSE, LEDGER_SALES, REFUND_VALUES, SALE_VALUES,
 )
@@ -335,6 +336,27 @@ def _report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("Item/Customer").alias("item"), F.col("Amount").alias("amount"))
 
 
+@query("json_safe")
+def _json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.ratios(spark, sf_dir).select("order_id", "line_no", rounding.json_safe(F.col("ratio")).alias("ratio"))
+
+
+@query("report_cells")
+def _report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.col("cell")
+    return views.ratios(spark, sf_dir).select("order_id", "line_no", delimited.cell_text(cell).alias("text"), delimited.cell_number(cell).alias("number"))
+
+
+on(views.large_amounts, "large_amounts_by_store", metrics.metric_by_dimension, "store", Metric("amount"))
+on(views.large_amounts, "large_amounts_ranked", ranking.rank_groups, "l_returnflag", "amount")
+on(views.dirty, "coerced_by_roles", roles.coerce_by_roles)
+on(views.leads, "semantic_columns", roles.semantic_table)
+on(views.order_lines, "metric_specs", roles.metric_table)
+on(views.order_lines, "detected_columns", roles.detected_table)
+on(views.order_lines, "feasible_tasks", roles.task_table)
+on(views.order_lines, "chosen_target", targets.chosen_target)
+on(views.customers, "customer_recommendations", customers.recommendation_table, "customer", "spend", "segment")
+
 WRITTEN_DATES = ["day_first", "month_first", "alike", "short"]
 on(views.written_dates, "date_orders", profile.date_orders)
 on(views.written_dates, "written_dates", filters.coerce_columns, dates=WRITTEN_DATES)

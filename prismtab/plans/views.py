@@ -123,6 +123,21 @@ def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 10 > 0, F.date_format(day, "dd/MM/yy HH:mm")).alias("short"))
 
 
+def large_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line amounts of which some have sixteen digits and some three hundred."""
+    number = F.col("l_linenumber")
+    amount = F.when(number == 6, F.col("l_quantity") * 2.0 ** 50).when(number == 7, F.lit(2.0 ** 1000)).otherwise(F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select((number % 3).cast("string").alias("store"), "l_returnflag", amount.alias("amount"))
+
+
+def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line amounts with NaN and infinities, and cells as reports write them."""
+    number, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    value = F.when(number == 7, float("inf")).when(number == 6, float("nan")).when(number == 5, float("-inf")).otherwise(price / 7)
+    cell = F.when(number == 1, F.concat(F.lit("  "), price.cast("string"), F.lit(" "))).when(number == 2, "   ").when(number == 3, " n/a ")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), number.alias("line_no"), value.alias("ratio"), cell.alias("cell"))
+
+
 def _sum_up(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in ("revenue", "quantity", "rows")])
 

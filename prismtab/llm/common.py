@@ -13,7 +13,7 @@ from prismtab.session import ensure_checkpoint_dir
 #: Fixed values of the word rule: a word is a run of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

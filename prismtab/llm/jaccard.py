@@ -35,6 +35,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -272,16 +273,13 @@ def needed(entries: DataFrame) -> DataFrame:
     return entries.withColumn("side", F.expr(SIDE)).withColumn("_rank", rank).where(F.col("_rank") > F.col("spare")).select("key", "id")
 
 
-def entries_of(rows: DataFrame, nodes: DataFrame, often: DataFrame | None = None, turn: int | None = None) -> DataFrame:
+def entries_of(rows: DataFrame, nodes: DataFrame, held: Broadcast, use: Broadcast | None = None, turn: int | None = None) -> DataFrame:
     """(key, id, spare): index keys of one document of each set, by its doc_id, with the number of keys of that
-    scheme which it can leave out; with `often`, only keys that may be among its rows, with `turn` only those of a pass.
+    scheme which it can leave out; with `use`, only keys that its bits may hold, with `turn` only those of a pass.
+    `held` has the bits of the sets that several documents have.
 
     Only documents that may have an equal one are shuffled to choose it; the others pass in place.
     """
-    context = rows.sparkSession.sparkContext
-    held = context.broadcast(bloom(nodes.where("held > 1")))
-    use = context.broadcast(bloom(often, "key")) if often is not None else None
-
     def part_of(twins: bool):
         def batches(parts):
             for part in parts:
@@ -330,7 +328,9 @@ def fetch_sets(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> Dat
                                              names=["k1", "k2", "items"])
 
     found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(batches, "k1 long, k2 long, items array<long>")
-    return stored(found.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "items"))
+    sets = stored(found.join(wanted, ["k1", "k2"]).dropDuplicates(["node"]).select("node", "items"))
+    held.destroy()
+    return sets
 
 
 def close(apart, percent: int):
@@ -429,9 +429,14 @@ def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int)
         F.min("doc_id").alias("first_id"), F.min(document()).alias("first"), F.count("*").alias("held"), *(F.first(c).alias(c) for c in ("n", "odd", *FOLDED)))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    counted = [stored(entries_of(indexed, nodes, turn=turn).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")) for turn in range(PASSES)]
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(bloom(nodes.where("held > 1")))
+    counted = [stored(entries_of(indexed, nodes, held, turn=turn).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")) for turn in range(PASSES)]
     often = reduce(DataFrame.unionByName, counted)
-    met = stored(entries_of(indexed, nodes, often).join(often, "key"))
+    use = context.broadcast(bloom(often, "key"))
+    met = stored(entries_of(indexed, nodes, held, use).join(often, "key"))
+    held.destroy()  # tasks and their Python workers need not keep the bits
+    use.destroy()
     forget(indexed, *counted)
     shared = needed(met)
     named = nodes.select("node", "n", F.col("first_id").alias("_first"))

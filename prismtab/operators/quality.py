@@ -86,15 +86,14 @@ def completeness(df: DataFrame) -> DataFrame:
 
 def quality_assessment(df: DataFrame) -> DataFrame:
     """(check, column, value) rows: missing values, duplicates, completeness, outlier counts."""
-    stats = column_stats(df, distinct=False)
-    rows = stats[0].rows if stats else 0
-    found = [("missing_pct", s.name, half_up_value(s.nulls / rows * 100, 1)) for s in stats if s.nulls]
-    found += [("missing_count", s.name, float(s.nulls)) for s in stats if s.nulls]
-    nulls = sum(s.nulls for s in stats)
+    counts = [(r["column_name"], r["missing"], r["_rows"]) for r in _missing(df).collect()]  # one row per column
+    rows, nulls = max((n for _, _, n in counts), default=0), sum(missing for _, missing, _ in counts)
+    found = [("missing_pct", name, half_up_value(missing / rows * 100, 1)) for name, missing, _ in counts if missing]
+    found += [("missing_count", name, float(missing)) for name, missing, _ in counts if missing]
     found.append(("total_missing", "", float(nulls)))
     found.append(("duplicate_rows", "", float(duplicate_count(df))))
     if rows:
-        found.append(("completeness_pct", "", half_up_value((1 - nulls / (rows * len(stats))) * 100, 1)))
+        found.append(("completeness_pct", "", half_up_value((1 - nulls / (rows * len(counts))) * 100, 1)))
     summary = local_frame(df.sparkSession, found, "check string, column_name string, value double")
     outliers = outlier_counts(df, skip_flat=True).where(F.col("outliers") > 0).select(
         F.lit("outliers").alias("check"), "column_name", F.col("outliers").cast("double").alias("value"))

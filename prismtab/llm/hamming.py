@@ -115,7 +115,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
     least = min(bits for _, bits in parts)
     for radius in range(least + 1):
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
-        met = probes(active, parts, radius).join(index, ["segment", "value"])
+        # Spark's size of the probes does not count what explode makes of a query, so it must not choose a broadcast.
+        met = probes(active, parts, radius).hint("merge").join(index, ["segment", "value"])
         found = met.withColumn("distance", distance).where((F.col("distance") <= F.col("bound")) & first_met(parts, radius))
         found = found.select("query", "code", "distance", "first_id", "held")
         merged = found if best is None else best.unionByName(found)

@@ -70,7 +70,10 @@ def test_period_texts_equal_pandas(spark):
 def test_date_formats(spark):
     days = ["2026-05-01", "2026/05/01", "5/1/2026", "2026-05-01 13:00:00", "2026-05-01T13:00:00Z", "13/5/2026", "x", "12345", None]
     df = spark.createDataFrame([(d, 1.0) for d in days], "d string, v double")
-    assert rows(ranking.revenue_trend(df, "d", "v", "day")) == [("2026-05-01", 5.0), ("2026-05-13", 1.0)]
+    # 13/5/2026 tells that the day comes first in this column.
+    assert rows(ranking.revenue_trend(df, "d", "v", "day")) == [("2026-01-05", 1.0), ("2026-05-01", 4.0), ("2026-05-13", 1.0)]
+    month_first = df.where("d IS NULL OR d <> '13/5/2026'")
+    assert rows(ranking.revenue_trend(month_first, "d", "v", "day")) == [("2026-05-01", 5.0)]
 
 
 LEDGER = LedgerColumns("Date", "Category", "Item/Customer", "Amount (Rs)")

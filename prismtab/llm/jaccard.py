@@ -51,8 +51,8 @@ FOLDED_WORDS = 8
 BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 27
 KEY_BITS = 48
-KNOWN_WORDS = 200_000
-BATCH_BYTES = 4 << 20
+KNOWN_WORDS = 50_000
+BATCH_BYTES = 2 << 20
 #: Keys are counted, and their candidates ruled out, in this many passes by the remainder of the key: what a pass
 #: shuffles goes before the next one, and few pairs are left of each.
 PASSES = 4

@@ -815,3 +815,4 @@ add("chosen_target", "", "SELECT 'gross_sales' AS column_name, 'regression' AS t
 add("customer_recommendations", "customers", f"""SELECT 'top_customers' AS topic, customer AS label, {cents('spend')} AS value
     FROM (SELECT * FROM customers ORDER BY spend DESC, customer LIMIT 10)
     UNION ALL SELECT 'distribution', value, CAST(customers AS DOUBLE) FROM ({counted("customers", "segment", "customers")})""")
+add("scatter_points", "order_lines", "SELECT quantity, gross_sales, return_flag FROM order_lines WHERE quantity IS NOT NULL AND gross_sales IS NOT NULL")

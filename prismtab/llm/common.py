@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,6 +32,17 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value):
+    """A session setting that holds for what runs inside, and goes back to what it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's setting, or the test folder where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,12 +57,8 @@ def stored(df: DataFrame) -> DataFrame:
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, True)  # shuffle files of this write go when it ends, not when the driver collects garbage
-    try:
+    with setting(spark, CLEAN_SHUFFLES, True):  # shuffle files of this write go when it ends, not when the driver collects garbage
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

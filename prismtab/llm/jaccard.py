@@ -39,20 +39,20 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import components, forget, small_batches, stored, total
+from prismtab.llm.common import components, forget, setting, small_batches, stored, total
 
 WIDTH = 5
 PERCENT = 80
 #: The cost model: a candidate pair costs as much as this many index rows. What pairs have in common without being
 #: linked is measured on a sample of at most PROFILE_DOCS documents; it decides costs and never results.
-PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 2, 400, 20_000, 20
+PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 1, 400, 20_000, 20
 FOLDED_WORDS = 8
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
 BLOOM_BITS = 1 << 27
 KEY_BITS = 48
 KNOWN_WORDS = 50_000
-BATCH_BYTES = 2 << 20
+BATCH_BYTES, READER_ROWS = 2 << 20, 512
 #: Keys are counted, and their candidates ruled out, in this many passes by the remainder of the key: what a pass
 #: shuffles goes before the next one, and few pairs are left of each.
 PASSES = 4
@@ -414,7 +414,13 @@ def similarity_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def full_join(docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
-    """The same, with the hash of each document's text, and `first`: the document (no_id, doc_id, hash) that
+    """What `joined` gives, computed with fewer rows in a batch of the reader, since rows hold long lists of keys."""
+    with setting(docs.sparkSession, "spark.sql.parquet.columnarReaderBatchSize", READER_ROWS):
+        return joined(docs, doc_id, text, width, percent)
+
+
+def joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int):
+    """The two results of `similarity_join`, with the hash of each document's text, and `first`: the document (no_id, doc_id, hash) that
     comes first in its component, by doc_id, null last, then by hash; null without words."""
     small_batches(docs.sparkSession, BATCH_BYTES)
     guess = F.greatest(F.lit(1), F.length(F.col(text)) / 7).cast("long")

@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments of about as many bits as the number of codes has, so a segment value
-has few codes. Every code is indexed once under each of its segment values. In round r a query looks up
+A 64-bit code is cut into segments of about two bits fewer than the number of codes has, so a segment value
+has a few codes: longer segments need more look-ups, shorter ones meet more codes. Every code is indexed once under each of its segment values. In round r a query looks up
 all values that differ in exactly r bits from its own, in each segment: an equi-join of the probes with
 the index. After the round, every code within distance m (r + 1) - 1 for m segments has been met, so a
 query is done once its k-th verified distance is within that; the rest go on with radius r + 1. No value
@@ -59,7 +59,7 @@ def with_smallest_ids(rows: DataFrame, key: str, vec_id: str, many: int) -> Data
 
 def segments_for(codes: int) -> list[tuple[int, int]]:
     """(first bit, bits) of the segments for a number of codes."""
-    wanted = min(MOST_BITS, max(LEAST_BITS, codes.bit_length()))
+    wanted = min(MOST_BITS, max(LEAST_BITS, codes.bit_length() - 2))
     many = -(-CODE_BITS // wanted)
     edges = [round(i * CODE_BITS / many) for i in range(many + 1)]
     return [(low, high - low) for low, high in zip(edges, edges[1:])]

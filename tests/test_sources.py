@@ -176,3 +176,16 @@ def test_recent_datasets(spark):
 def test_refuses_nothing(spark):
     with pytest.raises(ValueError):
         delimited.non_empty(spark.range(1).select())
+
+
+def test_reports_are_sent_to_no_task_whole(spark):
+    """Lines cut out of small columns look small to Spark; neither they nor the layouts may be broadcast."""
+    text = spark.range(3).select(F.col("id").alias("source"), F.posexplode(F.array(*map(F.lit, (
+        "Shop", "Name,A", "Summary", "Total,5", "Date,Item,Amount", "2024-01-01,x,1", "2024-01-02,y,2", "Note,z", "2024-01-03,late,3")))).alias("line_no", "value"))
+    found = reports.report_rows(text)
+    assert [(r.line_no, r.header[2], r.cells[2]) for r in found.where("source = 1").orderBy("line_no").collect()] == [(5, "Amount", "1"), (6, "Amount", "2")]
+    facts = reports.report_facts(text)
+    assert sorted(map(tuple, facts.where("source = 2").drop("source").collect())) == [
+        ("metadata", "Name", "A"), ("metadata", "report_title", "Shop"), ("summary", "Total", "5")]
+    for frame in (found, facts):
+        assert "BroadcastHashJoin" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ lines before it in its file. A quote opens a cell only where the cell starts (bl
 quote inside is text, and what follows the closing quote is plain. So a line turns each of the two
 states (no cell open, cell open) into one of the two. Every task follows the lines of its blocks of the
 files from both states and notes for each line, for either state, where its record starts and whether
-it ends there. One row for each block goes into a fold over the blocks of a file, which tells the true
+it ends there. One row for each block goes into running windows over the blocks of a file, which tell the true
 state before each block and the record that reaches into it. Lines that are a whole record stay where
 they are; only the lines of longer records are shuffled, by the start of their record.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismtab.session import checkpointed
@@ -89,27 +89,28 @@ def whole_records(lines: DataFrame, delimiter: str, in_order: bool = False, most
 
 
 def block_starts(marked: DataFrame) -> DataFrame:
-    """(source, block, open, carried): the state before each block, and the record that reaches into it."""
+    """(source, block, open, carried): the state before each block, and the record that reaches into it.
+
+    A block ends in one state whatever was before it, or it keeps or swaps the state; so the state before a block is
+    that behind the last block of the first kind, swapped once for each swap since. Both come from running windows
+    over one row per block, whose cost grows with the blocks of a file and not with their square."""
     place = marked.schema["line_no"].dataType.simpleString()
     last = F.max_by(F.struct("rec_a", "ends_a", "rec_b", "ends_b"), "line_no.at").alias("last")
-    blocks = marked.groupBy("source", F.col("line_no.block").alias("block")).agg(last)
-    start = F.struct(F.lit(False).alias("open"), F.lit(None).cast(place).alias("carried"),
-                     F.array().cast(f"array<struct<block:bigint,open:boolean,carried:{place}>>").alias("found"))
-
-    def step(state, one):
-        rec = F.when(state["open"], one["last"]["rec_b"]).otherwise(one["last"]["rec_a"])
-        ends = F.when(state["open"], one["last"]["ends_b"]).otherwise(one["last"]["ends_a"])
-        row = F.struct(one["block"].cast("bigint").alias("block"), state["open"].alias("open"), state["carried"].alias("carried"))
-        here = F.struct(one["block"].alias("block"), rec.alias("at")).cast(place)
-        return F.struct((~ends).alias("open"), F.when(rec.isNull(), state["carried"]).otherwise(here).alias("carried"),
-                        F.concat(state["found"], F.array(row)).alias("found"))
-
-    ordered = F.array_sort(F.collect_list(F.struct("block", "last")))
-    return blocks.groupBy("source").agg(F.aggregate(ordered, start, step, lambda s: s["found"]).alias("found")).select("source", F.inline("found"))
+    blocks = marked.groupBy("source", F.col("line_no.block").alias("block")).agg(last).select("source", "block", "last.*")
+    ordered = Window.partitionBy("source").orderBy("block")
+    through, before = (ordered.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    settled = F.col("ends_a") == F.col("ends_b")
+    swaps = blocks.withColumn("_swaps", F.sum(F.when(settled | F.col("ends_a"), 0).otherwise(1)).over(through))
+    fixed = F.when(settled, F.col("_swaps") + F.when(F.col("ends_a"), 0).otherwise(1))
+    swapped = F.coalesce(F.last(fixed, ignorenulls=True).over(before), F.lit(0)) + F.coalesce(F.last("_swaps").over(before), F.lit(0))
+    states = swaps.withColumn("open", swapped % 2 == 1)
+    rec = F.when(F.col("open"), F.col("rec_b")).otherwise(F.col("rec_a"))
+    here = F.when(rec.isNotNull(), F.struct("block", rec.alias("at")).cast(place))
+    return states.select("source", F.col("block").cast("bigint").alias("block"), "open", F.last(here, ignorenulls=True).over(before).alias("carried"))
 
 
 def joined(marked: DataFrame, most_lines: int) -> DataFrame:
-    starts = checkpointed(block_starts(marked)).withColumnsRenamed({"source": "_source", "block": "_block"})
+    starts = checkpointed(block_starts(marked)).withColumnsRenamed({"source": "_source", "block": "_block"}).hint("merge")
     placed = marked.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("line_no.block") == F.col("_block")))
     rec = F.when(F.col("open"), F.col("rec_b")).otherwise(F.col("rec_a"))
     own = F.struct(F.col("line_no.block").alias("block"), rec.alias("at")).cast(marked.schema["line_no"].dataType)

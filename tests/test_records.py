@@ -78,3 +78,20 @@ def test_mixed_folders_are_refused(spark, tmp_path):
     (report / "p.csv").write_text("id,name,n\n1,x,2\n")
     with pytest.raises(ValueError, match="plain tables"):
         tables.read_table(spark, str(report))
+
+
+def test_blocks_of_one_line(spark):
+    """3,000 blocks of one source: keeping, swapping and settling ones, against a plain reading."""
+    r = random.Random(4)
+    rows = [r.choice(['1,"open', 'still', 'end",2', '"a""b', 'x,y', '3,"c",4', 'end" ,"open']) for _ in range(3000)]
+    behind, want, record, is_open = records.quote_rules(","), [], None, False
+    for i, line in enumerate(rows):
+        want.append((i, is_open, record))
+        if not is_open:
+            record = i
+        is_open = behind(line.encode(), is_open)
+    data = spark.createDataFrame([("s", (i, i), v) for i, v in enumerate(rows)], "source string, line_no struct<block:bigint,at:bigint>, value string")
+    marked = records.marked_lines(data.coalesce(1), ",")
+    starts = records.block_starts(marked)
+    assert [(b.block, b.open, b.carried and b.carried["at"]) for b in starts.orderBy("block").collect()] == want
+    assert not any(word in starts._jdf.queryExecution().optimizedPlan().toString() for word in ("collect_list", "aggregate("))  # no list of all blocks

@@ -117,3 +117,50 @@ def test_stratified_split_keeps_the_share_of_each_class(spark):
     train, test = modeling.stratified_split(df, "kind", 75)
     counts = {r["kind"]: r["count"] for r in train.groupBy("kind").count().collect()}
     assert counts == {"rare": 75, "common": 2925} and train.count() + test.count() == 4000 and test.columns == df.columns
+
+
+def test_merged_rows_grow_the_forest_of_all_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 6000
+    size, price, word = rng.integers(0, 9, n), rng.exponential(50.0, n), rng.choice(["a", "b", "c"], n)
+    value = 20.0 * size + price + 30 * (word == "a") + rng.normal(0, 1, n)
+    frame = spark.createDataFrame(pd.DataFrame({"size": size.astype(float), "price": price, "word": word, "sales": value,
+                                                "kind": np.where(value > 120, "high", "low")}))
+    fitted = []
+    real = modeling.VectorAssembler
+    def assembler(*args, **kwargs):
+        fitted.append(kwargs.get("outputCol"))
+        return real(*args, **kwargs)
+    monkeypatch.setattr(modeling, "VectorAssembler", assembler)
+    for target, other, metric in (("sales", "kind", "r2"), ("kind", "sales", "f1_weighted")):
+        whole = modeling.train_model(frame.drop(other), target)
+        assert "_binned" not in fitted
+        with monkeypatch.context() as few:
+            few.setattr(modeling, "MERGE_FROM", 500)
+            merged = modeling.train_model(frame.drop(other), target)
+        assert "_binned" in fitted and merged.train_rows == whole.train_rows and merged.features == whole.features
+        assert scores(merged, metric)["random_forest"] == pytest.approx(scores(whole, metric)["random_forest"], abs=0.03)
+        fitted.clear()
+
+
+def test_pieces_weigh_as_much_as_the_rows(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    monkeypatch.setattr(modeling, "MERGE_FROM", 50)
+    # nine tenths of the rows are alike; a value that 40 of 2000 rows have stays apart
+    rows = [(float(0 if i % 50 else 1 + i % 3), float(i % 2), 10.0 if i % 50 else 0.0) for i in range(2000)]
+    train = spark.createDataFrame(rows, "x double, y double, _actual double")
+    given = []
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, frame: given.append(frame.select("x__bin", "y__bin", "_piece", "_actual").collect()))
+    modeling._grown(RandomForestRegressor(labelCol="_actual"), train, 2000, ["x", "y"])
+    pieces = given[0]
+    assert sum(r["_piece"] for r in pieces) == pytest.approx(2000) and max(r["_piece"] for r in pieces) <= 2000 / 50
+    assert len(pieces) < 2 * 50 and sum(r["_piece"] * r["_actual"] for r in pieces) == pytest.approx(19600)
+    assert {r["x__bin"] for r in pieces} == {0.0, 1.0, 2.0, 3.0} and {r["_actual"] for r in pieces if r["x__bin"] > 0} == {0.0}
+
+
+def test_cuts_of_a_forest(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("many"), (F.col("id") % 3).cast("double").alias("few"), F.lit(2.0).alias("one"),
+                                  F.when(F.col("id") == 7, float("nan")).when(F.col("id") == 8, float("inf")).alias("none"))
+    many, few, one, none = modeling._cuts(df, ["many", "few", "one", "none"])
+    assert len(many) == 31 and many[15] == pytest.approx(500, abs=2) and few == [0.5, 1.5] and one == [2.0] and none == [0.0]

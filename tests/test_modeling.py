@@ -164,3 +164,25 @@ def test_cuts_of_a_forest(spark):
                                   F.when(F.col("id") == 7, float("nan")).when(F.col("id") == 8, float("inf")).alias("none"))
     many, few, one, none = modeling._cuts(df, ["many", "few", "one", "none"])
     assert len(many) == 31 and many[15] == pytest.approx(500, abs=2) and few == [0.5, 1.5] and one == [2.0] and none == [0.0]
+
+
+def test_segments_of_many_rows_are_exact(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(0, 1, (900, 2)), rng.normal(7, 1, (500, 2)), rng.normal((0, 40), 1, (300, 2))])
+    df = spark.createDataFrame(pd.DataFrame(points, columns=["x", "y"])).withColumn("same", F.lit(3.0)).repartition(5)
+    want = modeling.segments(df).collect()
+    monkeypatch.setattr(modeling, "MERGE_FROM", 100)
+    assert modeling.segments(df).collect() == want and [r["count"] for r in want] == [900, 500, 300] or len(want) == 2
+    assert modeling.segments(df, k=3).collect()[2].y_mean == pytest.approx(points[1400:, 1].mean(), abs=0.01)
+    names, centers = ["x", "y"], {2: np.array([[0.0, 0.0], [1.0, 1.0]]), 3: np.array([[0.0, 0.0], [1.0, 0.0], [-50.0, 0.0]])}
+    got = modeling._nearest_sums(df, names, points.mean(0), 1 / points.std(0), centers)
+    scaled = (points - points.mean(0)) / points.std(0)
+    for n, c in centers.items():
+        away = ((scaled[:, None] - c) ** 2).sum(axis=2)
+        for i in range(n):
+            mine = away.argmin(axis=1) == i
+            if not mine.any():
+                assert i not in got[n]
+                continue
+            rows, cost, total = got[n][i]
+            assert rows == mine.sum() and cost == pytest.approx(away[mine, i].sum()) and total == pytest.approx(points[mine].sum(axis=0))

@@ -9,11 +9,13 @@ worth one, or differ by at most one shingle in a segment worth two. Which worths
 matter of cost: deletions cost index rows but let segments be larger, which collide less in bands
 with many sets. A set is indexed under the scheme of its own band and of the band below.
 
-A set with f segments that hold something, all worth one and f at least d + 1, leaves its empty segments
-out of the index: a linked pair agrees in at least f - d of the others. Of its keys it then needs only the
-d + 1 that the fewest sets have (ties by key): the first key in this order that a pair shares is among
-them on both sides. Schemes without deletions cut more segments than they must, so keys of passages that
-many documents share are left out first.
+Each set also has a d of its own: the largest difference of a linked pair that it is in. Segments count as
+filled if they hold something, those worth two if they hold two shingles. A set whose filled segments are
+worth d + 1 leaves keys of empty contents out of the index, which any two sets of a band may have in common:
+a linked pair agrees in a filled segment, and the smaller of the two contents is not empty. If all are worth
+one, it needs only the d + 1 of its keys that the fewest sets have (ties by key): the first key in this order
+that a pair shares is among them on both sides. Schemes cut more segments than they must, so that nearly all
+sets can do this, and keys of passages that many documents share are left out first.
 
 Sets that share an index key are candidates. Each key first offers its smallest and its largest
 member to all others, which is linear in the key; the links so found make components. Pairs of a key
@@ -39,17 +41,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismtab.llm.common import components, forget, setting, small_batches, stored, total
+from prismtab.llm.common import bloom, components, forget, marked, parted, setting, small_batches, stored, total
 
 WIDTH = 5
 PERCENT = 80
-#: The cost model: a candidate pair costs as much as this many index rows. What pairs have in common without being
-#: linked is measured on a sample of at most PROFILE_DOCS documents; it decides costs and never results.
-PAIR_COST, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 1, 400, 20_000, 20
+#: The cost model: a candidate pair costs as much as this many index rows, and this part of the keys that a set can leave
+#: out are keys of the pair. What pairs have in common without being linked is measured on a sample of at most PROFILE_DOCS documents; it decides costs and never results.
+PAIR_COST, SPARE_PART, PROFILE_DOCS, PROFILE_CHARS, PROFILE_STEPS = 1, 1 / 8, 400, 20_000, 20
 FOLDED_WORDS = 8
 #: Bands are this much wider than they must be; wider bands need fewer keys for sets near two bands.
 BAND_GROWTH = Fraction(5, 4)
-BLOOM_BITS = 1 << 27
 KEY_BITS = 48
 KNOWN_WORDS = 50_000
 BATCH_BYTES, READER_ROWS = 2 << 20, 512
@@ -107,10 +108,21 @@ def band_starts(percent: int, largest: int) -> list[int]:
     return starts
 
 
-def filled(segments: int, size: int) -> float:
-    """Segments that hold something, nearly always at least: the mean less three deviations."""
-    empty = math.exp(-size / segments)
-    return segments * (1 - empty) - 3 * math.sqrt(segments * empty * (1 - empty))
+def bare(ones: int, twos: int, size: int) -> tuple[float, float]:
+    """The chances that a segment worth one holds nothing, and that one worth two holds fewer than two shingles."""
+    mean = size / (ones + 2 * twos)
+    return math.exp(-mean), math.exp(-2 * mean) * (1 + 2 * mean)
+
+
+def filled(ones: int, twos: int, size: int) -> float:
+    """Worth of the filled segments, nearly always at least: the mean less three deviations."""
+    one, two = bare(ones, twos, size)
+    return ones * (1 - one) + 2 * twos * (1 - two) - 3 * math.sqrt(ones * one * (1 - one) + 4 * twos * two * (1 - two))
+
+
+def needs(size: int, percent: int) -> int:
+    """One more than the largest symmetric difference of a linked pair that a set of this size is in."""
+    return most_apart(size, size * 100 // percent, percent) + 1
 
 
 def overlaps(sets: list[np.ndarray], percent: int) -> list[tuple[float, float]]:
@@ -141,20 +153,28 @@ def allocation(low: int, high: int, percent: int, sets: int, profile: list[tuple
     estimated cost: index rows, and the candidates among pairs that have something in common but do not link.
 
     A segment of s shingles agrees in a pair with the part p in common with the chance p^s. Keys that a set
-    can leave out are taken from those it has in common first, as they are the frequent ones.
+    can leave out are taken from those it has in common first, as they are the frequent ones; a part of them counts
+    here, since a set has something in common with many others. Where sets keep keys of empty contents, any pair collides.
     """
-    need = most_apart(high, high * 100 // percent, percent) + 1
+    need = needs(high, percent)
     most = max(need, int(low / 1.5))
+
+    def enough(ones: int, twos: int) -> bool:
+        return all(filled(ones, twos, size) >= needs(size, percent) for size in (low, high))
+
     wider = [m for m in sorted({need, *(int(need * g) for g in (1.1, 1.25, 1.5, 2, 2.5, 3)),
-                                next((m for m in range(need, 2 * need + 1) if filled(m, low) >= need), need)}) if m <= most]
-    options = [(m, 0) for m in wider] + [(need - 2 * twos, twos) for twos in sorted({max(1, need * i // 16) for i in range(1, 9)}) if 2 * twos <= need]
+                                next((m for m in range(need, 2 * need + 1) if enough(m, 0)), need)}) if m <= most]
+    pairs = [(need - 2 * twos, twos) for twos in sorted({max(1, need * i // 16) for i in range(1, 9)}) if 2 * twos <= need]
+    options = [(m, 0) for m in wider] + [(ones, next((t for t in range(twos, 2 * twos + 1) if enough(ones, t)), twos)) for ones, twos in pairs]
     best = None
     for ones, twos in options:
         one = low / (ones + 2 * twos)
-        full = filled(ones, low) if not twos else 0
-        spare = max(0.0, full - need)
-        rows = ones - spare + twos * (1 + 2 * one)
+        spare = max(0.0, filled(ones, 0, low) - needs(low, percent)) * SPARE_PART if not twos else 0.0
+        rows = ones + twos * (1 + 2 * one)
         hits = sum(share * (max(0.0, ones * part ** one - spare) + twos * 2 * one * part ** (2 * one - 1)) for part, share in profile)
+        if not enough(ones, twos):
+            no_one, no_two = bare(ones, twos, low)
+            hits += ones * no_one ** 2 + twos * no_two ** 2
         cost = rows + PAIR_COST * hits * sets
         if best is None or cost < best[0]:
             best = (cost, ones, twos)
@@ -183,7 +203,8 @@ class Schemes:
         for scheme in (band, band - 1):
             if scheme < 0 or scheme < band and self.percent * len(values) > 100 * (int(self.starts[band]) - 1):
                 continue
-            need, ones, twos = self.parts[scheme]
+            _, ones, twos = self.parts[scheme]
+            need = needs(len(values), self.percent) if scheme == band else most_apart(int(self.starts[band]) - 1, len(values), self.percent) + 1
             weight = ones + 2 * twos
             place = ((values >> U(32)) * U(weight)) >> U(32)
             segment = np.where(place < ones, place, ones + (place - np.minimum(place, U(ones))) // U(2)).astype(np.int64)
@@ -191,16 +212,16 @@ class Schemes:
             tag = mixed(np.arange(ones + twos, dtype=U) + U((scheme + 1) << 32))
             content = sums[cuts[1:]] - sums[cuts[:-1]]
             whole = mixed(content + tag)
-            full = cuts[1:] > cuts[:-1]
-            leave = not twos and full.sum() >= need
-            mine = [whole[full] if leave else whole]
+            size = cuts[1:] - cuts[:-1]
+            leave = np.count_nonzero(size[:ones]) + 2 * np.count_nonzero(size[ones:] > 1) >= need
+            mine = [whole[size > 0] if leave else whole]
             if twos:
-                tail = slice(cuts[ones], None)
-                of = segment[tail]
-                mine.append(mixed(content[of] - inner[tail] + tag[of]))
+                of = segment[cuts[ones]:]
+                less = mixed(content[of] - inner[cuts[ones]:] + tag[of])
+                mine.append(less[size[of] > 1] if leave else less)
             mine = np.unique(np.concatenate(mine) >> U(64 - KEY_BITS)).view(np.int64)
             found.append(mine + ((scheme & 1) << KEY_BITS))
-            spare[scheme & 1] = max(0, len(mine) - need) if leave else 0
+            spare[scheme & 1] = max(0, len(mine) - need) if leave and not twos else 0
         return np.concatenate(found), spare
 
 
@@ -249,21 +270,6 @@ def index_rows(docs: DataFrame, doc_id: str, text: str, width: int, schemes: Sch
         batches, f"doc_id {kind}, hash long, n long, k1 long, k2 long, odd array<long>, {', '.join(f + ' long' for f in FOLDED)}, keys array<long>, even int, uneven int")
 
 
-def bloom(rows: DataFrame, column: str = "k1") -> np.ndarray:
-    """A bit for each value of a column of hashes, in a table of fixed size; it saves work and decides nothing."""
-    place = f"pmod({column}, {BLOOM_BITS}L)"
-    words = (rows.selectExpr(f"{place} div 64 AS w", f"shiftleft(1L, cast({place} % 64 AS int)) AS b").groupBy("w")
-             .agg(F.bit_or("b").alias("b")).toArrow())  # at most BLOOM_BITS / 64 rows; never as Python objects
-    bits = np.zeros(BLOOM_BITS // 64, U)
-    bits[words["w"].to_numpy()] = words["b"].to_numpy().view(U)
-    return bits
-
-
-def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values % BLOOM_BITS
-    return (bits[place >> 6] >> (place & 63).astype(U) & U(1)).astype(bool)
-
-
 SIDE = f"shiftright(key, {KEY_BITS})"
 
 
@@ -488,10 +494,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     member, _ = full_join(docs, doc_id, text, width, percent)
     named = stored(member.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), (F.col("first") != document()).alias("_other")))
     same = F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_hash"))
-    kept = docs.join(named.where("_other").select("_id", "_hash").distinct(), same, "left_anti")
+    others = stored(named.where("_other").select("_id", "_hash").distinct())
+    near, apart = parted(docs, F.xxhash64(F.col(text)), others, "_hash")
+    kept = near.join(others, same, "left_anti").unionByName(apart)
     again = stored(named.groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"))
     if again.limit(1).count() == 0:
         return kept
-    once = kept.join(again, same, "left_anti")
-    twice = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
-    return once.unionByName(twice)
+    near, apart = parted(stored(kept), F.xxhash64(F.col(text)), again, "_hash")
+    once = near.join(again, same, "left_anti")
+    twice = near.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(twice).unionByName(apart)

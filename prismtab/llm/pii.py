@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from prismtab.llm.common import small_batches, stored
+from prismtab.llm.common import parted, small_batches, stored
 
 #: Kinds in the order of the spans, and their forms.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -235,10 +235,12 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     found = stored(found.select("doc_id", "hash", F.array_sort(F.concat("spans", "discovered")).alias("_spans"))
                    .groupBy("doc_id", "hash").agg(F.first("_spans").alias("_spans")))
     found = found.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_hash")), "left")
+    near, apart = parted(docs, F.xxhash64(F.col(text)), found, "_hash")
+    joined = near.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & F.xxhash64(F.col(text)).eqNullSafe(F.col("_hash")), "left")
     marked = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), with_marks(F.col(text).cast("string"), F.col("_spans"))))
     changed = {text: F.col("_new")} | ({length: F.length("_new").cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return marked.select(*(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c) for c in docs.columns))
+    return marked.select(*(F.when(F.col("_spans").isNull(), F.col(c)).otherwise(changed[c]).alias(c) if c in changed else F.col(c)
+                           for c in docs.columns)).union(apart)
 
 
 @F.arrow_udf(StringType())

@@ -2,8 +2,8 @@
 
 Rows stand in the order of a hash, numbered over the whole table. In the shuffle of a feature each row
 takes the value of the row a fixed number of places before it, another number for each feature and
-repeat, so a value travels to one row and each feature keeps its distribution. All shuffled values of a
-row arrive together; the row is then scored once as it is and once for each of them.
+repeat, so a value travels to one row and each feature keeps its distribution. The row is then scored once as
+it is and once for each shuffled value.
 """
 from __future__ import annotations
 
@@ -12,13 +12,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from prismtab.functions.coerce import col
 from prismtab.functions.rounding import half_up
 from prismtab.operators.modeling import Training
+from prismtab.operators.modeling import predict as modeling_predict
 from prismtab.operators.profile import local_frame
 from prismtab.operators.ranks import totals_before
 
+TOGETHER = 16  # variants that are scored in one pass
 RESULT = "feature string, importance double, share double"
 
 
@@ -37,24 +40,34 @@ def shuffled_scores(
     The score is R2, or the share of right classes; null for a constant target."""
     hashed = data.withColumn("_mark", F.xxhash64(F.lit(seed), *map(col, keys)))
     ranked = totals_before(hashed, ["_mark", *keys], {"_rank": F.lit(1).cast("bigint")})
-    rows = ranked.count()
-    if rows < 2:
-        return local_frame(data.sparkSession, [], "variant int, score double")
-    moved = [(1 + r * len(features) + f, name, shift(name, r, rows, seed)) for r in range(repeats) for f, name in enumerate(features)]
-    row = F.struct(*(col(name).alias(f"v{f}") for f, name in enumerate(features)))
-    given = ranked.select(F.explode(F.array(*(
-        F.struct(F.lit(variant).alias("variant"), F.pmod(F.col("_rank") + F.lit(by), F.lit(rows)).alias("to"),
-                 F.struct(*(F.when(F.lit(name == other), row[f"v{f}"]).alias(f"v{f}") for f, other in enumerate(features))).alias("value"))
-        for variant, name, by in moved))).alias("g")).select("g.*")
-    received = given.groupBy("to").agg(F.map_from_entries(F.collect_list(F.struct("variant", "value"))).alias("_given"))
-    variants = ranked.join(received, F.col("_rank") == F.col("to")).withColumn(
-        "variant", F.explode(F.array(F.lit(0), *(F.lit(v) for v, _, _ in moved))))
-    of = {name: [v for v, moved_name, _ in moved if moved_name == name] for name in features}
-    taken = variants.withColumn("_taken", F.try_element_at("_given", F.col("variant"))).select(
-        "variant", "actual", *map(col, [k for k in keys if k not in features]),
-        *(F.when(F.col("variant").isin(*of[name]), F.col(f"_taken.v{f}")).otherwise(col(name)).alias(name) for f, name in enumerate(features)))
-    scored = predict(taken)
-    return scored.groupBy("variant").agg(_score(regression).alias("score"))
+    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = ranked.count()
+        if rows < 2:
+            return local_frame(data.sparkSession, [], "variant int, score double")
+        moved = [(1 + r * len(features) + f, name, shift(name, r, rows, seed)) for r in range(repeats) for f, name in enumerate(features)]
+        found = []
+        for start in range(0, len(moved), TOGETHER):
+            some = moved[start:start + TOGETHER]
+            scored = predict(_variants(ranked, rows, features, keys, some, [] if start else [0]))
+            found += scored.groupBy("variant").agg(_score(regression).alias("score")).collect()  # one row per feature and repeat
+    finally:
+        ranked.unpersist()
+    return local_frame(data.sparkSession, [tuple(r) for r in found], "variant int, score double")
+
+
+def _variants(ranked: DataFrame, rows: int, features: list[str], keys: list[str], moved: list[tuple[int, str, int]], plain: list[int]) -> DataFrame:
+    """Each row once for each variant: as it is for the `plain` ones, else with one feature's value from another row.
+    The rows stay where their rank was dealt to; only ranks and values of one feature travel for each variant."""
+    met = ranked
+    for variant, name, by in moved:
+        met = met.join(ranked.select(F.pmod(F.col("_rank") + F.lit(by), F.lit(rows)).alias(f"_to{variant}"), col(name).alias(f"_new{variant}")),
+                       F.col("_rank") == F.col(f"_to{variant}")).drop(f"_to{variant}")
+    every = met.withColumn("variant", F.explode(F.array(*(F.lit(v) for v in [*plain, *(v for v, _, _ in moved)]))))
+    taken = {name: col(name) for name in features}
+    for variant, name, _ in moved:
+        taken[name] = F.when(F.col("variant") == variant, F.col(f"_new{variant}")).otherwise(taken[name])
+    return every.select("variant", "actual", *map(col, [k for k in keys if k not in features]), *(taken[name].alias(name) for name in features))
 
 
 def _score(regression: bool) -> Column:
@@ -70,7 +83,7 @@ def permutation_importance(result: Training, keys: list[str], repeats: int = 1,
     held = result.predictions.select("actual", *map(col, dict.fromkeys([*result.features, *keys])))
 
     def predict(frame: DataFrame) -> DataFrame:
-        scored = result.model.transform(frame.withColumn("_actual", F.col("actual")))
+        scored = modeling_predict(result.model.stages, frame.withColumn("_actual", F.col("actual")))
         return scored if "predicted" in scored.columns else scored.withColumn("predicted", F.col("prediction"))
 
     scores = shuffled_scores(held, result.features, keys, predict, result.task == "regression", repeats, seed)
